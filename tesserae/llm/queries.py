@@ -10,6 +10,7 @@ from . import bpe
 from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
+from .packing import pack
 from .simhash import as_hex, near_duplicates
 
 
@@ -17,6 +18,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), tokenizer_file)
+
+
+def packed(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    pieces = pack(docs, tokenizer_file, public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_verdicts(table(spark, sf_dir, "documents"))
 
@@ -31,7 +41,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_host_rules, op7_byte_bpe, op9_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_mixture_packing, op6_host_rules, op7_byte_bpe, op9_simhash_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
