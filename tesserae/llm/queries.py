@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
 from .packing import pack
+from .quality_model import quality_scores
 from .simhash import as_hex, near_duplicates
 
 
@@ -27,6 +28,10 @@ def packed(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_verdicts(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixture_packing, op6_host_rules, op7_byte_bpe, op9_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op9_simhash_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
