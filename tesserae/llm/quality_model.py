@@ -103,7 +103,7 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit(labelled: DataFrame, shrinkage: float = 0.1, ridge: float = 1e-3) -> Discriminant:
+def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 1e-3) -> Discriminant:
     """From rows (x, label 0/1), all of them. The class moments are sums that Spark combines; d * d + d + 1 numbers a class reach the driver.
 
     A class covariance is pulled by ``shrinkage`` towards the pooled one and its diagonal, in equal parts, after scaling by the pooled
