@@ -141,7 +141,11 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _spans(found: DataFrame) -> DataFrame:
     """A row per candidate: kind (its number), votes and features."""
-    each = F.concat(*[F.transform(F.col(f"__{k.name}"), lambda c, i=i: F.struct(F.lit(i).alias("kind"), c["votes"].alias("votes"), c["features"].alias("features"))) for i, k in enumerate(KINDS)])
+
+    def own(i: int, name: str) -> Column:
+        return F.transform(F.col(f"__{name}"), lambda c: F.struct(F.lit(i).alias("kind"), c["votes"].alias("votes"), c["features"].alias("features")))
+
+    each = F.concat(*[own(i, k.name) for i, k in enumerate(KINDS)])
     return found.select(F.explode(each).alias("c")).select("c.kind", "c.votes.*", *[F.col(f"c.features.{f}").alias(f"f_{f}") for f in FEATURES])
 
 
@@ -246,6 +250,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     return found.select("doc_id", chosen(learn(found, limit)).alias("spans"))
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k.name) for k in KINDS])
