@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
+from . import bpe, licences, pii, preferences
 from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
@@ -26,6 +26,12 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as chosen, and their versions with answers cut short as rejected."""
+    chosen = preferences.stored_turns(table(spark, sf_dir, "conversations"))
+    return preferences.preference_messages(chosen, preferences.cut_short(chosen))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_file)
 
@@ -49,11 +55,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str = public_token
     return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_pii, op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op9_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_weak_pii, op2_preference_format, op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op8_licence_sentences, op9_simhash_near_dedup,
+    op10_exact_dedup,
+)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
@@ -64,4 +77,16 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
     """,
+    "op2_preference_format": r"""
+        WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+        t AS (SELECT pair_id, turn, role, text, CASE WHEN role = 'assistant' AND 2 * turn >= last AND contains(text, '.') THEN split_part(text, '.', 1) || '.' ELSE text END AS cut FROM c),
+        p AS (SELECT *, coalesce(turn < min(CASE WHEN text <> cut THEN turn END) OVER (PARTITION BY pair_id), true) AS shared FROM t),
+        m AS (SELECT pair_id, 'prompt' AS part, turn, role, text FROM p WHERE shared
+            UNION ALL SELECT pair_id, 'chosen', turn, role, text FROM p WHERE NOT shared UNION ALL SELECT pair_id, 'rejected', turn, role, cut FROM p WHERE NOT shared),
+        r AS (SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS rendered,
+            part <> 'prompt' AND role = 'assistant' AS learned FROM m)
+        SELECT pair_id, part, turn, role, rendered, CAST(CASE WHEN learned THEN length(role) + 13 ELSE 0 END AS BIGINT) AS loss_start,
+            CAST(CASE WHEN learned THEN length(rendered) - 1 ELSE 0 END AS BIGINT) AS loss_end FROM r
+    """,
+    "op8_licence_sentences": licences.oracle_sql(),
 }
