@@ -267,7 +267,7 @@ def mask(docs: DataFrame, text_col: str = "text", limit: float = 0.9) -> DataFra
     """
     found = candidates(docs, text_col)
     accepted = learn(found, limit)
-    marks = "array(" + ", ".join(f"'{k.mark}'" for k in KINDS) + ")"
+    marks = "array(" + ", ".join(f"'{k.mask}'" for k in KINDS) + ")"
     ordered = "array_sort(__spans, (x, y) -> case when x.start <> y.start then x.start - y.start when x.end <> y.end then y.end - x.end else x.kind - y.kind end)"
     start = "named_struct('at', 0, 'out', cast(array() as array<string>))"
     step = f"""case when s.end <= acc.at then acc when s.start < acc.at then named_struct('at', s.end, 'out', acc.out)
