@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
 from .packing import pack
+from .pitman_yor import text_scores
 from .quality_model import quality_scores
 from .simhash import as_hex, near_duplicates
 
@@ -32,6 +33,10 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.preference_messages(chosen, preferences.cut_short(chosen))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_file)
 
@@ -64,7 +69,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_weak_pii, op2_preference_format, op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op8_licence_sentences, op9_simhash_near_dedup,
+    op1_weak_pii, op2_preference_format, op3_pitman_yor, op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op8_licence_sentences, op9_simhash_near_dedup,
     op10_exact_dedup,
 )}
 
