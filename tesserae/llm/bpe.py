@@ -42,6 +42,13 @@ def safe_parts(text: str, most: int) -> Iterator[str]:
         at = to
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker holds the Python objects of a few documents at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 1 << 16) -> DataFrame:
     """One row per input row: doc_id (type kept) and ids, the whole text's token ids; a null or empty text has none.
 
@@ -51,7 +58,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [np.concatenate([enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(t, part_chars)]) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.concatenate(found or [np.zeros(0, np.uint32)]).astype(np.int32)
@@ -66,9 +73,9 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = batch.column(1)
-            data = pa.array([enc.decode_bytes(x) for x in ids.to_pylist()], pa.binary())
+            data = pa.array([enc.decode_bytes(x.values.to_numpy().tolist()) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, data], ["doc_id", "ids", "data"])
 
     return tokens.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids")).mapInArrow(each, f"doc_id {id_type}, ids array<int>, data binary")
