@@ -10,7 +10,10 @@ from ..operators import tiles as ops
 from . import fixtures as fx
 
 ORDINAL = ["l_orderkey", "l_linenumber"]
-BLOCK = F.shiftright("l_orderkey", 12)
+
+
+def bank(deduped: DataFrame) -> DataFrame:
+    return ops.bank(deduped, ORDINAL, F.shiftright("l_orderkey", 12))
 
 
 def tile_dedup_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +22,7 @@ def tile_dedup_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, flips="")
-    return d.join(ops.bank(d, ORDINAL, BLOCK).select("ck", "tile_id"), "ck").select(*ORDINAL, "key", "tile_id", "kind")
+    return d.join(bank(d).select("ck", "tile_id"), "ck").select(*ORDINAL, "key", "tile_id", "kind")
 
 
 def tile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def tile_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tilemap_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL)
-    return ops.name_table(d, ops.bank(d, ORDINAL, BLOCK), ORDINAL, (F.col("l_orderkey") % 4).cast("int"), F.col("l_linenumber") % 2 == 1, 16)
+    return ops.name_table(d, bank(d), ORDINAL, (F.col("l_orderkey") % 4).cast("int"), F.col("l_linenumber") % 2 == 1, 16)
 
 
 def tile_convert_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
