@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +12,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WHITE
+from .bpe import in_slices, safe_parts
 from .common import stored
 
 #: Rows of a block of the prefix sums: 2 to this power.
@@ -21,8 +20,8 @@ BLOCK = 12
 
 
 @lru_cache(maxsize=4)
-def _vocabulary(tokenizer_file: str, pattern: str) -> tuple[tiktoken.Encoding, dict[str, bytes]]:
-    """The byte-level BPE of a ``tokenizers`` JSON file, and this worker's cache of encoded words.
+def vocabulary(tokenizer_file: str, pattern: str) -> tiktoken.Encoding:
+    """The byte-level BPE of a ``tokenizers`` JSON file; one for each worker.
 
     Such a file writes each byte as one printable character, and its merges are in the order of the ids, which are so the ranks.
     """
@@ -31,39 +30,18 @@ def _vocabulary(tokenizer_file: str, pattern: str) -> tuple[tiktoken.Encoding, d
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(x for x in range(256) if x not in set(plain))}
     ranks = {bytes(letters[c] for c in token): rank for token, rank in vocab.items() if all(c in letters for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), {}
-
-
-#: Words that a worker remembers, at most.
-REMEMBERED = 400_000
-
-
-def _ids(text: str, enc: tiktoken.Encoding, known: dict[str, bytes], words: re.Pattern) -> bytes:
-    """The text's token ids as little-endian 32-bit integers. Encoding word by word is exact: see :func:`.bpe.safe_parts`."""
-    out = []
-    for word in words.findall(text):
-        ids = known.get(word)
-        if ids is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            ids = enc.encode_to_numpy(word, disallowed_special=()).astype("<u4").tobytes()
-            if len(word) < 64:
-                known[word] = ids
-        out.append(ids)
-    return b"".join(out)
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, queue (a hash of the source; null sources share one), n_ids and ids (binary, 16 bits an id where the vocabulary allows, else 32), in the order of the input."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = _vocabulary(tokenizer_file, pattern)
-        words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        kind = "<u2" if enc.max_token_value < 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            found = [np.frombuffer(_ids(t, enc, known, words) + end, "<u4") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], ["doc_id", "queue", "n_ids", "ids"])
+        enc = vocabulary(tokenizer_file, pattern)
+        kind = "<u2" if max(enc.max_token_value, end_id) < 1 << 16 else "<u4"
+        for batch in in_slices(batches):
+            found = [np.concatenate([*(enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(t, 1 << 16)), [end_id]]).astype(kind) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "queue", "n_ids", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("queue"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return slim.mapInArrow(each, "doc_id long, queue long, n_ids long, ids binary")
