@@ -84,14 +84,15 @@ class Matcher:
         return where, best
 
 
-def _lz_pack(data: bytes, window: int, longest: int, pair: Callable[[int, int], bytes]) -> bytes:
-    """Groups of eight items behind a flag byte, lowest bit first: 1 for a literal, 0 for a pair (distance, length)."""
+def _lz_pack(data: bytes, window: int, longest: int, pair: Callable[[int, int], bytes], fill: bool) -> bytes:
+    """Groups of eight items behind a flag byte, lowest bit first: 1 for a literal, 0 for a pair (distance, length). ``fill``: unused flags are set."""
     match, out, pos = Matcher(data, window, longest), bytearray(), 0
     while pos < len(data):
         flags, items = 0, bytearray()
         for bit in range(8):
             if pos >= len(data):
-                break
+                flags |= fill << bit
+                continue
             where, n = match.at(pos)
             if n >= 3:
                 items += pair(pos - where, n)
@@ -133,7 +134,7 @@ def lz_low_pack(data: bytes) -> bytes:
     """Pairs of (low distance, high distance << 4 | length - 3), lengths to 18; unused flags of the last group are set."""
     if not data:
         return b"\xff"
-    return _lz_pack(data, WINDOW, 18, lambda d, n: bytes((d & 0xFF, d >> 8 << 4 | n - 3)))
+    return _lz_pack(data, WINDOW, 18, lambda d, n: bytes((d & 0xFF, d >> 8 << 4 | n - 3)), True)
 
 
 def lz_low_unpack(data: bytes) -> bytes:
@@ -142,7 +143,7 @@ def lz_low_unpack(data: bytes) -> bytes:
 
 def lz_word_pack(data: bytes) -> bytes:
     """Pairs as big-endian words (distance - 1) << 4 | length - 3, lengths to 18."""
-    return _lz_pack(data, WINDOW + 1, 18, lambda d, n: ((d - 1) << 4 | n - 3).to_bytes(2, "big")) if data else b"\x00"
+    return _lz_pack(data, WINDOW + 1, 18, lambda d, n: ((d - 1) << 4 | n - 3).to_bytes(2, "big"), False) if data else b"\x00"
 
 
 def lz_word_unpack(data: bytes) -> bytes:

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under ``spark.checkpoint.dir`` (a local folder only where none is set) and read again, its lineage cut."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; under a local folder only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read again, its lineage cut."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
