@@ -16,11 +16,21 @@ def _rows(px: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda y: F.slice(px, y * width + 1, width))
 
 
-def flip_h(px: Column, width: int = 8) -> Column:
+def _picked(px: Column, places: list[int]) -> Column:
+    """The pixels at fixed places: plain generated code, where a lambda would be interpreted for each."""
+    return F.array(*[F.get(px, F.lit(p)) for p in places])
+
+
+def flip_h(px: Column, width: int = 8, size: int | None = None) -> Column:
+    """``size``: how many pixels every tile has, if that is known; it makes for faster code."""
+    if size:
+        return _picked(px, [i // width * width + width - 1 - i % width for i in range(size)])
     return F.flatten(F.transform(_rows(px, width), lambda r: F.reverse(r)))
 
 
-def flip_v(px: Column, width: int = 8) -> Column:
+def flip_v(px: Column, width: int = 8, size: int | None = None) -> Column:
+    if size:
+        return _picked(px, [size - width - i // width * width + i % width for i in range(size)])
     return F.flatten(F.reverse(_rows(px, width)))
 
 
@@ -30,7 +40,7 @@ def flip_hv(px: Column) -> Column:
 
 def key(px: Column) -> Column:
     """MD5 of the pixels, comma-joined."""
-    return F.md5(F.array_join(F.transform(px, lambda p: p.cast("string")), ","))
+    return F.md5(F.array_join(px.cast("array<string>"), ","))
 
 
 def flip_byte(h: Column, v: Column) -> Column:
@@ -51,9 +61,10 @@ def density(px: Column) -> Column:
     return F.size(F.filter(px, lambda p: p != 0)) / F.size(px)
 
 
-def symmetry(px: Column, tolerance: int = 0, width: int = 8) -> Column:
+def symmetry(px: Column, tolerance: int = 0, width: int = 8, size: int | None = None) -> Column:
     """``radial`` (both axes), ``horizontal``, ``vertical`` or ``none``."""
-    h, v = near(px, flip_h(px, width), tolerance), near(px, flip_v(px, width), tolerance)
+    like = (lambda a, b: near(a, b, tolerance)) if tolerance else (lambda a, b: a == b)
+    h, v = like(px, flip_h(px, width, size)), like(px, flip_v(px, width, size))
     return F.when(h & v, "radial").when(h, "horizontal").when(v, "vertical").otherwise("none")
 
 

@@ -20,33 +20,21 @@ def with_ends(tilesets: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return tilesets.withColumn("end", F.lead("first_gid").over(order))
 
 
-def as_of(cells: DataFrame, tilesets: DataFrame, most: int = 100_000) -> DataFrame:
+def as_of(cells: DataFrame, tilesets: DataFrame, most: int = 100_000, block: int = 14) -> DataFrame:
     """``cells`` with the set (first_gid, tile_count) whose first number is the greatest not over ``gid``; null for none and for gid 0.
 
-    Up to ``most`` sets are broadcast as one sorted array, in which the set is a binary search, written as the count of starts not over
-    gid. A larger table goes the other way: cells and sets are united, and the last set seen before a cell in order of number is its own.
+    An equality join on blocks of 2**block numbers, in each of which a set that reaches into it is listed, with the interval as residual.
+    Up to ``most`` sets the listing is broadcast (sets and blocks bound its rows), beyond that both sides are shuffled by block.
     """
-    if tilesets.limit(most + 1).count() <= most:
-        starts = tilesets.agg(F.array_sort(F.collect_list(F.struct("first_gid", "tile_count"))).alias("__sets"))
-        joined = cells.crossJoin(F.broadcast(starts))  # one row
-        below = F.filter("__sets", lambda s: s["first_gid"] <= F.col("gid"))
-        found = F.when((F.col("gid") > 0) & (F.size(below) > 0), F.element_at(below, -1))
-        return joined.withColumn("__found", found).select(*cells.columns, F.col("__found.first_gid").alias("first_gid"), F.col("__found.tile_count").alias("tile_count"))
-    return _as_of_sorted(cells, tilesets)
-
-
-def _as_of_sorted(cells: DataFrame, tilesets: DataFrame, block: int = 14) -> DataFrame:
-    """Equi-join on blocks of 2**block numbers: a set is listed in every block that its interval touches."""
-    ends = with_ends(tilesets)
     last = F.coalesce(F.col("end") - 1, F.lit(T.CELL_MASK))
-    listed = ends.withColumn("__block", F.explode(F.sequence(F.shiftright("first_gid", block), F.shiftright(last, block))))
+    listed = with_ends(tilesets).withColumn("__block", F.explode(F.sequence(F.shiftright("first_gid", block), F.shiftright(last, block))))
+    if tilesets.limit(most + 1).count() <= most:
+        listed = F.broadcast(listed)
     c = cells.withColumn("__block", F.shiftright("gid", block))
     on = (c["__block"] == listed["__block"]) & (F.col("gid") >= F.col("first_gid")) & (F.col("end").isNull() | (F.col("gid") < F.col("end"))) & (F.col("gid") > 0)
     return c.join(listed, on, "left").select(*cells.columns, "first_gid", "tile_count")
 
 
-
-
 def collision(cells: DataFrame, properties: DataFrame, default: Column | None = None) -> DataFrame:
     """``cells`` of :func:`as_of` with ``code``: the tile's own property, else ``default`` or, by default, its number in the set where that is a code, else solid.
 

@@ -4,35 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from .ordering import numbered
 
 
-def keyed(tiles: DataFrame, px: str = "px", flips: str = "hv", width: int = 8) -> DataFrame:
+def keyed(tiles: DataFrame, px: str = "px", flips: str = "hv", width: int = 8, size: int | None = None) -> DataFrame:
     """``tiles`` with key, key_h, key_v, key_hv (null where ``flips`` lacks them) and ck, the smallest of them: equal for tiles that flips make equal."""
     p = F.col(px)
-    out = {"key": T.key(p), "key_h": T.key(T.flip_h(p, width)) if "h" in flips else None, "key_v": T.key(T.flip_v(p, width)) if "v" in flips else None, "key_hv": T.key(T.flip_hv(p)) if flips == "hv" else None}
+    out = {"key": T.key(p), "key_h": T.key(T.flip_h(p, width, size)) if "h" in flips else None, "key_v": T.key(T.flip_v(p, width, size)) if "v" in flips else None, "key_hv": T.key(T.flip_hv(p)) if flips == "hv" else None}
     out = {k: F.lit(None).cast("string") if v is None else v for k, v in out.items()}
     return tiles.withColumns(out).withColumn("ck", F.least("key", F.coalesce("key_h", "key"), F.coalesce("key_v", "key"), F.coalesce("key_hv", "key")))
 
 
-def dedup(tiles: DataFrame, ordinal: Sequence[str], px: str = "px", flips: str = "hv", width: int = 8) -> DataFrame:
+def dedup(tiles: DataFrame, ordinal: Sequence[str], px: str = "px", flips: str = "hv", width: int = 8, size: int | None = None) -> DataFrame:
     """Per tile: the ordinal columns, key, ck, rep (the key of its class's first tile) and kind: unique, exact, h, v or hv.
 
     The first tile of a class in the order of (ordinal, key) represents it; another is of the first of exact, h, v, hv whose flip makes it
-    the representative. Enabled flips form a group, so classes are what a greedy first-seen pass finds. One aggregation by ck finds the
-    representatives (partial sums hold one row a class), and the join back is on ck; a class that holds a large share of all tiles has
-    one row on the other side, which AQE broadcasts or splits.
+    the representative. Enabled flips form a group, so classes are what a greedy first-seen pass finds. Flips are made for distinct tiles
+    only; tiles themselves travel as their ordinal and key, to the first of each key and back to the verdict on their key. A key that a
+    large share of all tiles has is one row on the other side, which AQE broadcasts or splits. ``size``: how many pixels every tile has,
+    if that is known.
     """
-    k = keyed(tiles.select(*ordinal, px), px, flips, width).drop(px)
-    first = k.groupBy("ck").agg(F.min(F.struct(*ordinal, "key")).alias("first"))
-    joined = k.join(first, "ck")
-    own = F.struct(*ordinal, "key")
-    kind = F.when(own == F.col("first"), "unique").when(F.col("key") == F.col("first.key"), "exact").when(F.col("key_h") == F.col("first.key"), "h").when(F.col("key_v") == F.col("first.key"), "v").otherwise("hv")
-    return joined.select(*ordinal, "key", "ck", F.col("first.key").alias("rep"), kind.alias("kind"))
+    tile = tiles.select(*ordinal, px, T.key(F.col(px)).alias("key"))
+    classes = keyed(tile.select(px, "key").distinct(), px, flips, width, size).drop(px)
+    seen = tile.groupBy("key").agg(F.min(F.struct(*ordinal)).alias("seen"))
+    own = F.struct("seen", "key")
+    first = classes.join(seen, "key").withColumn("first", F.min(own).over(Window.partitionBy("ck")))
+    kind = F.when(F.col("key") == F.col("first.key"), "exact").when(F.col("key_h") == F.col("first.key"), "h").when(F.col("key_v") == F.col("first.key"), "v").otherwise("hv")
+    verdict = first.select("key", "ck", F.col("first.key").alias("rep"), F.col("first.seen").alias("first"), kind.alias("kind"))
+    joined = tile.drop(px).join(verdict, "key")
+    is_first = (F.struct(*ordinal) == F.col("first")) & (F.col("key") == F.col("rep"))
+    return joined.select(*ordinal, "key", "ck", "rep", F.when(is_first, "unique").otherwise(F.col("kind")).alias("kind"))
 
 
 def bank(deduped: DataFrame, ordinal: Sequence[str], block: Column) -> DataFrame:

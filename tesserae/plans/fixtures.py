@@ -28,9 +28,16 @@ SPRITES = """sprites AS (SELECT l_orderkey % 64 AS scene, l_orderkey, l_linenumb
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 tiles of four colours, mirrored by the parity of their numbers; one row per (l_orderkey, l_linenumber, px)."""
-    px = """transform(sequence(0, 63), i -> cast(((l_suppkey % 5) * (case when l_linenumber % 2 = 1 then 7 - i % 8 else i % 8 end)
-        + (l_partkey % 3) * (case when l_orderkey % 2 = 1 then 7 - cast(floor(i / 8) as int) else cast(floor(i / 8) as int) end) + (i % 8) * cast(floor(i / 8) as int) * (l_partkey % 2)) % 4 as int))"""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(px).alias("px")).distinct()
+    # A tile follows from its row's numbers and these three, and other values make another tile, so that distinct numbers are distinct tiles.
+    numbers = [(F.col("l_suppkey") % 5 % 4).cast("int").alias("__a"), (F.col("l_partkey") % 3).cast("int").alias("__b"), (F.col("l_partkey") % 2).cast("int").alias("__c")]
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *numbers).distinct()
+    mirror_x, mirror_y = F.col("l_linenumber") % 2 == 1, F.col("l_orderkey") % 2 == 1
+    across = [F.when(mirror_x, F.col("__a") * (7 - x)).otherwise(F.col("__a") * x) for x in range(8)]
+    down = [F.when(mirror_y, F.col("__b") * (7 - y)).otherwise(F.col("__b") * y) for y in range(8)]
+    t = t.select("l_orderkey", "l_linenumber", "__c", F.array(*across).alias("__x"), F.array(*down).alias("__y"))
+    px = F.array(*[(F.get("__x", F.lit(i % 8)) + F.get("__y", F.lit(i // 8)) + F.col("__c") * (i % 8 * (i // 8))) % 4 for i in range(64)])
+    # Dealt out once here, as tiles would come from a table: else the optimiser writes the 64 sums into every expression over them.
+    return t.select("l_orderkey", "l_linenumber", px.alias("px")).repartition("l_orderkey")
 
 
 TILES = """tiles AS (SELECT DISTINCT l_orderkey, l_linenumber, list_transform(range(64), lambda i: CAST(((l_suppkey % 5) * (CASE WHEN l_linenumber % 2 = 1 THEN 7 - i % 8 ELSE i % 8 END)

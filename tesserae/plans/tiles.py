@@ -17,36 +17,36 @@ def bank(deduped: DataFrame) -> DataFrame:
 
 
 def tile_dedup_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.dedup(fx.tiles(spark, sf_dir), ORDINAL).drop("ck")
+    return ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, size=64).drop("ck")
 
 
 def tile_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, flips="")
+    d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, flips="", size=64)
     return d.join(bank(d).select("ck", "tile_id"), "ck").select(*ORDINAL, "key", "tile_id", "kind")
 
 
 def tile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.stats(ops.dedup(fx.tiles(spark, sf_dir), ORDINAL))
+    return ops.stats(ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, size=64))
 
 
 def tile_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = F.col("px")
-    h, v = T.flip_h(px), T.flip_v(px)
-    s = fx.tiles(spark, sf_dir).select(T.symmetry(px).alias("symmetry"), F.floor(T.similarity(px, h) * 64).cast("long").alias("same_h"), F.floor(T.similarity(px, v) * 64).cast("long").alias("same_v"))
+    h, v = T.flip_h(px, size=64), T.flip_v(px, size=64)
+    s = fx.tiles(spark, sf_dir).select(T.symmetry(px, size=64).alias("symmetry"), F.floor(T.similarity(px, h) * 64).cast("long").alias("same_h"), F.floor(T.similarity(px, v) * 64).cast("long").alias("same_v"))
     return s.groupBy("symmetry").agg(F.count(F.lit(1)).alias("n"), F.sum("same_h").alias("same_h"), F.sum("same_v").alias("same_v"))
 
 
 def tilemap_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL)
+    d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, size=64)
     return ops.name_table(d, bank(d), ORDINAL, (F.col("l_orderkey") % 4).cast("int"), F.col("l_linenumber") % 2 == 1, 16)
 
 
 def tile_convert_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours above 1 become 1 in the bank; the rebuilt map is deduplicated again."""
     t = fx.tiles(spark, sf_dir)
-    d = ops.dedup(t, ORDINAL)
+    d = ops.dedup(t, ORDINAL, size=64)
     made = ops.rebuild(d, t, ORDINAL, F.transform("px", lambda p: F.least(p, F.lit(1))))
-    return ops.stats(ops.dedup(made.drop("key").distinct(), ORDINAL))
+    return ops.stats(ops.dedup(made.drop("key").distinct(), ORDINAL, size=64))
 
 
 def pixel_mask_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def pixel_mask_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = F.transform("px", lambda p: p * 3)
-    return fx.tiles(spark, sf_dir).select(T.encode(F.col("px"), "planar2").alias("planar2"), T.encode(F.col("px"), "rows2").alias("rows2"), T.encode(px, "packed4").alias("packed4"), T.encode(px, "packed4_low").alias("packed4_low"), T.encode(px, "pairs4").alias("pairs4"), T.encode(F.col("px"), "mono1").alias("mono1"), T.encode(F.col("px"), "chunky2").alias("chunky2")).distinct()
+    return fx.tiles(spark, sf_dir).select("px").distinct().select(T.encode(F.col("px"), "planar2").alias("planar2"), T.encode(F.col("px"), "rows2").alias("rows2"), T.encode(px, "packed4").alias("packed4"), T.encode(px, "packed4_low").alias("packed4_low"), T.encode(px, "pairs4").alias("pairs4"), T.encode(F.col("px"), "mono1").alias("mono1"), T.encode(F.col("px"), "chunky2").alias("chunky2")).distinct()
 
 
 def tile_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +66,14 @@ def tile_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles by their share of pixels in use, 0.3 at least."""
-    t = fx.tiles(spark, sf_dir).select(T.key(F.col("px")).alias("key"), T.density(F.col("px")).alias("density")).distinct()
+    t = fx.tiles(spark, sf_dir).select("px").distinct().select(T.key(F.col("px")).alias("key"), T.density(F.col("px")).alias("density"))
     return t.filter("density >= 0.3").select("key", F.floor(F.col("density") * 64).cast("long").alias("pixels"))
 
 
 def quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 one-bit tiles: sign masks, and their symmetry."""
     px = F.transform("embedding", lambda v: (v > 0).cast("int"))
-    return fx.table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", T.mask_hex(px).alias("mask"), T.symmetry(px).alias("symmetry"), F.floor(T.density(px) * 64).cast("long").alias("pixels"))
+    return fx.table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", T.mask_hex(px).alias("mask"), T.symmetry(px, size=64).alias("symmetry"), F.floor(T.density(px) * 64).cast("long").alias("pixels"))
 
 
 QUERIES = {f.__name__: f for f in (tile_dedup_flip, tile_dedup_exact, tile_stats, tile_symmetry, tilemap_word, tile_convert_rebuild, pixel_mask_hex, tile_layouts, tile_decode, dense_tiles, quantised_vectors)}
