@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, stored
 
 SYMBOLS = b"#*$%&|<>"
+#: Join keys of a host when verdicts go back to its documents.
+SALTS = 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -113,5 +115,7 @@ def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rates = host_rates(counted)
     bad = rates.filter("host is not null").select("host", F.greatest(*[F.col(f"{r}_rate") for r in RULES]).alias("worst")).filter(F.col("worst") > limit)
     base = F.expr(f"({RULES['few_words']}) or ({RULES['repeats']})")
-    joined = counted.join(bad, "host", "left")
+    # A host with a large share of all documents is spread over several join keys; hosts' verdicts are few beside the documents.
+    spread = counted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    joined = spread.join(bad.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
     return joined.select("doc_id", *COUNTS, base.alias("base_failed"), F.col("worst").isNotNull().alias("host_failed"), (~base & F.col("worst").isNull()).alias("kept"))
