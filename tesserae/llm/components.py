@@ -15,7 +15,7 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    hung = around.join(least, "a")
+    hung = around.join(least.hint("merge"), "a")
     if both:
         out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -10,10 +10,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import in_slices
 from .common import stored
 from .components import components
 
 BITS, SEGMENT, REACH = 64, 32, 3
+#: Join keys of a fingerprint when component ids go back to its rows.
+SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -40,7 +43,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the fingerprint as a signed long) of every row; a null text counts as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             fp = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -58,7 +61,7 @@ def _near(a: str, b: str) -> Column:
 def _variant_links(fps: DataFrame) -> DataFrame:
     """Links between fingerprints by equality joins: on a whole segment, and on a segment with one bit deleted where that bit differs."""
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), _segment(F.col("fp"), k).alias("value")) for k in (0, 1)])).alias("s")).select("fp", "s.*")
-    same = keyed.alias("x").join(keyed.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp")) & _near("x.fp", "y.fp"))
+    same = keyed.alias("x").hint("merge").join(keyed.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp")) & _near("x.fp", "y.fp"))
     place = F.col("place")
     variants = keyed.select("fp", "part", "value", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("place")).select(
         "fp",
@@ -67,7 +70,7 @@ def _variant_links(fps: DataFrame) -> DataFrame:
         (F.expr("shiftright(value, place)").bitwiseAND(F.lit(1)) == 1).alias("bit"),
     )
     off, on = variants.filter("not bit").select("key", F.col("fp").alias("a")), variants.filter("bit").select("key", F.col("fp").alias("b"))
-    one = off.join(on, "key").filter(_near("a", "b"))
+    one = off.hint("merge").join(on, "key").filter(_near("a", "b"))
     return same.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(one.select("a", "b"))
 
 
@@ -79,9 +82,10 @@ def _ball_links(dense: DataFrame, fps: DataFrame) -> DataFrame:
     inner = fps.select("fp", F.explode(F.expr(f"transform({one}, m -> fp ^ m)")).alias("point"))
     outer = dense.select("fp", F.explode(F.expr(f"transform({two}, m -> fp ^ m)")).alias("point"))
     hub = inner.groupBy("point").agg(F.min("fp").alias("hub"))
-    near = outer.groupBy("point").agg(F.min("fp").alias("x")).join(hub, "point")
+    near = outer.groupBy("point").agg(F.min("fp").alias("x")).hint("merge").join(hub, "point")
     # Each dense fingerprint and each neighbour hangs on the point's smallest neighbour; every such pair reaches a pair within three bits.
-    return outer.join(hub, "point").select(F.col("fp").alias("a"), F.col("hub").alias("b")).union(inner.join(near.select("point", "hub"), "point").select(F.col("fp").alias("a"), F.col("hub").alias("b"))).filter("a <> b").distinct()
+    ends = (F.col("fp").alias("a"), F.col("hub").alias("b"))
+    return outer.hint("merge").join(hub, "point").select(*ends).union(inner.hint("merge").join(near.select("point", "hub"), "point").select(*ends)).filter("a <> b").distinct()
 
 
 def fingerprint_classes(fps: DataFrame, crowd: int = 256) -> DataFrame:
@@ -90,13 +94,14 @@ def fingerprint_classes(fps: DataFrame, crowd: int = 256) -> DataFrame:
     A segment's value that over ``crowd`` fingerprints share would make pairs in the square of their number; fingerprints of such values
     find all their links through points instead (:func:`_ball_links`), in a number of rows proportional to theirs, and leave the variants.
     """
+    # Merge hints: Spark would size exploded rows by the file in front of the explode and broadcast them.
     fps = stored(fps, "fingerprints")
     parts = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), _segment(F.col("fp"), k).alias("value")) for k in (0, 1)])).alias("s")).select("fp", "s.*")
     crowded = stored(parts.groupBy("part", "value").count().filter(F.col("count") > crowd).select("part", "value"), "crowded")
     if crowded.isEmpty():
         return components(_variant_links(fps)).withColumnsRenamed({"node": "fp"})
-    dense = stored(parts.join(crowded, ["part", "value"], "left_semi").select("fp").distinct(), "dense")
-    sparse = fps.join(dense, "fp", "left_anti")
+    dense = stored(parts.join(crowded.hint("merge"), ["part", "value"], "left_semi").select("fp").distinct(), "dense")
+    sparse = fps.join(dense.hint("merge"), "fp", "left_anti")
     return components(_variant_links(sparse).union(_ball_links(dense, fps))).withColumnsRenamed({"node": "fp"})
 
 
@@ -109,9 +114,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-first")
     roots = fingerprint_classes(first.select("fp"), crowd)
-    labelled = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = first.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = labelled.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    # Rows of one fingerprint (all empty texts, a large group of copies) are spread over several join keys.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread.hint("merge"), ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -12,8 +12,7 @@ from tesserae.llm.components import components
 
 from .helpers import odd
 from .test_exact_dedup import plain as exact
-from .test_simhash import components as linked
-from .test_simhash import plain as fingerprint
+from .test_near_jaccard import kept as similar
 from .test_texts import check_packed
 
 
@@ -29,8 +28,7 @@ def test_stages(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert ids[1] == sorted(r.doc_id for r in quality_model.quality_scores(docs, labels).collect() if r.predicted)
     assert ids[2] == sorted(r[0] for r in exact([(x.doc_id, x.text) for x in seen[1].collect()]) if r[3])
-    prints = {r.doc_id: fingerprint(r.text or "", 5) for r in seen[2].collect()}
-    assert ids[3] == sorted(set(linked(prints).values()))
+    assert ids[3] == similar({r.doc_id: r.text for r in seen[2].collect()})  # all pairs of five-word shingle sets, 0.8 or more
     assert ids[4] == ids[3]
     before = {r.doc_id: r.text for r in seen[3].collect()}
     spans = {r.doc_id: r.spans for r in pii.find(seen[3]).collect()}

@@ -84,3 +84,37 @@ def test_odd_rows(spark):
     kept = simhash.drop_near(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 6, 7, 8, 9]
     assert simhash.near_duplicates(none(spark)).count() == 0 and simhash.drop_near(none(spark)).count() == 0
+
+
+def test_joins_of_exploded_rows_are_never_broadcast(spark):
+    """Spark sizes a side by the file in front of an explode, so small files stand for many rows."""
+    fps = simhash.stored(spark.range(4000).selectExpr("id * 4294967296 + 7 as fp"), "fps")
+    for df in (simhash._variant_links(fps), simhash._ball_links(fps, fps)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_crowd_in_one_segment(spark):
+    """2000 fingerprints that share a half: their classes are those of all pairs."""
+    import random
+
+    rng = random.Random(3)
+    highs = sorted({rng.getrandbits(12) << 3 for _ in range(2000)})
+    fps = spark.createDataFrame([(h << 32 | 5,) for h in highs], "fp long")
+    got = {r.fp >> 32: r.root >> 32 for r in simhash.fingerprint_classes(fps).collect()}
+    root = {h: h for h in highs}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    flips = [1 << i for i in range(3, 15)]
+    masks = {a ^ b ^ c for a in [0, *flips] for b in [0, *flips] for c in [0, *flips]} - {0}
+    for h in highs:
+        for m in masks:
+            if h ^ m in root and bin(m).count("1") <= 3:
+                x, y = sorted((top(h), top(h ^ m)))
+                root[y] = x
+    linked = {h for h in highs if any(h ^ m in root for m in masks if bin(m).count("1") <= 3)}
+    assert got == {h: top(h) for h in linked}
