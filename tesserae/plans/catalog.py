@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assets, folds, maps, motion, palettes, pixels, screen, streams, tiles
+from . import assets, folds, images, maps, motion, palettes, pixels, screen, segments, streams, tiles
 
-MODULES = (tiles, palettes, screen, maps, motion, assets, folds, streams, pixels)
+MODULES = (tiles, palettes, screen, maps, motion, assets, folds, streams, pixels, segments, images)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
