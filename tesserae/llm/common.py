@@ -70,3 +70,10 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], salt: Column, how: str = "left", salts: int = 16) -> DataFrame:
+    """``many`` joined to ``few`` (one row a key) where a key may hold a large share of ``many``: each key's rows go to ``salts`` join keys."""
+    own = many.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return own.join(copies.hint("merge"), [*keys, "__salt"], how).drop("__salt")

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 # The marks of the ChatML layout.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """pair_id, turn, role, text: one row per turn, null roles as ``user`` and null texts as empty.
+    """pair (struct of missing and id), turn, role, text: one row per turn, null roles as ``user`` and null texts as empty.
 
-    Rows without an id or a turn belong to no place of any conversation and are left out. Of several rows of one place the one with the
-    smallest (role, text) counts, so that the result doesn't depend on the order of the input.
+    Rows without an id make up one conversation without an id; a row without a turn comes before turn 0, as turn -1. Of several rows of one
+    place the one with the smallest (role, text) counts, so that the result doesn't depend on the order of the input.
     """
+    key = F.col(id_col).cast("long")
     rows = conversations.select(
-        F.col(id_col).cast("long").alias("pair_id"),
-        F.col(turn_col).cast("long").alias("turn"),
+        F.struct(key.isNull().alias("missing"), F.coalesce(key, F.lit(0).cast("long")).alias("id")).alias("pair"),
+        F.coalesce(F.col(turn_col).cast("long"), F.lit(-1).cast("long")).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("user")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).filter("pair_id is not null and turn is not null")
-    return rows.groupBy("pair_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("pair_id", "turn", "m.role", "m.text")
+    )
+    return rows.groupBy("pair", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("pair", "turn", "m.role", "m.text")
+
+
+def pair_id() -> Column:
+    return F.when(~F.col("pair.missing"), F.col("pair.id")).alias("pair_id")
 
 
 def _plain(text: Column) -> Column:
@@ -38,46 +43,63 @@ def _rendered(role: Column, text: Column) -> tuple[Column, Column]:
 
 
 def preference_messages(chosen: DataFrame, rejected: DataFrame, learn_role: str = "assistant") -> DataFrame:
-    """One row per message: pair_id, part (``prompt``, ``chosen``, ``rejected``), turn, role, rendered, loss_start, loss_end.
+    """One row per message: pair, part (``prompt``, ``chosen``, ``rejected``), turn, role, rendered, loss_start, loss_end.
 
     ``chosen`` and ``rejected`` are as :func:`turns` gives them. The prompt holds, once, the turns before the first place where the two
     differ in role, text or existence; each side's turns from there on are its completion. Conversations that are equal are prompt only,
     and where one side lacks a pair the other's turns are a completion without a prompt. loss_start and loss_end bound the code points
     of ``rendered`` that are learned: text and end mark of ``learn_role`` messages of a completion; both are equal where nothing is.
 
-    The sides are joined by (pair_id, turn), and a conversation's verdict is one minimum, so no task holds a whole conversation.
+    The sides are joined by (pair, turn), and a conversation's verdict is one minimum that goes back to its turns under several
+    join keys, so no task holds a whole conversation.
     """
-    a = chosen.select("pair_id", "turn", F.struct("role", "text").alias("a"))
-    b = rejected.select("pair_id", "turn", F.struct("role", "text").alias("b"))
-    both = a.join(b, ["pair_id", "turn"], "full_outer")
+    a = chosen.select("pair", "turn", F.struct("role", "text").alias("a"))
+    b = rejected.select("pair", "turn", F.struct("role", "text").alias("b"))
+    both = a.join(b, ["pair", "turn"], "full_outer")
     sides = F.array(F.struct(F.lit("chosen").alias("part"), F.col("a").alias("m")), F.struct(F.lit("rejected").alias("part"), F.col("b").alias("m")))
     same = F.col("a").eqNullSafe(F.col("b"))
-    first = both.filter(~same).groupBy("pair_id").agg(F.min("turn").alias("first"))
-    placed = both.join(first, "pair_id", "left").withColumn("shared", F.coalesce(F.col("turn") < F.col("first"), F.lit(True)))
+    first = both.filter(~same).groupBy("pair").agg(F.min("turn").alias("first"))
+    placed = spread_join(both, first, ["pair"], F.col("turn")).withColumn("shared", F.coalesce(F.col("turn") < F.col("first"), F.lit(True)))
     prompt = F.array(F.struct(F.lit("prompt").alias("part"), F.col("a").alias("m")))
-    messages = placed.select("pair_id", "turn", F.explode(F.when(F.col("shared"), prompt).otherwise(F.filter(sides, lambda s: s["m"].isNotNull()))).alias("s"))
-    messages = messages.select("pair_id", "s.part", "turn", F.col("s.m.role").alias("role"), F.col("s.m.text").alias("text"))
+    messages = placed.select("pair", "turn", F.explode(F.when(F.col("shared"), prompt).otherwise(F.filter(sides, lambda s: s["m"].isNotNull()))).alias("s"))
+    messages = messages.select("pair", "s.part", "turn", F.col("s.m.role").alias("role"), F.col("s.m.text").alias("text"))
     rendered, head = _rendered(F.col("role"), F.col("text"))
     learned = (F.col("part") != "prompt") & (F.col("role") == learn_role)
-    out = messages.select("pair_id", "part", "turn", "role", rendered.alias("rendered"), head.cast("long").alias("head"), learned.alias("learned"))
+    out = messages.select("pair", "part", "turn", "role", rendered.alias("rendered"), head.cast("long").alias("head"), learned.alias("learned"))
     end = F.length("rendered").cast("long") - 1  # the line feed after the end mark isn't learned
-    return out.select("pair_id", "part", "turn", "role", "rendered", F.when(F.col("learned"), F.col("head")).otherwise(0).cast("long").alias("loss_start"), F.when(F.col("learned"), end).otherwise(0).cast("long").alias("loss_end"))
+    return out.select("pair", "part", "turn", "role", "rendered", F.when(F.col("learned"), F.col("head")).otherwise(0).cast("long").alias("loss_start"), F.when(F.col("learned"), end).otherwise(0).cast("long").alias("loss_end"))
+
+
+def _offsets(messages: DataFrame, block: int = 1024) -> DataFrame:
+    """``messages`` with ``at``, the code points of the same pair and part before each. Sums of blocks of turns first, so no window holds a long conversation."""
+    size = F.length("rendered").cast("long")
+    blocked = messages.withColumns({"block": F.floor(F.col("turn") / block), "size": size})
+    keys = ["pair", "part"]
+    sums = blocked.groupBy(*keys, "block").agg(F.sum("size").alias("total"))
+    before = F.sum("total").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*keys, "block", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.sum("size").over(Window.partitionBy(*keys, "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocked.withColumn("at", F.coalesce(inside, F.lit(0)))
+    return placed.join(starts.hint("merge"), [*keys, "block"]).withColumn("at", F.col("at") + F.col("start")).drop("block", "start", "size")
 
 
-def assembled(messages: DataFrame) -> DataFrame:
-    """One row per pair: prompt, chosen, rejected and for both completions the learned spans [start, end) in them.
+def paired(messages: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """One row per pair: pair_id, chunk, prompt, chosen, rejected, and chosen_mask and rejected_mask, the learned code points of the
+    completions as start:end, comma-joined.
 
-    For pairs whose messages together fit a row; :func:`preference_messages` needs no such bound.
+    A side of over ``chunk`` code points goes on in rows of chunk 1 and up (by the place where a message starts, messages stay whole), so
+    that a row has a bound; masks count from the start of the row's own text. All but giant pairs have chunk 0 only.
     """
-    parts = messages.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "rendered", "loss_start", "loss_end"))).alias("m"))
-    start = "named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, end: bigint>>))"
-    step = """named_struct('at', acc.at + length(x.rendered), 'spans', case when x.loss_end > x.loss_start
-        then concat(acc.spans, array(named_struct('start', acc.at + x.loss_start, 'end', acc.at + x.loss_end))) else acc.spans end)"""
-    parts = parts.select("pair_id", "part", F.array_join("m.rendered", "").alias("text"), F.expr(f"aggregate(m, {start}, (acc, x) -> {step}, acc -> acc.spans)").alias("spans"))
-    one = lambda part, what: F.max(F.when(F.col("part") == part, F.col(what)))
-    texts = [F.coalesce(one(p, "text"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")]
-    spans = [F.coalesce(F.max_by("spans", F.when(F.col("part") == p, 1)), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias(f"{p}_spans") for p in ("chosen", "rejected")]
-    return parts.groupBy("pair_id").agg(*texts, *spans)
+    placed = _offsets(messages).withColumn("chunk", F.floor(F.col("at") / chunk))
+    item = F.struct("turn", "rendered", "loss_start", "loss_end", "at")
+    parts = placed.groupBy("pair", "chunk", "part").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    base = F.col("m")[0]["at"]
+    learned = F.filter("m", lambda x: x["loss_end"] > x["loss_start"])
+    mask = F.array_join(F.transform(learned, lambda x: F.concat_ws(":", (x["at"] - base + x["loss_start"]).cast("string"), (x["at"] - base + x["loss_end"]).cast("string"))), ",")
+    parts = parts.select("pair", "chunk", "part", F.array_join("m.rendered", "").alias("text"), mask.alias("mask"))
+    one = lambda part, what: F.coalesce(F.max(F.when(F.col("part") == part, F.col(what))), F.lit(""))
+    sides = [one(p, "text").alias(p) for p in ("prompt", "chosen", "rejected")] + [one(p, "mask").alias(f"{p}_mask") for p in ("chosen", "rejected")]
+    return parts.groupBy("pair", "chunk").agg(*sides).select(pair_id(), "chunk", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
 
 
 def cut_short(conversation: DataFrame, role: str = "assistant") -> DataFrame:
@@ -85,11 +107,11 @@ def cut_short(conversation: DataFrame, role: str = "assistant") -> DataFrame:
 
     Answers of one sentence stay, so where the versions first differ depends on the texts.
     """
-    last = conversation.groupBy("pair_id").agg(F.max("turn").alias("last"))
+    last = conversation.groupBy("pair").agg(F.max("turn").alias("last"))
     late = (F.col("role") == role) & (2 * F.col("turn") >= F.col("last"))
     first = F.substring_index("text", ".", 1)
     shorter = F.when(first == F.col("text"), F.col("text")).otherwise(F.concat(first, F.lit(".")))
-    return conversation.join(last, "pair_id").select("pair_id", "turn", "role", F.when(late, shorter).otherwise(F.col("text")).alias("text"))
+    return spread_join(conversation, last, ["pair"], F.col("turn")).select("pair", "turn", "role", F.when(late, shorter).otherwise(F.col("text")).alias("text"))
 
 
 def stored_turns(conversations: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as chosen, and their versions with answers cut short as rejected."""
     chosen = preferences.stored_turns(table(spark, sf_dir, "conversations"))
-    return preferences.preference_messages(chosen, preferences.cut_short(chosen))
+    return preferences.paired(preferences.preference_messages(chosen, preferences.cut_short(chosen)))
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +88,13 @@ ORACLE_SQL = {
         p AS (SELECT *, coalesce(turn < min(CASE WHEN text <> cut THEN turn END) OVER (PARTITION BY pair_id), true) AS shared FROM t),
         m AS (SELECT pair_id, 'prompt' AS part, turn, role, text FROM p WHERE shared
             UNION ALL SELECT pair_id, 'chosen', turn, role, text FROM p WHERE NOT shared UNION ALL SELECT pair_id, 'rejected', turn, role, cut FROM p WHERE NOT shared),
-        r AS (SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS rendered,
-            part <> 'prompt' AND role = 'assistant' AS learned FROM m)
-        SELECT pair_id, part, turn, role, rendered, CAST(CASE WHEN learned THEN length(role) + 13 ELSE 0 END AS BIGINT) AS loss_start,
-            CAST(CASE WHEN learned THEN length(rendered) - 1 ELSE 0 END AS BIGINT) AS loss_end FROM r
+        r AS (SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS rendered FROM m),
+        o AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+        SELECT pair_id, CAST(0 AS BIGINT) AS chunk, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'prompt'), '') AS prompt, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen,
+            coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected,
+            coalesce(string_agg((before + 13 + length(role)) || ':' || (before + length(rendered) - 1), ',' ORDER BY turn) FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+            coalesce(string_agg((before + 13 + length(role)) || ':' || (before + length(rendered) - 1), ',' ORDER BY turn) FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+        FROM o GROUP BY pair_id
     """,
     "op8_licence_sentences": licences.oracle_sql(),
 }

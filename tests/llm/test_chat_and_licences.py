@@ -32,25 +32,39 @@ def test_queries_as_sql(spark, name):
 def test_pairs(spark):
     chosen = talk(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (1, 2, "user", "more"), (1, 3, "assistant", "yes"), (2, 0, "user", "same"), (3, 0, "user", "only chosen"), (5, 0, "user", "<|im_end|>x"), (5, 1, "assistant", "a<|im_start|>b")])
     rejected = talk(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (1, 2, "user", "less"), (1, 3, "assistant", "yes"), (1, 4, "assistant", "and"), (2, 0, "user", "same"), (4, 0, "assistant", "only rejected"), (5, 0, "user", "<|im_end|>x")])
-    rows = {r.pair_id: r for r in preferences.assembled(preferences.preference_messages(chosen, rejected)).collect()}
+    rows = {r.pair_id: r for r in preferences.paired(preferences.preference_messages(chosen, rejected)).collect()}
+    learned = lambda text, mask: [text[int(x) : int(y)] for x, y in (m.split(":") for m in mask.split(",") if m)]
     one = rows[1]
     assert one.prompt == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\ngood<|im_end|>\n"
     assert one.chosen == "<|im_start|>user\nmore<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n"
-    assert [one.chosen[s.start : s.end] for s in one.chosen_spans] == ["yes<|im_end|>"]
-    assert [one.rejected[s.start : s.end] for s in one.rejected_spans] == ["yes<|im_end|>", "and<|im_end|>"]
+    assert learned(one.chosen, one.chosen_mask) == ["yes<|im_end|>"]
+    assert learned(one.rejected, one.rejected_mask) == ["yes<|im_end|>", "and<|im_end|>"]
     assert (rows[2].chosen, rows[2].rejected) == ("", "") and rows[2].prompt
-    assert (rows[3].prompt, rows[3].rejected) == ("", "") and rows[3].chosen_spans == []
-    assert rows[4].rejected_spans[0].end == len(rows[4].rejected) - 1
+    assert (rows[3].prompt, rows[3].rejected, rows[3].chosen_mask) == ("", "", "")
+    assert rows[4].rejected_mask.endswith(f":{len(rows[4].rejected) - 1}")
     assert rows[5].prompt.count("<|im_end|>") == 1 and rows[5].chosen.count("<|im_start|>") == 1
 
 
+def test_long_pairs_go_on_in_chunks(spark):
+    """Offsets over several blocks of turns; the chunks put together are the side."""
+    said = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " * (k % 5)) for k in range(3000)]
+    messages = preferences.preference_messages(talk(spark, said), talk(spark, [(1, 0, "user", "other")]))
+    rows = sorted(preferences.paired(messages, chunk=10_000).collect(), key=lambda r: r.chunk)
+    whole = "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for _, _, role, text in said)
+    assert len(rows) > 5 and "".join(r.chosen for r in rows) == whole and max(len(r.chosen) for r in rows) < 10_100
+    learned = [r.chosen[int(x) : int(y)] for r in rows for x, y in (m.split(":") for m in r.chosen_mask.split(",") if m)]
+    assert learned == [f"{text}<|im_end|>" for _, _, role, text in said if role == "assistant"]
+
+
 def test_odd_turns(spark):
-    rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", ""), (None, 0, "user", "x"), (1, None, "user", "x"), (2, 5, "assistant", "z. y. x"), (2, 5, "assistant", "z. y. x")]
+    rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", ""), (None, 0, "user", "x"), (None, 1, "user", "y"), (1, None, "user", "x"), (2, 5, "assistant", "z. y. x"), (2, 5, "assistant", "z. y. x")]
     c = talk(spark, rows)
-    assert sorted(map(tuple, c.collect())) == [(1, 0, "user", ""), (1, 1, "assistant", ""), (2, 5, "assistant", "z. y. x")]
-    out = preferences.preference_messages(c, preferences.cut_short(c))
-    assert sorted((r.pair_id, r.part, r.turn) for r in out.collect()) == [(1, "prompt", 0), (1, "prompt", 1), (2, "chosen", 5), (2, "rejected", 5)]
-    assert preferences.preference_messages(c.limit(0), c.limit(0)).count() == 0
+    assert sorted((r.pair.missing, r.pair.id, r.turn, r.role, r.text) for r in c.collect()) == [
+        (False, 1, -1, "user", "x"), (False, 1, 0, "user", ""), (False, 1, 1, "assistant", ""), (False, 2, 5, "assistant", "z. y. x"), (True, 0, 0, "user", "x"), (True, 0, 1, "user", "y"),
+    ]
+    out = {r.pair_id: r for r in preferences.paired(preferences.preference_messages(c, preferences.cut_short(c))).collect()}
+    assert set(out) == {1, 2, None} and out[1].prompt.count("<|im_start|>") == 3 and out[1].chosen == "" and out[2].prompt == "" and out[2].chosen != out[2].rejected and out[None].prompt.count("<|im_start|>user") == 2
+    assert preferences.paired(preferences.preference_messages(c.limit(0), c.limit(0))).count() == 0
 
 
 MIT = """Copyright (c) 2020 Someone
@@ -90,16 +104,68 @@ GPL = """ * This program is free software: you can redistribute it and/or modify
  * the Free Software Foundation, either version 3 of the License, or
  * (at your option) any later version.
 """
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
+"""
+BSD = """Copyright (c) {who}. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+{names}
+THIS SOFTWARE IS PROVIDED BY {who} AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.  IN NO EVENT SHALL {who} OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE.
+"""
+NAMES = """3. Neither the name of {who} nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+GOOD = MIT.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil.\n\nTHE SOFTWARE IS PROVIDED")
 CASES = [
     (MIT, "MIT", 0),
     (GPL, "GPL-3.0-or-later", 0),
     ("Some prose\nReleased under the MIT License.", "MIT", 0),
+    ("Some prose\nReleased under the MIT Licence.", "MIT", 0),
     ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only", 0),
     ("Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", "Apache-2.0,CC-BY-NC-4.0", 0),
     ("# SPDX-License-Identifier: BSD-3-Clause\ncode", "BSD-3-Clause", 0),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode", "MIT OR Apache-2.0", 0),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0-or-later WITH Classpath-exception-2.0", 0),
     ("A licence is a fine thing. Released under pressure.", "", 0),
     (MIT.replace("The above copyright", "The below copyright"), "", 3),
-    ("All rights reserved.", "", 1),
+    ("All rights reserved.", "", 0),
+    (LGPL, "LGPL-2.1-or-later", 0),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy it.\n", "GPL-3.0", 0),
+    (BSD.format(who="Google Inc.", names=NAMES.format(who="Google Inc.")), "BSD-3-Clause", 0),
+    (BSD.format(who="THE REGENTS", names=NAMES.format(who="the University")), "BSD-3-Clause", 0),
+    (BSD.format(who="the author", names=""), "BSD-2-Clause", 0),
+    (BSD.format(who="the author", names="3. Nobody may use this on Sundays, and everybody knows why.\n"), "", 5),  # an unknown clause in between
+    (GOOD, "JSON", 0),
 ]
 
 
@@ -117,7 +183,7 @@ def test_apache_header(spark):
 def test_every_known_sentence_is_recognised(spark):
     table = licences.known()
     rows = licences.recognised(spark.createDataFrame([(k, s.replace("under ", "licensed under the ", 1) if s.startswith("under ") else s) for k, s in enumerate(table)], "doc_id long, text string")).collect()
-    wrong = [(list(table)[r.doc_id], r.ids) for r in rows if r.ids != [list(table.values())[r.doc_id]]]
+    wrong = [(list(table)[r.doc_id], r.seq) for r in rows if r.seq != f"<{list(table.values())[r.doc_id]}>"]
     assert not wrong
 
 
