@@ -83,6 +83,8 @@ KINDS = (
 AGAINST = "version|release|isbn|issn|order|serial|section|chapter|figure|table|article|total|id|no"
 NEAR = 24
 LABELERS = ("regex", "gazetteer", "context")
+#: Matches a block of running sums, and code points a piece of a text that is masked.
+BLOCK, PIECE = 256, 1024
 #: A candidate's features for the classifier: each has a few values, so that all combinations together are few.
 FEATURES = ("extra", "size", "digits", "marks", "joined_left", "joined_right", "cue")
 
@@ -91,13 +93,25 @@ def _q(s: str) -> str:
     return "r'" + s.replace("'", "\\'") + "'"
 
 
+def _starts(lengths: str) -> str:
+    """SQL: where each match begins, from an array of struct(gap, size) of code points before and in each match.
+
+    A growing array is copied at every step, so the sums run over blocks of matches: time stays in proportion to their number.
+    """
+    blocks = f"transform(sequence(0, cast((size({lengths}) - 1) / {BLOCK} as int)), b -> slice({lengths}, b * {BLOCK} + 1, {BLOCK}))"
+    inner = "aggregate(block, named_struct('at', acc.at, 'out', cast(array() as array<int>)), (i, x) -> named_struct('at', i.at + x.gap + x.size, 'out', concat(i.out, array(i.at + x.gap))), i -> i.out)"
+    total = "aggregate(block, 0, (n, x) -> n + x.gap + x.size)"
+    step = f"named_struct('at', acc.at + {total}, 'out', concat(acc.out, array({inner})))"
+    return f"aggregate({blocks}, named_struct('at', 0, 'out', cast(array() as array<array<int>>)), (acc, block) -> {step}, acc -> flatten(acc.out))"
+
+
 def _candidates(kind: Kind, text: str, pattern: str, extra: int) -> str:
     """SQL: array of struct(a, z, base, votes, features) for the matches of ``pattern`` in column ``text``; places from the lengths of what lies between."""
     matches, between = f"regexp_extract_all({text}, {_q(pattern)}, 0)", f"split({text}, {_q(pattern)}, -1)"
     zipped = f"zip_with(slice({between}, 1, size({matches})), {matches}, (s, m) -> struct(s, m))"
     nexts = f"slice({between}, 2, size({matches}))"
-    at = "named_struct('at', 0, 'out', cast(array() as array<int>))"
-    starts = f"aggregate({zipped}, {at}, (acc, x) -> named_struct('at', acc.at + length(x.s) + length(x.m), 'out', concat(acc.out, array(acc.at + length(x.s))))).out"
+    # One element that is the array of lengths, so that it is made once.
+    starts = f"flatten(transform(array(transform({zipped}, x -> named_struct('gap', length(x.s), 'size', length(x.m)))), lengths -> {_starts('lengths')}))"
     item = f"zip_with(zip_with({zipped}, {nexts}, (x, r) -> struct(x.s as s, x.m as m, r as r)), {starts}, (x, a) -> struct(x.s as s, x.m as m, x.r as r, a))"
     left = f"lower(right(x.s, {NEAR}))"
     # `m` in a kind's SQL is the match
@@ -260,6 +274,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _piece(start: str, end: str) -> str:
+    """SQL: code points [start, end) of the text that ``__p`` holds in pieces; ``substring`` would walk from the text's beginning each time."""
+    k = PIECE
+    first, last = f"cast({start} / {k} as int)", f"cast(({end} - 1) / {k} as int)"
+    return f"""case when {end} <= {start} then '' when {first} = {last} then substring(__p[{first}], {start} % {k} + 1, {end} - {start})
+        else concat(substring(__p[{first}], {start} % {k} + 1, {k}), array_join(slice(__p, {first} + 2, {last} - {first} - 1), ''), substring(__p[{last}], 1, ({end} - 1) % {k} + 1)) end"""
+
+
 def mask(docs: DataFrame, text_col: str = "text", limit: float = 0.9) -> DataFrame:
     """``docs`` with each span of a text replaced by its kind's mark; other columns and null texts stay as they are.
 
@@ -269,9 +291,13 @@ def mask(docs: DataFrame, text_col: str = "text", limit: float = 0.9) -> DataFra
     accepted = learn(found, limit)
     marks = "array(" + ", ".join(f"'{k.mask}'" for k in KINDS) + ")"
     ordered = "array_sort(__spans, (x, y) -> case when x.start <> y.start then x.start - y.start when x.end <> y.end then y.end - x.end else x.kind - y.kind end)"
-    start = "named_struct('at', 0, 'out', cast(array() as array<string>))"
-    step = f"""case when s.end <= acc.at then acc when s.start < acc.at then named_struct('at', s.end, 'out', acc.out)
-        else named_struct('at', s.end, 'out', concat(acc.out, array(substring(__t, acc.at + 1, s.start - acc.at), {marks}[s.kind]))) end"""
-    masked = f"case when size(__spans) = 0 then __t else aggregate({ordered}, {start}, (acc, s) -> {step}, acc -> concat(array_join(acc.out, ''), substring(__t, acc.at + 1))) end"
-    out = found.withColumn("__spans", chosen(accepted)).withColumn("__masked", F.expr(masked))
+    blocks = f"transform(sequence(0, cast((size(__o) - 1) / {BLOCK} as int)), b -> slice(__o, b * {BLOCK} + 1, {BLOCK}))"
+    step = f"""case when s.end <= i.at then i when s.start < i.at then named_struct('at', s.end, 'out', i.out)
+        else named_struct('at', s.end, 'out', concat(i.out, array({_piece("i.at", "s.start")}, {marks}[s.kind]))) end"""
+    inner = f"aggregate(block, named_struct('at', acc.at, 'out', cast(array() as array<string>)), (i, s) -> {step}, i -> array_join(i.out, ''))"
+    reach = "greatest(acc.at, aggregate(block, 0, (n, s) -> greatest(n, s.end)))"
+    outer = f"aggregate({blocks}, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, block) -> named_struct('at', {reach}, 'out', concat(acc.out, array({inner}))), acc -> concat(array_join(acc.out, ''), {_piece('acc.at', '__n')}))"
+    spans = found.withColumn("__spans", chosen(accepted))
+    cut = spans.withColumns({"__o": F.expr(ordered), "__n": F.length("__t"), "__p": F.when(F.size("__spans") > 0, F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
+    out = cut.withColumn("__masked", F.expr(f"case when size(__spans) = 0 then __t else {outer} end"))
     return out.select(*[F.when(F.col(c).isNotNull(), F.col("__masked")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
