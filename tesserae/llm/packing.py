@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import in_slices, safe_parts
-from .common import stored
+from .common import spread_join, stored
 
 #: Rows of a block of the prefix sums: 2 to this power.
 BLOCK = 12
@@ -23,14 +23,16 @@ BLOCK = 12
 def vocabulary(tokenizer_file: str, pattern: str) -> tiktoken.Encoding:
     """The byte-level BPE of a ``tokenizers`` JSON file; one for each worker.
 
-    Such a file writes each byte as one printable character, and its merges are in the order of the ids, which are so the ranks.
+    Such a file writes each byte as one printable character, and its merges are in the order of the ids, which are so the ranks. Its added
+    tokens are taken whole wherever a text writes them, as that library does.
     """
     with open(tokenizer_file, encoding="utf-8") as lines:
-        vocab = json.load(lines)["model"]["vocab"]
+        whole = json.load(lines)
+    vocab, added = whole["model"]["vocab"], {t["content"]: t["id"] for t in whole.get("added_tokens", ())}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(x for x in range(256) if x not in set(plain))}
-    ranks = {bytes(letters[c] for c in token): rank for token, rank in vocab.items() if all(c in letters for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in token): rank for token, rank in vocab.items() if all(c in letters for c in token) and token not in added}
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -40,7 +42,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int =
         enc = vocabulary(tokenizer_file, pattern)
         kind = "<u2" if max(enc.max_token_value, end_id) < 1 << 16 else "<u4"
         for batch in in_slices(batches):
-            found = [np.concatenate([*(enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(t, 1 << 16)), [end_id]]).astype(kind) for t in batch.column(2).to_pylist()]
+            found = [np.concatenate([*(enc.encode_to_numpy(p, allowed_special="all") for p in safe_parts(t, 1 << 16)), [end_id]]).astype(kind) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "queue", "n_ids", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("queue"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -87,7 +89,7 @@ def schedule(lengths: DataFrame, window: int = 2048, quantum: int = 128, targets
         weighted = totals.join(targets.select("queue", F.col("weight").cast("double").alias("weight")), "queue", "left")
         weighted = weighted.crossJoin(F.broadcast(targets.agg(F.min("weight").cast("double").alias("least")))).withColumn("weight", F.coalesce("weight", "least"))
     share = weighted.crossJoin(F.broadcast(weighted.agg(F.sum("weight").alias("all")))).select("queue", (F.lit(window) * F.col("weight") / F.col("all")).alias("earned"))  # one row each
-    placed = before(lengths, "row", F.col("n_ids"), "queue", 4).join(share, "queue")
+    placed = spread_join(before(lengths, "row", F.col("n_ids"), "queue", 4), share, ["queue"], F.col("row"), "inner")
     packets = placed.select("row", "queue", "n_ids", "before", "earned", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_ids") - 1, F.lit(quantum).cast("long"))).alias("start"))
     length = F.least(F.lit(quantum).cast("long"), F.col("n_ids") - F.col("start"))
     packets = packets.select("row", "queue", "start", length.alias("length"), F.ceil((F.col("before") + F.col("start") + length) / F.col("earned")).cast("long").alias("round"))

@@ -40,7 +40,6 @@ def test_stages(spark, sf_dir):
             at = max(at, s.end)
         assert (r.text or "") == "".join(out) + text[at:]
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     last = {r.doc_id: r.text or "" for r in seen[4].collect()}
     want = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for d, x in last.items()}
     rows = corpus_pipeline.STAGES[-1][1](spark, seen[4], sf_dir).collect()
