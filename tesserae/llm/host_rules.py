@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .bpe import in_slices
+from .common import SPACES, spread_join, stored
 
 SYMBOLS = b"#*$%&|<>"
-#: Join keys of a host when verdicts go back to its documents.
-SALTS = 16
+#: A host fails a rule if its shrunk rate is so many standard deviations of the prior beyond the prior's mean; the limit is kept between two shares.
+FLOOR, CEILING, DEVIATIONS = 0.3, 0.5, 3.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -53,7 +54,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, host and the counts of every row's whole text (null: no words), with one flag for each rule that it fails."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             counts = np.array([_counts(t or "") for t in batch.column(2).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, counts.T.copy())], ["doc_id", "host", *COUNTS])
 
@@ -71,7 +72,10 @@ RULES = {
 
 
 def host_rates(counted: DataFrame) -> DataFrame:
-    """One row per host: documents, and for each rule the failures and the rate shrunk by a beta prior fitted to all hosts by moments.
+    """One row per host: documents, and for each rule the failures, the rate shrunk by a beta prior fitted to all hosts by moments, and the limit.
+
+    The limit of a rule lies ``DEVIATIONS`` standard deviations of its prior beyond the prior's mean, but between ``FLOOR`` and ``CEILING``:
+    a host fails where it stands out among all hosts and much of it fails, or where half of it does.
 
     The prior's mean is the pooled rate. Its strength follows from the variance of the hosts' rates beyond the binomial one; where there
     is none (or one host only) the strength is the mean number of documents of a host. Hosts with no document don't occur; rows without
@@ -89,7 +93,10 @@ def host_rates(counted: DataFrame) -> DataFrame:
     )
     prior = pooled.select(*[_prior(name).alias(f"{name}_prior") for name in RULES])
     rated = hosts.crossJoin(F.broadcast(prior))  # one row
-    return rated.select("host", "documents", *RULES, *[((F.col(r) + F.col(f"{r}_prior.mean") * F.col(f"{r}_prior.strength")) / (n + F.col(f"{r}_prior.strength"))).alias(f"{r}_rate") for r in RULES])
+    mean, strength = (lambda r: F.col(f"{r}_prior.mean")), (lambda r: F.col(f"{r}_prior.strength"))
+    rates = [((F.col(r) + mean(r) * strength(r)) / (n + strength(r))).alias(f"{r}_rate") for r in RULES]
+    limits = [F.least(F.lit(CEILING), F.greatest(F.lit(FLOOR), mean(r) + DEVIATIONS * F.sqrt(mean(r) * (1 - mean(r)) / (strength(r) + 1)))).alias(f"{r}_limit") for r in RULES]
+    return rated.select("host", "documents", *RULES, *rates, *limits)
 
 
 def _prior(name: str):
@@ -104,18 +111,45 @@ def _prior(name: str):
     return F.struct(F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(strength, F.lit(1.0)).alias("strength"))
 
 
-def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
+def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, host_failed and kept.
 
     base_failed: under 50 words, or over half of the words inside repeated windows. host_failed: the shrunk rate of one of ``RULES`` for
-    the document's host is over ``limit``. kept: neither. A null text has no words and fails; rows without a host share one entry and are
-    never failed by it. Repeated rows count each. An empty table gives an empty result; other columns are ignored.
+    the document's host is over the rule's limit (:func:`host_rates`). kept: neither. A null text has no words and fails; rows without a
+    host share one entry and are never failed by it. Repeated rows count each. An empty table gives an empty result; other columns are
+    ignored.
     """
     counted = stored(rule_counts(docs, id_col, text_col, host_col), "rule-counts")
-    rates = host_rates(counted)
-    bad = rates.filter("host is not null").select("host", F.greatest(*[F.col(f"{r}_rate") for r in RULES]).alias("worst")).filter(F.col("worst") > limit)
+    failed = F.greatest(*[F.col(f"{r}_rate") > F.col(f"{r}_limit") for r in RULES])
+    bad = host_rates(counted).filter("host is not null").filter(failed).select("host", F.lit(True).alias("bad"))
     base = F.expr(f"({RULES['few_words']}) or ({RULES['repeats']})")
-    # A host with a large share of all documents is spread over several join keys; hosts' verdicts are few beside the documents.
-    spread = counted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    joined = spread.join(bad.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
-    return joined.select("doc_id", *COUNTS, base.alias("base_failed"), F.col("worst").isNotNull().alias("host_failed"), (~base & F.col("worst").isNull()).alias("kept"))
+    joined = spread_join(counted, bad, ["host"], F.col("doc_id"))
+    return joined.select("doc_id", *COUNTS, base.alias("base_failed"), F.col("bad").isNotNull().alias("host_failed"), (~base & F.col("bad").isNull()).alias("kept"))
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB's SQL."""
+    flags = ", ".join(f"CAST({rule} AS INTEGER) AS {name}" for name, rule in RULES.items())
+    sums = ", ".join(f"sum({name}) AS {name}" for name in RULES)
+    moments = ", ".join(f"sum({name}) / sum(n)::DOUBLE AS {name}_mean, sum({name} * {name} / n::DOUBLE) AS {name}_square" for name in RULES)
+    between = lambda r: f"(({r}_square - total * {r}_mean * {r}_mean) - (k - 1) * {r}_mean * (1 - {r}_mean)) / nullif(total - squares / total, 0)"
+    strengths = ", ".join(f"CASE WHEN {between(r)} > 0 AND {r}_mean * (1 - {r}_mean) > 0 THEN greatest({r}_mean * (1 - {r}_mean) / ({between(r)}) - 1, 1) ELSE total / k END AS {r}_strength" for r in RULES)
+    fails = " OR ".join(f"({r} + {r}_mean * {r}_strength) / (n + {r}_strength) > least({CEILING}, greatest({FLOOR}, {r}_mean + {DEVIATIONS} * sqrt({r}_mean * (1 - {r}_mean) / ({r}_strength + 1))))" for r in RULES)
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT rid, doc_id, source, text, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '') AS ws FROM d),
+        places AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) > 2),
+        often AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM places),
+        repeated AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM often, (VALUES (0), (1), (2)) AS offsets(o) WHERE n > 1 GROUP BY 1),
+        lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d), dups AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY 1),
+        c AS (SELECT doc_id, source AS host, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN repeated USING (rid) LEFT JOIN dups USING (rid)),
+        f AS (SELECT host, {flags} FROM c), h AS (SELECT host, count(*) AS n, {sums} FROM f GROUP BY 1),
+        m AS (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares, {moments} FROM h), p AS (SELECT *, {strengths} FROM m),
+        bad AS (SELECT DISTINCT host FROM h, p WHERE host IS NOT NULL AND ({fails}))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({RULES["few_words"]}) OR ({RULES["repeats"]}) AS base_failed, bad.host IS NOT NULL AS host_failed,
+            NOT (({RULES["few_words"]}) OR ({RULES["repeats"]})) AND bad.host IS NULL AS kept FROM c LEFT JOIN bad ON bad.host = c.host
+    """

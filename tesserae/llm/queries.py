@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, pii, preferences
+from . import bpe, host_rules, licences, pii, preferences
 from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
@@ -96,5 +96,6 @@ ORACLE_SQL = {
             coalesce(string_agg((before + 13 + length(role)) || ':' || (before + length(rendered) - 1), ',' ORDER BY turn) FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_mask
         FROM o GROUP BY pair_id
     """,
+    "op6_host_rules": host_rules.oracle_sql(),
     "op8_licence_sentences": licences.oracle_sql(),
 }

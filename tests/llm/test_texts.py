@@ -8,6 +8,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -58,6 +59,21 @@ def test_bad_host_takes_its_documents_along(spark):
     assert all(out[k].kept for k in range(100)) and not any(out[200 + k].kept for k in range(50))
 
 
+def test_host_verdicts_as_sql(spark):
+    """Rates, prior, limits and the join back are recomputed in SQL, on hosts of which some fail by rules beside the base."""
+    good, symbols, lines = " ".join(f"word{k}" for k in range(80)), "### " * 20 + " ".join(f"w{k}" for k in range(60)), "same line of some words here\n" * 3 + "other words that come once\n" * 2 + " ".join(f"v{k}" for k in range(9))
+    rows = [(k, (good, good, good, symbols)[k % 4] if k % 3 else good, f"h{k % 23}") for k in range(600)] + [(1000 + k, symbols if k % 5 else good, "bad1") for k in range(60)] + [(2000 + k, lines if k % 4 else good, "bad2") for k in range(40)] + [(3000, symbols, None), (3001, None, "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = host_rules.host_verdicts(df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({host_rules.oracle_sql()})").fetchall()
+    out = got.select(*columns).collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in out)
+    assert {r.doc_id // 1000 for r in out if r.host_failed} == {1, 2} and any(not r.kept and not r.base_failed for r in out)
+
+
 def test_shrinkage_keeps_small_hosts_near_the_prior(spark):
     rows = [(f"h{k}", 100, k % 3, 1, 1) for k in range(300)]
     counted = spark.createDataFrame([(h, n, 0, 0, 60 if bad == 0 else 0) for h, n, bad, _, _ in rows for _ in range(1)], "host string, n_words long, n_symbols long, word_chars long, n_repeat_words long").withColumn("n_dup_lines", F.lit(0).cast("long"))
@@ -170,11 +186,18 @@ def check_packed(rows, ids: dict, window: int = 2048) -> None:
 
 def test_packing_query(spark, sf_dir):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for d, x in texts(spark, sf_dir).items()}
     check_packed(queries.op4_mixture_packing(spark, sf_dir).collect(), ids)
 
 
+def test_packing_takes_added_tokens_as_the_library(spark):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    said = {k: x for k, x in enumerate(["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> <|end of text|>", "x " * 70_000 + "<|endoftext|> y"])}
+    want = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for d, x in said.items()}
+    df = spark.createDataFrame([(d, x, "s") for d, x in said.items()], "doc_id long, text string, source string")
+    check_packed(queries.packed(df, P.path("byte_bpe_50k.json")).collect(), want)
+
+
 def test_mixture_in_every_window(spark):
     """Targets of 3 : 1 hold in each window until a queue runs dry."""
     lengths = spark.createDataFrame([(k, k % 2, 50 + k % 400) for k in range(2000)], "row long, queue long, n_ids long")
