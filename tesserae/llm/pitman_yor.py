@@ -8,9 +8,11 @@ depends on both words, so that no frequent word or context gathers in one task.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ from .common import dropped, fold, lean, stored
 #: Hashes of what is no word: the context of a text's first token, and the token that ends a text.
 START, END = 1, 2
 BLOCK_TOKENS, PART_TOKENS = 1 << 20, 3 << 20
+#: Dishes of up to so many customers are drawn exactly.
+EXACT = 2048
+#: The sender of a ``words`` row that holds samples.
+SAMPLED = -2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,6 +58,13 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
 
 
+def _dealt(to: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Receivers and the places of what each gets. None gets an empty message, so messages are as many as what they hold at most, however many receivers there are."""
+    order = np.argsort(to, kind="stable")
+    who, start = np.unique(to[order], return_index=True)
+    return list(zip(who.tolist(), np.split(order, start[1:]), strict=True)) if len(to) else []
+
+
 Rows = Iterator[pa.RecordBatch]
 
 
@@ -140,10 +153,9 @@ class Block:
         keys, which = np.unique(self.u << 32 | self.w, return_inverse=True)
         return keys >> 32, keys & 0xFFFFFFFF, which
 
-    def by_part(self, u: np.ndarray, w: np.ndarray, parts: int) -> list[np.ndarray]:
-        """The pairs of each part, in their order."""
-        to = _part(pair_hash(self.words[u], self.words[w]), parts)
-        return np.split(np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=parts))[:-1])
+    def by_part(self, u: np.ndarray, w: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+        """The parts that have pairs, each with its pairs in their order."""
+        return _dealt(_part(pair_hash(self.words[u], self.words[w]), parts))
 
 
 def requests(blocks: DataFrame, parts: int) -> DataFrame:
@@ -154,15 +166,14 @@ def requests(blocks: DataFrame, parts: int) -> DataFrame:
         b = Block(row)
         u, w, which = b.pairs()
         count = np.bincount(which[b.train], minlength=len(u)).astype(np.uint32)
-        for p, own in enumerate(b.by_part(u, w, parts)):
+        for p, own in b.by_part(u, w, parts):
             pu, runs = np.unique(u[own], return_counts=True)
-            used = np.zeros(len(b.words), bool)
-            used[pu] = used[w[own]] = True
-            used = np.flatnonzero(used)
+            used = np.unique(np.concatenate([pu, w[own]]))
             order = np.argsort(b.words[used])
-            code = np.zeros(len(b.words), np.uint32)
-            code[used[order]] = np.arange(len(used), dtype=np.uint32)
-            yield _batch([(p, "pairs", row["block"], packed(b.words[used[order]]), packed(code[pu]), packed(runs.astype(np.uint32)), packed(code[w[own]]), packed(count[own]))], schema)
+            code = np.empty(len(used), np.uint32)
+            code[order] = np.arange(len(used), dtype=np.uint32)
+            number = lambda x, used=used, code=code: code[np.searchsorted(used, x)]
+            yield _batch([(p, "pairs", row["block"], packed(b.words[used[order]]), packed(number(pu)), packed(runs.astype(np.uint32)), packed(number(w[own])), packed(count[own]))], schema)
 
     def each(batches: Rows) -> Rows:
         lean()
@@ -178,9 +189,8 @@ def _sums(place: np.ndarray, value: np.ndarray | None, n: int) -> np.ndarray:
 
 def _told(kind: str, sender: int, parts: int, words: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
     """Messages to the word parts about ``words``."""
-    to = _part(words, parts)
     blank = [EMPTY] * (4 - len(arrays))
-    return [(p, kind, sender, packed(words[to == p]), *(packed(a[to == p]) for a in arrays), *blank) for p in range(parts)]
+    return [(p, kind, sender, packed(words[own]), *(packed(a[own]) for a in arrays), *blank) for p, own in _dealt(_part(words, parts))]
 
 
 def counted(parts: int) -> Callable:
@@ -220,59 +230,91 @@ def counted(parts: int) -> Callable:
     return answer
 
 
-class Seating:
-    """The tables of many dishes at once: table sizes dish by dish. A step of Gibbs sampling takes one customer of every dish out and seats it again."""
-
-    def __init__(self, customers: np.ndarray, seed: int) -> None:
-        self.tables, self.sizes = np.minimum(customers, 1).astype(np.int64), customers[customers > 0].astype(np.int64)
-        self.rng = np.random.default_rng(seed)
-
-    def grow(self, customers: np.ndarray) -> None:
-        """Bring each dish to ``customers``: new ones join its first table, or open one; leavers go from the last tables."""
-        owner = np.repeat(np.arange(len(self.tables)), self.tables)
-        starts = np.cumsum(self.tables) - self.tables
-        before = np.cumsum(self.sizes) - self.sizes
-        before -= np.repeat(before[starts[self.tables > 0]], self.tables[self.tables > 0])
-        left = np.clip(customers.astype(np.int64)[owner] - before, 0, self.sizes)
-        have = np.bincount(owner, left, len(self.tables)).astype(np.int64)
-        more = customers.astype(np.int64) - have
-        join = (self.tables > 0) & (more > 0)
-        left[starts[join]] += more[join]
-        self.tables = np.bincount(owner[left > 0], minlength=len(self.tables))
-        self.sizes = left[left > 0]
-        empty = (self.tables == 0) & (customers > 0)
-        at = (np.cumsum(self.tables) - self.tables)[empty]
-        self.sizes = np.insert(self.sizes, at, customers[empty].astype(np.int64))
-        self.tables[empty] = 1
-
-    def step(self, fresh: np.ndarray, discount: float) -> None:
-        """``fresh``: for each dish, the weight of a new table."""
-        live = np.flatnonzero(self.tables)
-        if not len(live):
-            return
-        t = self.tables[live]
-        ends = np.cumsum(t)
-        total = np.cumsum(self.sizes)
-        base = total[ends - 1] - np.add.reduceat(self.sizes, ends - t)
-        customers = total[ends - 1] - base
-        pick = base + (self.rng.random(len(live)) * customers).astype(np.int64)
-        leaves = np.searchsorted(total, pick, "right")
-        self.sizes[leaves] -= 1
-        weights = np.maximum(self.sizes - discount, 0)
-        total = np.cumsum(weights)
-        base = total[ends - 1] - np.add.reduceat(weights, ends - t)
-        rest = total[ends - 1] - base
-        opens = self.rng.random(len(live)) * (fresh[live] + rest) >= rest
-        pick = base + self.rng.random(len(live)) * rest
-        joins = np.clip(np.searchsorted(total, pick, "right"), ends - t, ends - 1)[~opens]
-        while len(bad := joins[self.sizes[joins] == 0]):  # rounding may end at an emptied table; its neighbour is of the same dish
-            joins[self.sizes[joins] == 0] = np.where(np.isin(bad, (ends - t)[~opens]), bad + 1, bad - 1)
-        self.sizes[joins] += 1
-        owner = np.repeat(live, t)
-        grown = np.insert(self.sizes, ends[opens], 1)
-        owner = np.insert(owner, ends[opens], live[opens])
-        self.sizes = grown[grown > 0]
-        self.tables = np.bincount(owner[grown > 0], minlength=len(self.tables))
+@lru_cache(maxsize=4)
+def _stirling(discount: float, most: int) -> list[np.ndarray]:
+    """Logarithms of the generalised Stirling numbers S(n, t) for n of 0 to ``most`` and t of 1 to n: the weight of all ways to seat n customers at t tables."""
+    rows, now = [np.zeros(0, np.float32), np.zeros(1, np.float32)], np.zeros(1)
+    for n in range(1, most):
+        t = np.arange(1, n + 1)
+        stay = np.append(np.log(n - discount * t) + now, -np.inf)
+        now = np.logaddexp(stay, np.append(-np.inf, now))
+        rows.append(now.astype(np.float32))
+    return rows
+
+
+class _Large:
+    """G(n, t) = S(n, t) d^(t-1) (t-1)! / S(n, 1) of large n and t up to ``MOST``, at a grid of n; it grows towards 1.
+
+    G(n + 1, t) = G(n, t) + d (t - 1) / (n - d) (G(n, t - 1) - G(n, t)). From ``SLOW`` on, n grows by small shares of itself a step.
+    """
+
+    MOST, SLOW, RATIO = 4096, 1 << 16, 1.1
+
+    def __init__(self, discount: float) -> None:
+        self.discount, self.n = discount, 1
+        self.now = np.zeros(self.MOST)
+        self.now[0] = 1
+        self.rate = discount * np.arange(self.MOST)
+        self.grid: list[tuple[int, np.ndarray]] = []
+
+    def row(self, n: int) -> np.ndarray:
+        """Logarithms of G(n, t), between two rows of the grid by the logarithm of n."""
+        while not self.grid or self.grid[-1][0] < n:
+            until = EXACT if not self.grid else math.ceil(self.grid[-1][0] * self.RATIO)
+            while self.n < until:
+                jump = 1 if self.n < self.SLOW else min(until - self.n, self.n // self.SLOW * 4)
+                self.now[1:] += np.minimum(jump * self.rate[1:] / (self.n - self.discount), 1) * (self.now[:-1] - self.now[1:])
+                self.n += jump
+            with np.errstate(divide="ignore"):
+                self.grid.append((self.n, np.maximum(np.log(self.now), -1e6)))
+        k = bisect.bisect_left([g[0] for g in self.grid], n)
+        hi, above = self.grid[k]
+        if hi == n or not k:
+            return above
+        lo, below = self.grid[k - 1]
+        return below + (above - below) * (math.log(n / lo) / math.log(hi / lo))
+
+
+@lru_cache(maxsize=4)
+def _large(discount: float) -> _Large:
+    return _Large(discount)
+
+
+@lru_cache(maxsize=1)
+def _factorials() -> np.ndarray:
+    """Logarithms of (t - 1)!."""
+    return np.cumsum(np.log(np.maximum(np.arange(_Large.MOST), 1)))
+
+
+def sampled_tables(customers: np.ndarray, p: np.ndarray, other: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """A Gibbs draw of each dish's number of tables, given its customers, its probability ``p`` in the parent and the ``other`` tables of its restaurant.
+
+    The whole dish is seated anew: P(t) is in proportion to p^t (s + d other) ... (s + d (other + t - 1)) S(customers, t), the sum over
+    all seatings at t tables; S from a table up to ``EXACT`` customers, beyond that by :class:`_Large`. Where over half of the tables that
+    it holds are expected, S is taken at its limit for many customers, which makes t - 1 negative binomial. Dishes without customers have
+    no table.
+    """
+    tables = np.minimum(customers, 1).astype(np.int64)
+    few = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    if len(few):
+        few = few[np.argsort(customers[few], kind="stable")]
+        sizes, start = np.unique(customers[few], return_index=True)
+        known = _stirling(discount, EXACT)
+        for n, same in zip(sizes.astype(int).tolist(), np.split(few, start[1:]), strict=True):
+            for k in range(0, len(same), step := max(1, (1 << 20) // n)):
+                own = same[k : k + step]
+                log = np.cumsum(np.log(strength + discount * (other[own, None] + np.arange(n))) + np.log(p[own, None]), axis=1) + known[n]
+                weight = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+                tables[own] = 1 + (weight < (rng.random(len(own)) * weight[:, -1])[:, None]).sum(axis=1)
+    for i in np.flatnonzero(customers > EXACT):
+        x, chance = strength / discount + other[i], min(float(p[i]), 1 - 1e-9)
+        if (x + 1) * chance / (1 - chance) > _Large.MOST / 2:
+            tables[i] = min(int(customers[i]), 1 + rng.negative_binomial(x + 1, 1 - chance))
+            continue
+        log = np.cumsum(np.log(x + np.arange(_Large.MOST)) + math.log(chance)) - _factorials() + _large(discount).row(int(customers[i]))
+        weight = np.cumsum(np.exp(log - log.max()))
+        tables[i] = 1 + np.searchsorted(weight, rng.random() * weight[-1], "right")
+    return tables
 
 
 def merged(rows: list[dict]) -> list[tuple]:
@@ -288,24 +330,21 @@ def merged(rows: list[dict]) -> list[tuple]:
 
 
 class Model:
-    """What all tasks need to know: a few numbers."""
+    """The shared parent as all tasks need to know it: a few numbers."""
 
     def __init__(self, discount: float, strength: float, customers: float, tables: float, vocabulary: int) -> None:
         self.discount, self.strength, self.customers, self.tables, self.base = discount, strength, customers, tables, 1 / (vocabulary + 1)
 
-    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Probability of words in the shared parent, whose own parent gives each of the vocabulary and one unknown word the same."""
-        new = (self.strength + self.discount * self.tables) * self.base
-        return (customers - self.discount * tables + new) / (self.strength + self.customers)
+    def parent(self, less: np.ndarray) -> np.ndarray:
+        """Probability of words in the parent from their customers less the discounts of their tables; its own parent gives each of the vocabulary and one unknown word the same."""
+        return (less + (self.strength + self.discount * self.tables) * self.base) / (self.strength + self.customers)
 
-    def fresh(self) -> float:
-        return (self.strength + self.discount * self.tables) * self.base
 
-
-def seated_words(model: Model, steps: int, seed: int) -> Callable:
+def seated_words(model: Model, seed: int, keep: int) -> Callable:
     """Of a word part: the new ``words`` row (its customers in the parent from the ``tables`` that pair parts told), and ``prob`` to pair parts.
 
-    A ``words`` row: hashes, counts, context counts, fixed tables, and [customers, parent's tables, tables as context] of the last sample.
+    A ``words`` row: hashes, counts, context counts, fixed tables, and of the last ``keep`` samples [customers less discounts in the
+    parent, tables in the parent, tables as context]. ``prob``: the first and the last of these for the words that a pair part told of.
     """
 
     def answer(rows: list[dict]) -> list[tuple]:
@@ -317,20 +356,17 @@ def seated_words(model: Model, steps: int, seed: int) -> Callable:
         tw1, tu1 = np.split(unpacked(own["d"], np.uint64).astype(float), 2)
         told = [r for r in rows if r["kind"] == "tables"]
         places = [np.searchsorted(words, unpacked(r["a"], np.uint64)) for r in told]
-        if told:
-            at = np.concatenate(places)
-            tw2, tu2 = (np.bincount(at, np.concatenate([unpacked(r[k], np.float64) for r in told]), len(words)) for k in "bc")
-        else:
-            tw2, tu2 = np.split(unpacked(own["e"], np.float64), 2)[:2]
-        customers = np.rint(tw1 + tw2).astype(np.int64)
-        seating, kept = Seating(customers, seed + part), np.zeros(len(words))
-        for k in range(steps):
-            seating.step(np.full(len(words), model.fresh()), model.discount)
-            if k >= steps // 2:
-                kept += seating.tables / (steps - steps // 2)
-        p = model.parent(tw1 + tw2, kept)
-        out = [(part, "words", -1, own["a"], own["b"], own["c"], own["d"], packed(np.concatenate([tw1 + tw2, kept, tu1 + tu2])))]
-        return out + [(r["sender"], "prob", part, packed(p[i].astype(np.float32)), packed((tu1 + tu2)[i].astype(np.float32)), EMPTY, EMPTY, EMPTY) for r, i in zip(told, places, strict=True)]
+        at = np.concatenate([np.zeros(0, np.int64), *places])
+        tw2, tu2 = (np.bincount(at, np.concatenate([np.zeros(0), *(unpacked(r[k], np.float64) for r in told)]), len(words)) for k in "bc")
+        customers, tu = np.rint(tw1 + tw2).astype(np.int64), tu1 + tu2
+        samples = unpacked(own["e"], np.float64)
+        samples = samples[: len(samples) // (3 * len(words)) * 3 * len(words)] if own["sender"] == SAMPLED else samples[:0]
+        before = samples[-2 * len(words) : -len(words)] if len(samples) else np.minimum(customers, 1)
+        tables = sampled_tables(customers, np.full(len(words), model.base), np.maximum(model.tables - before, 0), model.discount, model.strength, np.random.default_rng([seed, part]))
+        less = customers - model.discount * tables
+        samples = np.concatenate([samples, less, tables, tu])[-3 * keep * len(words) :]
+        out = [(part, "words", SAMPLED, own["a"], own["b"], own["c"], own["d"], packed(samples))]
+        return out + [(r["sender"], "prob", part, packed(less[i].astype(np.float32)), packed(tu[i].astype(np.float32)), EMPTY, EMPTY, EMPTY) for r, i in zip(told, places, strict=True)]
 
     return answer
 
@@ -346,10 +382,10 @@ def told_words(parts: int) -> Callable:
     return answer
 
 
-def seated_pairs(parts: int, discount: float, strength: float, steps: int, seed: int) -> Callable:
-    """Of a pair part: Gibbs steps over its dishes given the parent's probabilities; ``tables`` to word parts and ``mean`` tables of its pairs.
+def seated_pairs(parts: int, model: Model, discount: float, strength: float, seed: int, kept: bool, last: bool) -> Callable:
+    """Of a pair part: a draw of its dishes' tables given the parent; ``tables`` to word parts, ``seats`` (tables, and their sum over kept draws).
 
-    The first half of the steps is burn-in, the tables told and kept are means over the second half.
+    The ``last`` draw also gives ``mean``: customers less discounts, averaged over the kept draws.
     """
 
     def answer(rows: list[dict]) -> list[tuple]:
@@ -359,16 +395,18 @@ def seated_pairs(parts: int, discount: float, strength: float, steps: int, seed:
         part, words = own["to"], unpacked(own["a"], np.uint64)
         u, w, customers = unpacked(own["b"], np.uint32), unpacked(own["c"], np.uint32), unpacked(own["d"], np.uint64)
         heard = sorted((r for r in rows if r["kind"] == "prob"), key=lambda r: r["sender"])
-        p, tu = (np.concatenate([unpacked(r[k], np.float32) for r in heard] or [np.zeros(0, np.float32)]).astype(float) for k in "ab")
-        seating, kept = Seating(customers, seed + part), np.zeros(len(customers))
-        change = np.zeros(len(words))
-        for k in range(steps):
-            seating.step((strength + discount * np.maximum(tu[u] + change[u], 0)) * p[w], discount)
-            change = np.bincount(u, seating.tables - 1, len(words))  # each dish began with one table, as ``tu`` has it
-            if k >= steps // 2:
-                kept += seating.tables / (steps - steps // 2)
-        out = _told("tables", part, parts, words, np.bincount(w, kept, len(words)), np.bincount(u, kept, len(words)))
-        return [*out, (part, "mean", part, packed(customers - discount * kept), EMPTY, EMPTY, EMPTY, EMPTY)]
+        less, tu = (np.concatenate([unpacked(r[k], np.float32) for r in heard] or [np.zeros(0, np.float32)]).astype(float) for k in "ab")
+        seats = next((r for r in rows if r["kind"] == "seats"), None)
+        before = unpacked(seats["a"], np.uint32) if seats else np.ones(len(customers), np.uint32)
+        total = unpacked(seats["b"], np.uint32) if seats else np.zeros(len(customers), np.uint32)
+        draws = unpacked(seats["c"], np.uint32)[0] if seats else 0
+        tables = sampled_tables(customers.astype(np.int64), model.parent(less)[w], np.maximum(tu[u] - before, 0), discount, strength, np.random.default_rng([seed, part]))
+        if kept:
+            total, draws = (total + tables).astype(np.uint32), draws + 1
+        out = _told("tables", part, parts, words, np.bincount(w, tables, len(words)), np.bincount(u, tables, len(words)))
+        if last:
+            return [*out, (part, "mean", part, packed(customers - discount * total / max(1, draws)), EMPTY, EMPTY, EMPTY, EMPTY)]
+        return [*out, (part, "seats", part, packed(tables.astype(np.uint32)), packed(total), packed(np.array([draws], np.uint32)), EMPTY, EMPTY)]
 
     return answer
 
@@ -397,16 +435,16 @@ def asked(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.select("block", "words").mapInArrow(each, SENT[0])
 
 
-def informed(model: Model) -> Callable:
-    """Of a word part, to blocks: count, count as context, probability in the parent, and tables as context of the words asked for."""
+def informed(models: list[Model]) -> Callable:
+    """Of a word part, to blocks: count, count as context, and for each kept sample probability in the parent and tables as context, of the words asked for."""
 
     def answer(rows: list[dict]) -> list[tuple]:
         own = next((r for r in rows if r["kind"] == "words"), None)
         words = unpacked(own["a"], np.uint64) if own else np.zeros(0, np.uint64)
         c, cu = (np.append(unpacked(own[k], np.uint64), np.uint64(0)) if own else np.zeros(1, np.uint64) for k in "bc")
-        customers, tables, tu = np.split(unpacked(own["e"], np.float64), 3) if own else np.zeros((3, 0))
-        p = np.append(model.parent(customers, tables), model.parent(np.zeros(1), np.zeros(1)))
-        tu = np.append(tu, 0)
+        samples = unpacked(own["e"], np.float64).reshape(len(models), 3, -1) if own else np.zeros((len(models), 3, 0))
+        p = np.stack([m.parent(np.append(x[0], 0)) for m, x in zip(models, samples, strict=True)]).astype(np.float32)
+        tu = np.stack([np.append(x[2], 0) for x in samples]).astype(np.float32)
         out = []
         for r in rows:
             if r["kind"] == "asked":
@@ -414,16 +452,16 @@ def informed(model: Model) -> Callable:
                 i = np.searchsorted(words, a)
                 i[np.append(words, 0)[i] != a] = len(words)
                 i = np.minimum(i, len(words))
-                out.append((r["sender"], "words", r["to"], packed(c[i]), packed(cu[i]), packed(p[i].astype(np.float32)), packed(tu[i].astype(np.float32)), EMPTY))
+                out.append((r["sender"], "words", r["to"], packed(c[i]), packed(cu[i]), packed(p[:, i].ravel()), packed(tu[:, i].ravel()), EMPTY))
         return out
 
     return answer
 
 
-SCORES = _schema("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+SCORES = _schema("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def score_blocks(blocks: DataFrame, heard: DataFrame, parts: int, discount: float, strength: float, total: int, vocabulary: int) -> DataFrame:
+def score_blocks(blocks: DataFrame, heard: DataFrame, parts: int, discount: float, strength: float, total: int, vocabulary: int, samples: int) -> DataFrame:
     """A row per document from the blocks and what pair and word parts answered."""
     schema = SCORES[1]
 
@@ -433,44 +471,66 @@ def score_blocks(blocks: DataFrame, heard: DataFrame, parts: int, discount: floa
         b = Block(row)
         rows = sorted(right.to_pylist(), key=lambda r: r["sender"])
         order = np.argsort(_part(b.words, parts), kind="stable")
-        info = []
-        for field, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.float32), ("d", np.float32)):
-            x = np.zeros(len(b.words))
-            x[order] = np.concatenate([unpacked(r[field], kind) for r in rows if r["kind"] == "words"])
-            info.append(x)
-        c, cu, p, tu = info
+        told = [r for r in rows if r["kind"] == "words"]
+
+        def heard_of(field: str, kind: type, samples: int) -> np.ndarray:
+            x = np.zeros((samples, len(b.words)))
+            x[:, order] = np.concatenate([unpacked(r[field], kind).reshape(samples, -1) for r in told], axis=1)
+            return x
+
+        (c,), (cu,), p, tu = heard_of("a", np.uint64, 1), heard_of("b", np.uint64, 1), heard_of("c", np.float32, samples), heard_of("d", np.float32, samples)
         u, w, which = b.pairs()
-        order = np.concatenate(b.by_part(u, w, parts))
+        order = np.concatenate([own for _, own in b.by_part(u, w, parts)])
         told = [r for r in rows if r["kind"] == "pairs"]
         code = np.concatenate([unpacked(r["a"], np.uint8) for r in told])
         less = np.where(code == 1, 1 - discount, 0.0)
         less[code == 2] = np.concatenate([unpacked(r["b"], np.float32) for r in told])
         seated = np.zeros(len(u))
         seated[order] = less
+        # the parent's part, averaged over the kept samples
+        backed = np.mean([(strength + discount * t[u]) * q[w] for t, q in zip(tu, p, strict=True)], axis=0)
         base = np.log10((c[b.w] + 0.1) / (total + 0.1 * (vocabulary + 1)))
-        own = np.log10((seated[which] + (strength + discount * tu[b.u]) * p[b.w]) / (strength + cu[b.u]))
+        own = np.log10((seated + backed) / (strength + cu[u]))[which]
         add = lambda x: np.add.reduceat(x, b.starts)
         missing = unpacked(row["missing"], np.uint8) > 0
         ids = pa.array(unpacked(row["doc_ids"], np.int64), mask=missing)
         known = add((c[b.w] > 0).astype(np.int64))
-        return pa.Table.from_arrays([ids, pa.array(b.held), pa.array(b.lens), pa.array(known), pa.array(np.full(len(known), total)), pa.array(add(base)), pa.array(add(own))], schema=schema)
+        score = add(own)
+        perplexity = 10 ** np.minimum(-score / b.lens, 300)
+        return pa.Table.from_arrays([ids, pa.array(b.held), pa.array(b.lens), pa.array(known), pa.array(np.full(len(known), total)), pa.array(add(base)), pa.array(score), pa.array(perplexity)], schema=schema)
 
     return blocks.groupBy("block").cogroup(heard.withColumnRenamed("to", "block").groupBy("block")).applyInArrow(each, SCORES[0])
 
 
-def _totals(words: DataFrame, which: str, size: int) -> dict[str, float]:
-    """Sums over all words: counts, distinct words, and of the last array its thirds or halves and how many words have 1 or 2 customers."""
+def _totals(words: DataFrame) -> dict[str, float]:
+    """Sums over all words before any sample: counts, distinct words, customers in the parent, and how many words have 1 or 2 of these."""
+
+    def each(batches: Rows) -> Rows:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c, fixed, more = unpacked(row["b"], np.uint64), unpacked(row["d"], np.uint64).astype(float), unpacked(row["e"], np.float64)
+                seats = np.rint(np.split(fixed, 2)[0] + np.split(more, 2)[0])
+                yield pa.RecordBatch.from_pydict({"n": [float(c.sum())], "v": [float((c > 0).sum())], "one": [float((seats == 1).sum())], "two": [float((seats == 2).sum())]})
+
+    return _summed(words, each, ("n", "v", "one", "two"))
+
+
+def _seated_totals(words: DataFrame, discount: float) -> dict[str, float]:
+    """Customers and tables of the parent in the last sample."""
 
     def each(batches: Rows) -> Rows:
         for batch in batches:
             for row in batch.to_pylist():
-                c, x = unpacked(row["b"], np.uint64), np.split(unpacked(row[which], np.float64), size)
-                fixed = np.split(unpacked(row["d"], np.uint64).astype(float), 2)[0] if size == 2 else 0
-                seats = np.rint(x[0] + fixed)
-                yield pa.RecordBatch.from_pydict({"n": [float(c.sum())], "v": [float((c > 0).sum())], "customers": [float(seats.sum())], "tables": [float(x[1].sum())], "one": [float((seats == 1).sum())], "two": [float((seats == 2).sum())]})
+                n = len(unpacked(row["a"], np.uint64))
+                less, tables, _ = np.split(unpacked(row["e"], np.float64)[-3 * n :], 3)
+                yield pa.RecordBatch.from_pydict({"customers": [float((less + discount * tables).sum())], "tables": [float(tables.sum())]})
+
+    return _summed(words, each, ("customers", "tables"))
+
 
-    found = words.mapInArrow(each, "n double, v double, customers double, tables double, one double, two double").groupBy().sum().first()
-    return {k: float(x or 0) for k, x in zip(("n", "v", "customers", "tables", "one", "two"), found, strict=True)}
+def _summed(words: DataFrame, each: Callable, names: tuple[str, ...]) -> dict[str, float]:
+    found = words.mapInArrow(each, ", ".join(f"{n} double" for n in names)).groupBy().sum().first()
+    return {k: float(x or 0) for k, x in zip(names, found, strict=True)}
 
 
 def _discount(one: float, two: float) -> float:
@@ -478,18 +538,18 @@ def _discount(one: float, two: float) -> float:
     return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
 
 
-def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, rounds: int = 2, steps: int = 8, strength: float = 1.0, seed: int = 7) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
+def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, rounds: int = 3, keep: int = 2, strength: float = 1.0, seed: int = 7) -> DataFrame:
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text) and perplexity (of a token by ``score``).
 
     Rows whose crc32(id as text) modulo ``held_out`` isn't 0 train the model. Words are runs of anything but white space in ASCII lower case,
-    and an end token follows the last. In each of ``rounds`` rounds, every dish (a word after a context) goes through ``steps`` steps of
-    Gibbs sampling given the parent's probabilities, and then the words' seatings in the parent are sampled given the tables of all
-    restaurants; the parent's probabilities and table totals that a step uses are those of the round before. P(w | u) =
-    (c_uw - d t_uw + (s + d t_u) P(w)) / (s + c_u) with table counts averaged over the samples, which sums to one over all words and the
-    unknown one.
+    and an end token follows the last. In each of ``rounds`` rounds of Gibbs sampling, the words' tables in the parent are drawn given the
+    tables of all context restaurants, then every dish (a word after a context) is seated anew given the parent
+    (:func:`sampled_tables`); tables that other dishes of a restaurant hold are those of the round before, so that all restaurants are
+    drawn at once. Of the last ``keep`` samples, P(w | u) = (c_uw - d t_uw + (s + d t_u) P(w)) / (s + c_u) is averaged; each of these
+    sums to one over all words and the unknown one, and so does their mean.
 
     A null text counts as empty, a null id as the empty text in the checksum, repeated rows count and are answered each, an empty table
-    gives an empty result, other columns are ignored. Without training texts every score is 0.
+    gives an empty result, other columns are ignored. Without training texts every score is 0 and every perplexity 1.
     """
     own = blocks(docs, id_col, text_col, held_out)
     size = own.agg(F.sum("n")).first()[0] or 0
@@ -505,20 +565,23 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_pydict({"one": [one], "two": [two]})
 
     discount = _discount(*(x or 0.0 for x in state.select("e").mapInArrow(numbers, "one double, two double").groupBy().sum().first()))
-    at = _totals(words, "e", 2)
+    at = _totals(words)
     total, vocabulary = round(at["n"]), round(at["v"])
-    # The parent starts with a table for every word.
-    model = Model(_discount(at["one"], at["two"]), strength, at["customers"], vocabulary, vocabulary)
-    told = _grouped(state, told_words(parts))
-    for k in range(rounds):
-        heard = _grouped(words.unionByName(told.filter("kind = 'tables'")), seated_words(model, steps, seed + 1000 * k))
-        before, told = told, _grouped(state.unionByName(heard.filter("kind = 'prob'")), seated_pairs(parts, discount, strength, steps, seed + 1000 * k + 500))
-        dropped(before, heard)
-    before, words = words, _grouped(words.unionByName(told.filter("kind = 'tables'")), seated_words(model, steps, seed + 1000 * rounds)).filter("kind = 'words'")
-    dropped(before)
-    at = _totals(words, "e", 3)
-    model = Model(model.discount, strength, at["customers"], at["tables"], vocabulary)
+    # The parent starts with a table for every word, the restaurants with one for every dish.
+    model = Model(_discount(at["one"], at["two"]), strength, 0, vocabulary, vocabulary)
+    told, models = _grouped(state, told_words(parts)), []
+    for k in range(rounds + 1):
+        heard = _grouped(words.unionByName(told.filter("kind = 'tables'")), seated_words(model, seed + 1000 * k, keep))
+        dropped(words)
+        words = heard.filter("kind = 'words'")
+        model = Model(model.discount, strength, *_seated_totals(words, model.discount).values(), vocabulary)
+        models = [*models, model][-keep:]
+        if k < rounds:
+            before = told
+            sent = state.unionByName(heard.filter("kind = 'prob'")).unionByName(told.filter("kind = 'seats'"))
+            told = _grouped(sent, seated_pairs(parts, model, discount, strength, seed + 1000 * k + 500, k >= rounds - keep, k == rounds - 1))
+            dropped(before)
     pairs = first.filter("kind = 'reply'").unionByName(told.filter("kind = 'mean'"))
-    heard = _grouped(pairs, answered).unionByName(_grouped(words.unionByName(asked(own, parts)), informed(model)))
+    heard = _grouped(pairs, answered).unionByName(_grouped(words.unionByName(asked(own, parts)), informed(models)))
     dropped(first, told, words)
-    return score_blocks(own, heard, parts, discount, strength, total, vocabulary)
+    return score_blocks(own, heard, parts, discount, strength, total, vocabulary, len(models))

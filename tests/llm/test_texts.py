@@ -237,39 +237,126 @@ def test_language_model_query(spark, sf_dir):
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(count[w] > 0 for w in t), total)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t))
+        assert r.perplexity == pytest.approx(10 ** (-r.score / len(t)))
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_language_model_sums_to_one(spark):
-    """One-word texts, held out: the probabilities of all words and of the rest, each with its end, make a distribution over first words."""
-    train = [(k, t) for k, t in enumerate(["a b a c", "a b b", "c a b a", "b", "a a a d"] * 6) if zlib.crc32(str(k).encode()) % 10]
-    ids = [k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 10 == 0]
-    asked = [(i, w) for i, w in zip(ids, ["", "a", "b", "c", "d", "zzz"], strict=False)]
-    rows = {r.doc_id: r for r in pitman_yor.text_scores(spark.createDataFrame(train + asked, "doc_id long, text string")).collect()}
-    first = 10 ** rows[ids[0]].score  # the end at once
-    two = {w: 10 ** rows[i].score for i, w in asked[1:]}
-    # P(w) P(end | w) <= P(w): bound the sum from the pairs that the model can end with
-    assert 0 < first < 1 and all(0 < p < 1 for p in two.values()) and first + sum(two.values()) <= 1 + 1e-6
-
-
-def test_seating_keeps_customers_and_follows_the_restaurant():
-    """Table counts after many steps are those of the Chinese restaurant given the customers."""
-    rng = np.random.default_rng(2)
-    discount, fresh, customers = 0.5, 1.3, 6
-    weights = {1: 0.0}
-    # exact: P(t | c) is proportional to fresh-weighted generalised Stirling numbers
-    s = {(1, 1): 1.0}
-    for n in range(2, customers + 1):
-        for t in range(1, n + 1):
-            s[n, t] = s.get((n - 1, t - 1), 0.0) + (n - 1 - discount * t) * s.get((n - 1, t), 0.0)
-    weights = {t: s[customers, t] * fresh**t for t in range(1, customers + 1)}
-    exact = sum(t * w for t, w in weights.items()) / sum(weights.values())
-    seating = pitman_yor.Seating(np.full(20_000, customers, np.uint64), int(rng.integers(100)))
-    for _ in range(60):
-        seating.step(np.full(20_000, fresh), discount)
-        assert seating.sizes.sum() == 20_000 * customers and seating.sizes.min() > 0
-    assert seating.tables.mean() == pytest.approx(exact, rel=0.02)
+class Plain:
+    """The hierarchical model by the book: every customer of every restaurant gets up and is seated again, one after the other."""
+
+    def __init__(self, pairs: Counter, discount: float, above: float, kinds: int, seed: int, strength: float = 1.0) -> None:
+        self.d, self.e, self.s, self.kinds, self.rng = discount, above, strength, kinds, np.random.default_rng(seed)
+        self.tables = {k: [n] for k, n in pairs.items()}  # context, word: table sizes
+        self.parent: dict[str, list[int]] = {}
+        for (_, w), n in pairs.items():
+            self.parent.setdefault(w, []).append(1)
+        self.all = list(pairs.elements())
+
+    def above(self, w: str) -> float:
+        customers, tables = sum(map(sum, self.parent.values())), sum(map(len, self.parent.values()))
+        own = self.parent.get(w, [])
+        return (sum(own) - self.e * len(own) + (self.s + self.e * tables) / (self.kinds + 1)) / (self.s + customers)
+
+    def p(self, u: str, w: str) -> float:
+        own, t = self.tables.get((u, w), []), sum(len(x) for (v, _), x in self.tables.items() if v == u)
+        n = sum(sum(x) for (v, _), x in self.tables.items() if v == u)
+        return (sum(own) - self.d * len(own) + (self.s + self.d * t) * self.above(w)) / (self.s + n)
+
+    def _leave(self, sizes: list[int]) -> bool:
+        k = self.rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def _sit(self, sizes: list[int], discount: float, fresh: float) -> bool:
+        weights = np.array([*(n - discount for n in sizes), fresh])
+        k = self.rng.choice(len(weights), p=weights / weights.sum())
+        if k == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[k] += 1
+        return False
+
+    def sweep(self) -> None:
+        for u, w in self.all:
+            if self._leave(self.tables[u, w]):
+                self._leave(self.parent[w])
+            t = sum(len(x) for (v, _), x in self.tables.items() if v == u)
+            if self._sit(self.tables[u, w], self.d, (self.s + self.d * t) * self.above(w)):
+                total = sum(map(len, self.parent.values()))
+                self._sit(self.parent[w], self.e, (self.s + self.e * total) / (self.kinds + 1))
+
+
+def test_language_model_as_a_plain_sampler(spark):
+    """Scores of held-out texts against long runs of the plain sampler on the same corpus."""
+    rng = np.random.default_rng(6)
+    said = ["the cat sat on the mat", "the dog sat", "a cat and a dog and a cat", "on the mat the cat sat", "the the the dog", "a mat on a mat", "new words come here"]
+    rows = [(k, " ".join([said[j] for j in rng.integers(0, len(said), 3)])) for k in range(40)]
+    rows += [(k, x) for k, x in zip((j for j in range(1000, 3000) if zlib.crc32(str(j).encode()) % 10 == 0), ["the cat sat", "a dog on the mat", "unknown things", "the the the", "", "mat mat cat here"], strict=False)]
+    pairs, kinds = Counter(), set()
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 10:
+            words = [*t.split(), "<end>"]
+            pairs.update(zip(["<start>", *words], words, strict=False))
+            kinds |= set(words)
+    often, tables = Counter(pairs.values()), Counter(Counter(w for _, w in pairs).values())
+    model = Plain(pairs, pitman_yor._discount(often[1], often[2]), pitman_yor._discount(tables[1], tables[2]), len(kinds), 3)
+    held = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 10 == 0]
+    asked = {(u, w) for _, t in held for u, w in zip(["<start>", *t.split()], [*t.split(), "<end>"], strict=True)}
+    found: dict = {a: [] for a in asked}
+    for k in range(120):
+        model.sweep()
+        if k >= 20:
+            for u, w in asked:
+                found[u, w].append(model.p(u, w))
+    assert sum(model.p("the", w) for w in [*kinds, "never seen"]) == pytest.approx(1)
+    mean = {a: np.mean(x) for a, x in found.items()}
+    got = {r.doc_id: r for r in pitman_yor.text_scores(spark.createDataFrame(rows, "doc_id long, text string"), rounds=40, keep=30).collect()}
+    few = {r.doc_id: r for r in pitman_yor.text_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in held:
+        want = sum(math.log10(mean[u, w]) for u, w in zip(["<start>", *t.split()], [*t.split(), "<end>"], strict=True))
+        assert got[k].score == pytest.approx(want, abs=0.03 + 0.04 * got[k].n_tokens), (t, want)
+        assert few[k].score == pytest.approx(want, abs=0.1 + 0.08 * got[k].n_tokens), (t, want)
+
+
+def test_parent_sums_to_one():
+    model = pitman_yor.Model(0.6, 1.0, 500, 90, 70)
+    rng = np.random.default_rng(0)
+    tables = rng.multinomial(20, np.ones(70) / 70) + 1
+    customers = tables + rng.multinomial(500 - tables.sum(), np.ones(70) / 70)
+    assert model.parent(np.append(customers - 0.6 * tables, 0)).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("customers", "p", "other"), [(10, 0.01, 300), (10, 0.3, 2), (1000, 0.002, 5000), (2048, 0.05, 40), (2049, 0.05, 40), (5000, 0.02, 8000), (100_000, 0.001, 2000), (100_000, 0.02, 50), (150_000, 0.01, 20_000)])
+def test_tables_are_those_of_the_restaurant(customers, p, other):
+    """With the production settings, mean tables of dishes of every size are the exact ones."""
+    discount, most = 0.7, min(customers, 600)
+    t = np.arange(1, most + 1)
+    now = np.full(most, -np.inf)
+    now[0] = 0
+    for n in range(1, customers):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            stay = np.where(t <= n, np.log(np.maximum(n - discount * t, 1e-300)) + now, -np.inf)
+        now = np.logaddexp(stay, np.append(-np.inf, now[:-1]))
+    log = now + np.cumsum(np.log(1.0 + discount * (other + t - 1)) + math.log(p))
+    weight = np.exp(log - log.max())
+    exact = (weight * t).sum() / weight.sum()
+    assert weight[-1] < 1e-9 * weight.sum() or most == customers
+    many = 4000
+    got = pitman_yor.sampled_tables(np.full(many, customers), np.full(many, p), np.full(many, float(other)), discount, 1.0, np.random.default_rng(1))
+    assert got.mean() == pytest.approx(exact, rel=0.02)
+
+
+def test_messages_are_bounded_by_what_they_hold():
+    """Every receiver that gets something gets one message; with more receivers than content there are as many messages as content."""
+    to = np.array([5, 3, 5, 9, 3])
+    dealt = pitman_yor._dealt(to)
+    assert [(w, x.tolist()) for w, x in dealt] == [(3, [1, 4]), (5, [0, 2]), (9, [3])] and pitman_yor._dealt(to[:0]) == []
+    words = np.arange(1000, dtype=np.uint64) * pitman_yor.MIX
+    assert len(pitman_yor._told("x", 0, 4, words)) == 4 and len(pitman_yor._told("x", 0, 1 << 40, words)) <= 1000
 
 
 def test_packed_arrays():
