@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 
-PLACED = "x long, y long"
+PLACED = "x long, y long, page long"
 
 
 def _row(sizes: list[tuple[int, int]], width: int, pad: int) -> list[tuple[int, int]]:
@@ -56,19 +56,30 @@ def _rects(sizes: list[tuple[int, int]], width: int, pad: int, height: int) -> l
 
 
 def packed(frames: DataFrame, key: str, order: str, how: str = "shelf", width: int = 256, pad: int = 1, height: int = 1 << 30) -> DataFrame:
-    """``frames`` (w, h) with x and y in their sheet; ``how``: row, shelf or rects. A frame without room has null places.
+    """``frames`` (w, h) with page, x and y; ``how``: row, shelf or rects.
 
-    The folds are sequential, so a sheet is a task's group; frames of a sheet are bounded by the sheet.
+    Frames that a page has no room for go on to further pages of the same size; a frame that is larger than a page has null places. The
+    folds are sequential, so the frames of one ``key`` are a task's group.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + ", " + PLACED
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(order, kind="stable")
         sizes = list(zip(df["w"].tolist(), df["h"].tolist(), strict=True))
-        places = _rects(sizes, width, pad, height) if how == "rects" else {"row": _row, "shelf": _shelf}[how](sizes, width, pad)
-        fits = [p is not None and p[0] + s[0] + pad <= width and p[1] + s[1] + pad <= height for p, s in zip(places, sizes, strict=True)]
-        column = lambda k: pd.array([p[k] if ok else None for p, ok in zip(places, fits, strict=True)], "Int64")
-        return df.assign(x=column(0), y=column(1))
+        placed: list[tuple[int, int, int] | None] = [None] * len(sizes)
+        left, page = list(range(len(sizes))), 0
+        while left:
+            own = [sizes[i] for i in left]
+            places = _rects(own, width, pad, height) if how == "rects" else {"row": _row, "shelf": _shelf}[how](own, width, pad)
+            fits = [p is not None and p[0] + s[0] + pad <= width and p[1] + s[1] + pad <= height for p, s in zip(places, own, strict=True)]
+            if not any(fits):
+                break
+            for i, p, ok in zip(left, places, fits, strict=True):
+                if ok:
+                    placed[i] = (*p, page)
+            left, page = [i for i, ok in zip(left, fits, strict=True) if not ok], page + 1
+        column = lambda k: pd.array([p and p[k] for p in placed], "Int64")
+        return df.assign(x=column(0), y=column(1), page=column(2))
 
     return frames.groupBy(key).applyInPandas(one, schema)
 

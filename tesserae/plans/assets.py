@@ -80,7 +80,7 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fx.sprites(spark, sf_dir).filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("sheet"), "l_linenumber", "l_partkey", "l_suppkey", "w", "h").distinct()
+    s = fx.sprites(spark, sf_dir).select(F.col("l_orderkey").alias("sheet"), "l_linenumber", "l_partkey", "l_suppkey", "w", "h").distinct()
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
     return ops.sheet_layout(s, ["sheet"], order, 3, SHEET).select("sheet", *order, "i", "cell_w", "cell_h", "x", "y")
 
@@ -142,6 +142,10 @@ _PICK = lambda words, n: f"([{', '.join(map(repr, words))}])[p_partkey // {n} %
 _IN = lambda words: "(" + ", ".join(map(repr, words)) + ")"
 
 ORACLE_SQL = {
+    "safe_names": r"""WITH n AS (SELECT p_partkey, p_type, CASE WHEN p_partkey % 5 = 0 THEN 'con.png' ELSE CASE WHEN p_partkey % 7 = 0 THEN '..' ELSE '' END || p_brand || ':?' || p_type || '.png ' END AS raw FROM part),
+        t AS (SELECT *, trim(regexp_replace(raw, '[/\\<>:"|?*\r\n\t]', '_', 'g'), '. ') AS t FROM n)
+        SELECT p_partkey, CASE WHEN upper(regexp_replace(t, '[.][^.]*$', '')) = 'CON' THEN '_' || t ELSE t END AS safe, lower(regexp_replace(p_type, '[^\p{L}\p{N}_]', '_', 'g')) AS c_name, upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')) AS constant,
+            CASE WHEN length(p_type) <= 8 THEN '***' ELSE p_type[:4] || '...' || p_type[-4:] END AS masked FROM t""",
     "manifest_usage": f"WITH {_V}, u AS (SELECT platform, count(*) AS assets, CAST(sum(tiles) AS BIGINT) AS tiles, count(DISTINCT palette) AS palettes, {_TIER} AS tier FROM v GROUP BY 1) SELECT *, tiles <= {_SPEC(5)} AS tiles_ok, palettes <= {_SPEC(3)} AS palettes_ok FROM u",
     "palette_users": f"WITH {_V} SELECT platform, palette, count(*) AS assets, min(asset) AS first FROM v GROUP BY 1, 2",
     "needs_processing": f"WITH {_V} SELECT asset, platform, stage FROM v WHERE stage <> 'F'",
@@ -157,7 +161,7 @@ ORACLE_SQL = {
     "tile_offset_prefix": f"WITH {_V} SELECT asset, platform, tiles, CAST(coalesce(sum(tiles) OVER (PARTITION BY platform ORDER BY asset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM v",
     "duplicate_names": """WITH p AS (SELECT p_partkey, p_brand, p_size || CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END || p_partkey % 4 AS name FROM part), c AS (SELECT *, '_' || replace(name, '-', '_') AS clean FROM p)
         SELECT * EXCLUDE n FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, clean) AS n FROM c) WHERE n > 1""",
-    "sheet_layout": f"""WITH {fx.SPRITES}, s AS (SELECT DISTINCT l_orderkey AS sheet, l_linenumber, l_partkey, l_suppkey, w, h FROM sprites WHERE l_orderkey % 50 = 0),
+    "sheet_layout": f"""WITH {fx.SPRITES}, s AS (SELECT DISTINCT l_orderkey AS sheet, l_linenumber, l_partkey, l_suppkey, w, h FROM sprites),
         c AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, list_min(list_filter([8, 16, 24, 32, 64], lambda v: v >= max(w) OVER (PARTITION BY sheet))) AS cell_w, list_min(list_filter([8, 16, 24, 32, 64], lambda v: v >= max(h) OVER (PARTITION BY sheet))) AS cell_h FROM s)
         SELECT sheet, l_linenumber, l_partkey, l_suppkey, CAST(i AS INTEGER) AS i, cell_w, cell_h, i % 3 * cell_w + (cell_w - w) // 2 AS x, i // 3 * cell_h + (cell_h - h) // 2 AS y FROM c""",
     "label_left_join": """WITH f AS (SELECT o_custkey AS id, arg_min(o_orderpriority, o_orderkey) AS type, arg_min(CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END, o_orderkey) AS d FROM orders GROUP BY 1)

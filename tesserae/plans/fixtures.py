@@ -108,13 +108,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(d).alias("d")) for m, d in (("a", 0), ("b", 1), ("c", 9))]))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", models.alias("m")).filter("(o_orderkey + m.d) % 4 <> 0")
     return o.select(
-        (F.col("o_orderkey") % 97).alias("image"), F.col("m.model").alias("model"), F.col("o_orderkey").alias("ord"),
+        F.floor(F.col("o_orderkey") / 50).alias("image"), F.col("m.model").alias("model"), F.col("o_orderkey").alias("ord"),
         (F.col("o_custkey") * 29 % 1200 + F.col("m.d")).cast("int").alias("x"), (F.col("o_orderkey") * 17 % 800).cast("int").alias("y"),
         (16 + F.col("o_orderkey") % 3 * 8).cast("int").alias("w"), (16 + F.col("o_custkey") % 3 * 8).cast("int").alias("h"), F.col("o_orderpriority").alias("type"),
     )
 
 
-BOXES = """boxes AS (SELECT o_orderkey % 97 AS image, m AS model, o_orderkey AS ord, CAST(o_custkey * 29 % 1200 + d AS INTEGER) AS x, CAST(o_orderkey * 17 % 800 AS INTEGER) AS y,
+BOXES = """boxes AS (SELECT o_orderkey // 50 AS image, m AS model, o_orderkey AS ord, CAST(o_custkey * 29 % 1200 + d AS INTEGER) AS x, CAST(o_orderkey * 17 % 800 AS INTEGER) AS y,
     CAST(16 + o_orderkey % 3 * 8 AS INTEGER) AS w, CAST(16 + o_custkey % 3 * 8 AS INTEGER) AS h, o_orderpriority AS type
     FROM orders, (VALUES ('a', 0), ('b', 1), ('c', 9)) AS models(m, d) WHERE (o_orderkey + d) % 4 <> 0)"""
 

@@ -81,7 +81,7 @@ def kosinski_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.sprites(spark, sf_dir).select((F.col("l_orderkey") % 500).alias("sheet"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), "w", "h").groupBy("sheet", "ord").agg(F.min("w").alias("w"), F.min("h").alias("h"))
+    return fx.sprites(spark, sf_dir).select(F.floor(F.col("l_orderkey") / 40).alias("sheet"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), "w", "h").groupBy("sheet", "ord").agg(F.min("w").alias("w"), F.min("h").alias("h"))
 
 
 def row_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +93,11 @@ def shelf_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maxrects_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.packed(_frames(spark, sf_dir), "sheet", "ord", "rects", height=4096)
+    return sheets.packed(_frames(spark, sf_dir), "sheet", "ord", "rects", height=256)
 
 
 def bank_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fx.table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("game"), F.col("p_partkey").alias("ord"), (F.col("p_size") * 401 % 20_000 + 100).cast("long").alias("bytes"))
+    s = fx.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("game"), F.col("p_partkey").alias("ord"), (F.col("p_size") * 401 % 20_000 + 100).cast("long").alias("bytes"))
     return sheets.banks(s, "game", "ord")
 
 
@@ -152,6 +152,16 @@ _R = repr(16_000 / 22_050)
 _LOAD = " ".join(f"WHEN rate <= {r1} THEN {v0} + (rate - {r0}) / {float(r1 - r0)}::DOUBLE * {v1 - v0}" for (r0, v0), (r1, v1) in zip(sorted(audio.LOAD.items()), sorted(audio.LOAD.items())[1:], strict=False))
 
 ORACLE_SQL = {
+    "row_pack": f"""WITH RECURSIVE {fx.SPRITES}, f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY ord) AS i FROM (SELECT l_orderkey // 40 AS sheet, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS ord, min(w) AS w, min(h) AS h FROM sprites GROUP BY 1, 2)),
+        r AS (SELECT sheet, ord, w, h, i, 1::BIGINT AS x, 1::BIGINT AS y, h::BIGINT AS tall FROM f WHERE i = 1
+            UNION ALL SELECT f.sheet, f.ord, f.w, f.h, f.i, CASE WHEN r.x + r.w + f.w + 2 > 256 THEN 1 ELSE r.x + r.w + 1 END, CASE WHEN r.x + r.w + f.w + 2 > 256 THEN r.y + r.tall + 1 ELSE r.y END,
+                CASE WHEN r.x + r.w + f.w + 2 > 256 THEN f.h ELSE greatest(r.tall, f.h) END FROM r JOIN f ON f.sheet = r.sheet AND f.i = r.i + 1)
+        SELECT sheet, ord, w, h, x, y, CAST(0 AS BIGINT) AS page FROM r""",
+    "bank_ffd": """WITH RECURSIVE s AS (SELECT p_partkey // 50 AS game, p_partkey AS ord, CAST(p_size * 401 % 20000 + 100 AS BIGINT) AS bytes FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY bytes DESC, ord) AS i FROM s),
+        r AS (SELECT game, ord, bytes, i, [bytes] AS used, 1::BIGINT AS k FROM f WHERE i = 1
+            UNION ALL SELECT game, ord, bytes, i, CASE WHEN spot = 0 THEN list_append(used, bytes) ELSE list_transform(used, lambda u, j: CASE WHEN j = spot THEN u + bytes ELSE u END) END, CASE WHEN spot = 0 THEN len(used) + 1 ELSE spot END
+            FROM (SELECT f.game, f.ord, f.bytes, f.i, r.used, coalesce(list_position(list_transform(r.used, lambda u: u + f.bytes <= 32768), true), 0)::BIGINT AS spot FROM r JOIN f ON f.game = r.game AND f.i = r.i + 1))
+        SELECT game, ord, bytes, k - 1 AS bank FROM r""",
     "iou_pairs": f"""WITH {fx.BOXES}, p AS (SELECT a.image, a.ord AS a, a.model AS a_model, b.ord AS b, b.model AS b_model, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS iw, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS ih, a.w * a.h + b.w * b.h AS areas
         FROM boxes a JOIN boxes b ON a.image = b.image AND (a.ord, a.model) < (b.ord, b.model)), i AS (SELECT *, iw * ih AS "inner", areas - iw * ih AS "outer" FROM p WHERE iw >= 0 AND ih >= 0)
         SELECT image, a, a_model, b, b_model, "inner", "outer" FROM i WHERE "outer" > 0 AND "inner"::DOUBLE > 0.6 * "outer" """,

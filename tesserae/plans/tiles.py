@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from ..operators import tiles as ops
+from ..operators.storage import stored
 from . import fixtures as fx
 
 ORDINAL = ["l_orderkey", "l_linenumber"]
@@ -21,7 +22,7 @@ def tile_dedup_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, flips="", size=64)
+    d = stored(ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, flips="", size=64), "tiles")
     return d.join(bank(d).select("ck", "tile_id"), "ck").select(*ORDINAL, "key", "tile_id", "kind")
 
 
@@ -37,7 +38,7 @@ def tile_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tilemap_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, size=64)
+    d = stored(ops.dedup(fx.tiles(spark, sf_dir), ORDINAL, size=64), "tiles")
     return ops.name_table(d, bank(d), ORDINAL, (F.col("l_orderkey") % 4).cast("int"), F.col("l_linenumber") % 2 == 1, 16)
 
 
@@ -78,11 +79,11 @@ def quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tile_dedup_flip, tile_dedup_exact, tile_stats, tile_symmetry, tilemap_word, tile_convert_rebuild, pixel_mask_hex, tile_layouts, tile_decode, dense_tiles, quantised_vectors)}
 
-_FLIPS = """k AS (SELECT l_orderkey, l_linenumber, px, md5(array_to_string(px, ',')) AS key, md5(array_to_string(list_transform(range(64), lambda i: px[(i // 8) * 8 + 7 - i % 8 + 1]), ',')) AS kh,
+_FLIPS = """k AS MATERIALIZED (SELECT l_orderkey, l_linenumber, md5(array_to_string(px, ',')) AS key, md5(array_to_string(list_transform(range(64), lambda i: px[(i // 8) * 8 + 7 - i % 8 + 1]), ',')) AS kh,
     md5(array_to_string(list_transform(range(64), lambda i: px[(7 - i // 8) * 8 + i % 8 + 1]), ',')) AS kv, md5(array_to_string(list_reverse(px), ',')) AS khv FROM {0}),
     c AS (SELECT *, least(key, kh, kv, khv) AS ck FROM k),
     d AS (SELECT *, first_value(key) OVER w AS rep, row_number() OVER w = 1 AS is_first FROM c WINDOW w AS (PARTITION BY ck ORDER BY l_orderkey, l_linenumber, key)),
-    m AS (SELECT *, CASE WHEN is_first THEN 'unique' WHEN key = rep THEN 'exact' WHEN kh = rep THEN 'h' WHEN kv = rep THEN 'v' ELSE 'hv' END AS kind FROM d)"""
+    m AS MATERIALIZED (SELECT *, CASE WHEN is_first THEN 'unique' WHEN key = rep THEN 'exact' WHEN kh = rep THEN 'h' WHEN kv = rep THEN 'v' ELSE 'hv' END AS kind FROM d)"""
 _STATS = """SELECT count(*) AS n_tiles, count(*) FILTER (kind = 'unique') AS n_unique, count(*) FILTER (kind = 'exact') AS n_exact, count(*) FILTER (kind = 'h') AS n_h, count(*) FILTER (kind = 'v') AS n_v,
     count(*) FILTER (kind = 'hv') AS n_hv, CAST(floor((count(*) - count(*) FILTER (kind = 'unique')) * 10000.0 / count(*)) AS BIGINT) AS saved_bp, count(*) FILTER (kind = 'unique') * 256 AS bytes FROM m"""
 _HEX = "array_to_string(list_transform(range({n}), lambda k: printf('%02X', {value})), '')"
@@ -91,8 +92,8 @@ _PACK = lambda px, per, base, low=False: " + ".join(f"{px}[k * {per} + {j + 1}]
 
 ORACLE_SQL = {
     "tile_dedup_flip": f"WITH {fx.TILES}, {_FLIPS.format('tiles')} SELECT l_orderkey, l_linenumber, key, rep, kind FROM m",
-    "tile_dedup_exact": f"""WITH {fx.TILES}, k AS (SELECT l_orderkey, l_linenumber, md5(array_to_string(px, ',')) AS key FROM tiles),
-        d AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber) = 1 AS is_first FROM k),
+    "tile_dedup_exact": f"""WITH {fx.TILES}, k AS MATERIALIZED (SELECT l_orderkey, l_linenumber, md5(array_to_string(px, ',')) AS key FROM tiles),
+        d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber) = 1 AS is_first FROM k),
         b AS (SELECT key, row_number() OVER (ORDER BY l_orderkey, l_linenumber, key) - 1 AS tile_id FROM d WHERE is_first)
         SELECT l_orderkey, l_linenumber, key, tile_id, CASE WHEN is_first THEN 'unique' ELSE 'exact' END AS kind FROM d JOIN b USING (key)""",
     "tile_stats": f"WITH {fx.TILES}, {_FLIPS.format('tiles')} {_STATS}",
