@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """A new path in the folder that the driver and all executors share (``spark.checkpoint.dir``); a local one only where none is set and Spark runs in one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
