@@ -10,14 +10,14 @@ SIZES = {"tiny": (0, 12), "small": (12, 20), "medium": (20, 40), "large": (40, 6
 HEIGHTS = {"top": (0.0, 0.3), "middle": (0.3, 0.7), "bottom": (0.7, 1.0)}
 # Words of a file name that tell a sprite's type, in order.
 NAME_HINTS = {
-    "player": "player hero char protagonist main",
-    "enemy": "enemy mob monster baddie foe",
-    "boss": "boss big giant mega",
-    "item": "item pickup powerup collect coin gem",
-    "projectile": "bullet shot projectile missile laser",
-    "vfx": "effect vfx particle explosion spark",
-    "ui": "ui hud icon button menu font",
-    "background": "bg background tile level map",
+    "player": ("player", "hero", "char", "protagonist", "main"),
+    "enemy": ("enemy", "mob", "monster", "baddie", "foe"),
+    "boss": ("boss", "big", "giant", "mega"),
+    "item": ("item", "pickup", "powerup", "collect", "coin", "gem"),
+    "projectile": ("bullet", "shot", "projectile", "missile", "laser"),
+    "vfx": ("effect", "vfx", "particle", "explosion", "spark"),
+    "ui": ("ui", "hud", "icon", "button", "menu", "font"),
+    "background": ("bg", "background", "tile", "level", "map"),
 }
 # Ticks of a frame by action, and actions that play once.
 TICKS = {"idle": 10, "walk": 6, "run": 4, "attack": 3, "hit": 2, "hurt": 2, "death": 8, "die": 8, "jump": 5, "fall": 5, "land": 3, "shoot": 3, "cast": 6, "charge": 4}
@@ -37,11 +37,11 @@ BOXES = {
 BOX_TYPES = {"player": "character", "enemy": "character", "npc": "character", "projectile": "projectile", "bullet": "projectile", "item": "item", "pickup": "item", "boss": "boss"}
 # Hardware tiers (number, name, colours a palette, palettes, sprite colours, unique tiles, frames) and their platforms.
 TIERS = (
-    (0, "MINIMAL", 4, 8, 3, 256, 4, "nes famicom gb gbc c64 zx atari2600 atari7800 fc"),
-    (1, "MINIMAL_PLUS", 16, 2, 15, 448, 6, "sms gamegear msx2 ngp ngpc"),
-    (2, "STANDARD", 16, 8, 15, 1024, 8, "genesis megadrive snes sfc pce turbografx amiga md tg16"),
-    (3, "STANDARD_PLUS", 16, 256, 15, 4096, 12, "neogeo segacd 32x x68000"),
-    (4, "EXTENDED", 256, 16, 255, 8192, 16, "gba nds psp"),
+    (0, "MINIMAL", 4, 8, 3, 256, 4, ("nes", "famicom", "gb", "gbc", "c64", "zx", "atari2600", "atari7800", "fc")),
+    (1, "MINIMAL_PLUS", 16, 2, 15, 448, 6, ("sms", "gamegear", "msx2", "ngp", "ngpc")),
+    (2, "STANDARD", 16, 8, 15, 1024, 8, ("genesis", "megadrive", "snes", "sfc", "pce", "turbografx", "amiga", "md", "tg16")),
+    (3, "STANDARD_PLUS", 16, 256, 15, 4096, 12, ("neogeo", "segacd", "32x", "x68000")),
+    (4, "EXTENDED", 256, 16, 255, 8192, 16, ("gba", "nds", "psp")),
 )
 # A scanline's sprites and pixels, a screen's sprites and lines, bytes of a transfer a line, lines of the blank.
 PER_LINE, LINE_PIXELS, PER_SCREEN, SCREEN_LINES, DMA_LINE, BLANK_LINES = 20, 320, 80, 224, 168, 40
@@ -75,10 +75,10 @@ def name_hint(name: Column) -> Column:
     """The first type one of whose words is in a file name, or null."""
     out, low = F.lit(None).cast("string"), F.lower(name)
     for kind, words in reversed(NAME_HINTS.items()):
-        out = F.when(low.rlike("|".join(words.split())), kind).otherwise(out)
+        out = F.when(low.rlike("|".join(words)), kind).otherwise(out)
     return out
 
 
 def tier(platform: Column) -> Column:
     """A platform's tier number; unknown platforms are in the lowest."""
-    return lookup(F.lower(platform), {p: t[0] for t in TIERS for p in t[7].split()}, 0)
+    return lookup(F.lower(platform), {p: t[0] for t in TIERS for p in t[7]}, 0)

@@ -54,33 +54,31 @@ def rle_unpack(data: bytes) -> bytes:
 
 
 class Matcher:
-    """The longest earlier match of at least three bytes inside the window, the earliest among equals, from an index of three-byte starts."""
+    """The longest earlier match of at least three bytes inside the window, the earliest among equals.
+
+    Where a length matches, shorter ones do, so the length is found by halving, and each try is one search by ``bytes.find``.
+    """
 
     def __init__(self, data: bytes, window: int, longest: int) -> None:
-        self.data, self.window, self.longest, self.seen, self.filled = data, window, longest, {}, 0
+        self.data, self.window, self.longest = data, window, longest
 
     def at(self, pos: int) -> tuple[int, int]:
-        data = self.data
-        for k in range(self.filled, pos):
-            self.seen.setdefault(data[k : k + 3], []).append(k)
-        self.filled = max(self.filled, pos)
+        data, first = self.data, max(0, pos - self.window)
         most = min(self.longest, len(data) - pos)
-        starts = self.seen.get(data[pos : pos + 3], ())
-        if most < 3 or not starts:
+        if most < 3:
             return 0, 0
-        if starts[0] < pos - self.window:
-            starts[:] = [k for k in starts if k >= pos - self.window]
-        best, where = 0, 0
-        for k in starts:
-            if best and data[k + best] != data[pos + best]:
-                continue
-            n = 3
-            while n < most and data[k + n] == data[pos + n]:
-                n += 1
-            if n > best:
-                best, where = n, k
-                if best == most:
-                    break
+        find = lambda n: data.find(data[pos : pos + n], first, pos - 1 + n)
+        where, best = find(3), 3
+        if where < 0:
+            return 0, 0
+        low, high = 3, most
+        while low < high:
+            n = (low + high + 1) // 2
+            k = find(n)
+            if k < 0:
+                high = n - 1
+            else:
+                low, where, best = n, k, n
         return where, best
 
 

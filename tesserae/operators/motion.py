@@ -30,11 +30,18 @@ def timeline(frames: DataFrame, keys: Sequence[str], order: str = "frame") -> Da
 
 
 def frame_at(frames: DataFrame, moments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each (keys, tick): the frame shown then; loops start over, others stay at their last frame. The join is on the keys, the span is a residual."""
+    """For each (keys, tick): the frame shown then; loops start over, others stay at their last frame.
+
+    Starts of frames and moments are put in one order and each moment takes the last frame before it, so no pairs are made.
+    """
     t = timeline(frames, keys)
-    j = moments.join(t, list(keys))
+    totals = t.groupBy(*keys).agg(F.max("total").alias("total"), F.max("loop").alias("loop")).filter("total > 0")
     at = F.when(F.col("loop"), F.pmod(F.col("tick"), F.col("total"))).otherwise(F.least(F.col("tick"), F.col("total") - 1))
-    return j.filter((F.col("start") <= at) & (at < F.col("end"))).select(*keys, "tick", "frame")
+    asked = moments.join(totals, list(keys)).select(*keys, at.cast("long").alias("__at"), F.lit(1).alias("__ask"), F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"), "tick")
+    starts = t.filter("end > start").select(*keys, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__ask"), "frame", F.lit(None).cast(asked.schema["tick"].dataType).alias("tick"))
+    w = Window.partitionBy(*keys).orderBy("__at", "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    shown = starts.unionByName(asked).withColumn("frame", F.last("frame", ignorenulls=True).over(w))
+    return shown.filter("__ask = 1 and frame is not null").select(*keys, "tick", "frame")
 
 
 def directions(items: Column, direction: Column) -> Column:

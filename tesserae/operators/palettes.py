@@ -13,6 +13,10 @@ from ..functions import colour as C
 RGB = ("r", "g", "b")
 
 
+#: Entries of a palette that goes to every executor.
+MOST = 4096
+
+
 def rgb(df_alias: str = "") -> list[Column]:
     return [F.col(f"{df_alias}{c}") for c in RGB]
 
@@ -20,10 +24,12 @@ def rgb(df_alias: str = "") -> list[Column]:
 def nearest_join(colours: DataFrame, palette: DataFrame, metric: str = "rgb", first_index: int = 0) -> DataFrame:
     """``colours`` with the nearest row of ``palette`` (idx, r, g, b) and its squared distance; the smallest idx on ties.
 
-    A palette is small by its nature (at most a few hundred entries); it is gathered into one array and broadcast as one row, so that the
-    search is a fold over that array and no pairs are made.
+    A palette is small by its nature; it is gathered into one array and broadcast as one row, so that the search is a fold over that array
+    and no pairs are made. One of over ``MOST`` entries is an error.
     """
-    entries = palette.filter(F.col("idx") >= first_index).agg(F.array_sort(F.collect_list(F.struct("idx", *RGB))).alias("__palette"))
+    listed = F.array_sort(F.collect_list(F.struct("idx", *RGB)))
+    entries = palette.filter(F.col("idx") >= first_index).limit(MOST + 1).agg(listed.alias("__palette"))
+    entries = entries.select(F.when(F.size("__palette") <= MOST, F.col("__palette")).otherwise(F.raise_error(F.lit(f"a palette has {MOST} entries at most"))).alias("__palette"))
     joined = colours.crossJoin(F.broadcast(entries))  # one row
     best = F.array_min(F.transform("__palette", lambda p: F.struct(C.distance(rgb(), [p[c] for c in RGB], metric).alias("d"), p["idx"].alias("idx"))))
     return joined.withColumn("__best", best).select(*colours.columns, F.col("__best.idx").alias("idx"), F.col("__best.d").alias("distance"))

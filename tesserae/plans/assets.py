@@ -134,7 +134,7 @@ QUERIES = {
 }
 
 _V = f"{fx.VARIANTS}, v AS (SELECT asset, CASE platform {' '.join(f'WHEN {k!r} THEN {p!r}' for k, p in PLATFORMS.items())} ELSE 'other' END AS platform, stage, tiles, palette FROM variants)"
-_TIER = "CASE platform " + " ".join(f"WHEN '{p}' THEN {t[0]}" for t in dims.TIERS for p in t[7].split()) + " ELSE 0 END"
+_TIER = "CASE platform " + " ".join(f"WHEN '{p}' THEN {t[0]}" for t in dims.TIERS for p in t[7]) + " ELSE 0 END"
 _SPEC = lambda k: "CASE tier " + " ".join(f"WHEN {t[0]} THEN {t[k]}" for t in dims.TIERS) + " END"
 _LIST = lambda *cases: f"array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {n!r} END' for n, c in cases)}], lambda x: x IS NOT NULL), ',')"
 _BOX = lambda k, size: f"CAST(floor({size} * CASE g " + " ".join(f"WHEN {n!r} THEN {v[k] or 0}" for n, v in dims.BOXES.items()) + " END / 100.0) AS INTEGER)"
@@ -181,7 +181,7 @@ ORACLE_SQL = {
             list_filter(parts, lambda x: x NOT IN {_IN(X.CATEGORIES)} AND x NOT IN {_IN(X.STATES)} AND NOT regexp_full_match(x, 'f(rame)?[0-9]+')) AS r FROM p),
         l AS (SELECT p_partkey, file, coalesce(c[-1], 'item') AS category, array_to_string([r[1]] || list_filter(r[2:], lambda x: x NOT IN {_IN(X.VARIANTS)}), '_') AS name, s[-1] AS state, CAST(regexp_extract(f[-1], '([0-9]+)$', 1) AS INTEGER) AS frame, list_filter(r[2:], lambda x: x IN {_IN(X.VARIANTS)})[-1] AS variant FROM k)
         SELECT *, concat_ws('_', category, name, state, CASE WHEN frame IS NOT NULL THEN 'f' || lpad(CAST(frame AS VARCHAR), 2, '0') END, variant) || '.png' AS standard,
-        CASE {' '.join(f"WHEN regexp_matches(lower(file), '{'|'.join(w.split())}') THEN '{k}'" for k, w in dims.NAME_HINTS.items())} END AS hint FROM l""",
+        CASE {' '.join(f"WHEN regexp_matches(lower(file), '{'|'.join(w)}') THEN '{k}'" for k, w in dims.NAME_HINTS.items())} END AS hint FROM l""",
     "readable_sizes": """WITH d AS (SELECT doc_id, n_chars * n_chars * 64 AS b, n_chars // 4 * 0.25::DOUBLE AS s FROM documents) SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.1fB', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1fKB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1fMB', b / 1048576.0::DOUBLE)
         WHEN b < 1099511627776 THEN printf('%.1fGB', b / 1073741824.0::DOUBLE) ELSE printf('%.1fTB', b / 1099511627776.0::DOUBLE) END AS size,
         CASE WHEN s < 1 THEN printf('%.0fms', s * 1000) WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || printf('m %.0fs', s - floor(s / 60) * 60) ELSE CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor((s - floor(s / 3600) * 3600) / 60) AS BIGINT) || 'm' END AS duration FROM d""",

@@ -51,7 +51,8 @@ def tag_frames_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags [from, to] over the frames of their sequence."""
     frames = fx.frames(spark, sf_dir).select("seq", "frame")
     tags = frames.filter("frame % 2 = 0").select("seq", F.col("frame").alias("from"), (F.col("frame") + 2).alias("to"))
-    return tags.join(frames, "seq").filter("frame between from and to").select("seq", "from", "to", "frame")
+    spans = tags.select("seq", "from", "to", F.explode(F.sequence("from", "to")).alias("frame"))  # spans are short
+    return spans.join(frames, ["seq", "frame"]).select("seq", "from", "to", "frame")
 
 
 def _fsm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
