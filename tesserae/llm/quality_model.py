@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import in_slices
 from .common import fold, stored
 from .host_rules import repeated_words
 
@@ -69,7 +70,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and x (array<double>): :func:`statistics` of every row's whole text, a null text counting as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
             ends = np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc_id", "x"])
@@ -103,29 +104,38 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 1e-3) -> Discriminant:
-    """From rows (x, label 0/1), all of them. The class moments are sums that Spark combines; d * d + d + 1 numbers a class reach the driver.
+#: Shrinkages to choose from, and the folds of the training rows that choose.
+SHRINKAGES, FOLDS = (0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8), 4
 
-    A class covariance is pulled by ``shrinkage`` towards the pooled one and its diagonal, in equal parts, after scaling by the pooled
-    deviations, and gets ``ridge`` on the diagonal. Rows with a null label or vector don't count.
-    """
+
+def moments(labelled: DataFrame) -> np.ndarray:
+    """By fold and class: rows, sums and sums of products of the vectors, added up by Spark; FOLDS * 2 * (1 + d + d * d) numbers reach the driver."""
     d = len(STATISTICS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total = np.zeros((FOLDS, 2, 1 + d + d * d))
         for batch in batches:
             x = batch.column(0).flatten().to_numpy().reshape(-1, d)
-            y = batch.column(1).to_numpy()
-            for k in (0, 1):
-                own = x[y == k]
-                total[k] = total.get(k, 0) + np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        for k, row in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(row)), pa.array(np.arange(len(row))), pa.array(row)], ["label", "place", "value"])
-
-    moments = labelled.select("x", F.col("label").cast("long").alias("label")).filter("x is not null and label in (0, 1)").mapInArrow(sums, "label long, place long, value double")
-    found = np.zeros((2, 1 + d + d * d))
-    for r in moments.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():
-        found[r.label, r.place] = r.value
+            y, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for f in range(FOLDS):
+                for k in (0, 1):
+                    own = x[(y == k) & (part == f)]
+                    total[f, k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
+
+    found = np.zeros(FOLDS * 2 * (1 + d + d * d))
+    for r in labelled.select("x", "label", "fold").mapInArrow(sums, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        found[r.place] = r.value
+    return found.reshape(FOLDS, 2, -1)
+
+
+def discriminant(found: np.ndarray, shrinkage: float, ridge: float = 1e-3) -> Discriminant:
+    """From the moments of both classes.
+
+    A class covariance is pulled by ``shrinkage`` towards the pooled one and its diagonal, in equal parts, after scaling by the pooled
+    deviations, and gets ``ridge`` on the diagonal.
+    """
+    d = len(STATISTICS)
     n, total, square = found[:, 0], found[:, 1 : d + 1], found[:, d + 1 :].reshape(2, d, d)
     if n.min() < 2:
         return Discriminant(float((n[1] + 0.5) / (n.sum() + 1)), np.zeros(d), np.ones(d), np.zeros((0, d)), np.zeros((0, d, d)))
@@ -140,6 +150,36 @@ def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 1e-3) -> Dis
     return Discriminant(float(n[1] / n.sum()), centre, scale, (means - centre) / scale, np.array(covariances))
 
 
+def fit(labelled: DataFrame, shrinkage: float | None = None, worst: float = 1e-3) -> Discriminant:
+    """From rows (x, label 0/1), all of them; rows with a null label or vector don't count.
+
+    Without a ``shrinkage``, the one is taken whose models of all folds but one have the least logarithmic loss on the fold that they lack,
+    a probability under ``worst`` counting as that. No row outside of ``labelled`` has a say.
+    """
+    part = F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = labelled.select("x", F.col("label").cast("long").alias("label"), part).filter("x is not null and label in (0, 1)")
+    found = moments(rows)
+    whole = found.sum(axis=0)
+    if shrinkage is None and whole[:, 0].min() >= 2:
+        models = [[discriminant(whole - own, s) for s in SHRINKAGES] for own in found]
+
+        def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(SHRINKAGES))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, len(STATISTICS))
+                y, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for f, by_shrinkage in enumerate(models):
+                    own = fold == f
+                    for k, model in enumerate(by_shrinkage):
+                        p = model.scores(x[own])
+                        total[k] -= np.log(np.maximum(np.where(y[own] == 1, p, 1 - p), worst)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "loss"])
+
+        seen = rows.mapInArrow(losses, "place long, loss double").groupBy("place").agg(F.sum("loss").alias("loss")).collect()
+        shrinkage = SHRINKAGES[min(seen, key=lambda r: (round(r.loss, 6), r.place)).place]
+    return discriminant(whole, shrinkage or SHRINKAGES[0])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, limit: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out (crc32 of the id modulo ``held_out`` is 0), score (0 to 1) and predicted (score >= limit).
 
@@ -149,7 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     scored = stored(vectors(docs, id_col, text_col), "statistics").withColumn("held_out", fold("doc_id", held_out) == 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    model = fit(scored.filter("not held_out").join(marks, "doc_id"))
+    model = fit(stored(scored.filter("not held_out").join(marks, "doc_id").select("x", "label"), "labelled"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

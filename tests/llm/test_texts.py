@@ -106,7 +106,7 @@ def test_quality_moments(spark):
     d = len(quality_model.STATISTICS)
     x = np.concatenate([rng.normal(0, 1, (80, d)), rng.normal(0.8, 1.5, (120, d))])
     y = np.array([0] * 80 + [1] * 120)
-    model = quality_model.fit(spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y, strict=True)], "x array<double>, label int").repartition(5))
+    model = quality_model.fit(spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y, strict=True)], "x array<double>, label int").repartition(5), 0.3)
     within = [np.cov(x[y == k].T) for k in (0, 1)]
     pooled = (79 * within[0] + 119 * within[1]) / 198
     scale, centre = np.sqrt(np.diag(pooled)), x.mean(axis=0)
@@ -120,6 +120,26 @@ def test_quality_moments(spark):
     assert model.scores(x) == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
 
 
+def test_quality_shrinkage_is_chosen_by_folds_of_the_training_rows(spark):
+    """The chosen model is the one of the shrinkage with the least loss on left-out folds, by a plain loop over the rows."""
+    rng = np.random.default_rng(5)
+    d = len(quality_model.STATISTICS)
+    x, y = np.concatenate([rng.normal(0, 1, (40, d)), rng.normal(0.5, 1.2, (60, d))]), np.array([0] * 40 + [1] * 60)
+    df = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y, strict=True)], "x array<double>, label int")
+    part = np.array([r.f for r in df.select(F.pmod(F.xxhash64("x"), F.lit(quality_model.FOLDS)).alias("f")).collect()])
+    ones = lambda rows: quality_model.moments(df.withColumn("label", F.col("label").cast("long")).withColumn("fold", F.lit(0)).filter(rows)).sum(axis=0)
+    inside = F.pmod(F.xxhash64("x"), F.lit(quality_model.FOLDS))
+    loss = []
+    for shrinkage in quality_model.SHRINKAGES:
+        total = 0.0
+        for f in range(quality_model.FOLDS):
+            p = quality_model.discriminant(ones(inside != f), shrinkage).scores(x[part == f])
+            total -= np.log(np.maximum(np.where(y[part == f] == 1, p, 1 - p), 1e-3)).sum()
+        loss.append(total)
+    want = quality_model.fit(df, quality_model.SHRINKAGES[int(np.argmin(loss))])
+    assert quality_model.fit(df).scores(x) == pytest.approx(want.scores(x), abs=1e-9)
+
+
 def test_quality_odd_rows(spark):
     df, labels = odd(spark), spark.createDataFrame([(1, 1), (3, 0), (2, None), (None, 1)], "doc_id long, quality int")
     out = quality_model.quality_scores(df, labels)
