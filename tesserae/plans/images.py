@@ -63,7 +63,9 @@ def tile_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_two_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.two_colours(sheets(spark, sf_dir), "image")
+    """Sums of every tile after it is in two colours."""
+    two = ops.two_colours(sheets(spark, sf_dir), "image").groupBy("image", *[F.floor(F.col(c) / 8).cast("int").alias(f"t{c}") for c in "xy"])
+    return two.agg(*[F.sum(c).alias(c) for c in "rgb"], F.countDistinct("r", "g", "b").alias("colours"))
 
 
 def brightness_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +130,7 @@ ORACLE_SQL = {
         SELECT image, tx, ty, grey < 100 * n AS solid, 10 * lit > 6 * n AS bright, CASE WHEN 10 * lit < 3 * n THEN 'full' WHEN 10 * lit < 7 * n THEN 'partial' ELSE 'none' END AS region FROM t""",
     "tile_two_colours": f"""WITH {SHEETS}, n AS (SELECT image, x // 8 AS tx, y // 8 AS ty, r, g, b, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY image, tx, ty ORDER BY n DESC, r DESC, g DESC, b DESC) AS k FROM n),
         d AS (SELECT p.image, p.x, p.y, c.r, c.g, c.b, row_number() OVER (PARTITION BY p.image, p.x, p.y ORDER BY (p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2, k) AS near FROM px p JOIN c ON c.image = p.image AND tx = p.x // 8 AND ty = p.y // 8 AND k <= 2)
-        SELECT image, x, y, r, g, b FROM d WHERE near = 1""",
+        SELECT image, x // 8 AS tx, y // 8 AS ty, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, count(DISTINCT (r, g, b)) AS colours FROM d WHERE near = 1 GROUP BY ALL""",
     "brightness_bands": f"WITH {SHEETS} SELECT image, CAST(CASE WHEN (r + g + b) // 3 < 32 THEN 0 WHEN (r + g + b) // 3 < 96 THEN 1 WHEN (r + g + b) // 3 < 192 THEN 2 ELSE 3 END AS INTEGER) AS band, count(*) AS n FROM px GROUP BY 1, 2",
     "tile_budget": f"WITH {fx.VARIANTS} SELECT asset, tiles, tiles * 32 AS used, tiles * 32 <= 4096 AS fits, 128 AS most FROM variants",
     "hit_palette": f"{_PALETTES} SELECT palette, idx, CASE WHEN idx = 0 THEN r ELSE 240 END AS r, CASE WHEN idx = 0 THEN g ELSE 240 END AS g, CASE WHEN idx = 0 THEN b ELSE 240 END AS b FROM p",

@@ -69,7 +69,9 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.level_template(_levels(spark, sf_dir), "level", "screens", "text")
+    """Rows of each level's grid as text."""
+    rows = ops.level_template(_levels(spark, sf_dir), "level", "screens", "text").groupBy("level", "y").agg(F.array_sort(F.collect_list(F.struct("x", "cell")))["cell"].alias("cells"))
+    return rows.select("level", "y", F.array_join(F.col("cells").cast("array<string>"), "").alias("cells"))
 
 
 def level_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +164,7 @@ ORACLE_SQL = {
         list_sort(list_transform({list(ops.SAMPLE_RATES)}, lambda v: {{'d': abs(rate - v), 'v': v}}))[1].v AS to_rate FROM s) SELECT o_orderkey, errors, warnings, errors = '' AS valid, to_rate FROM e""",
     "chip_music_rules": f"""WITH s AS ({_of(_MUSIC)}), e AS (SELECT *, {_said([("version", "version < 336"), ("no_fm", "chips & 4 = 0"), ("YM2151", "chips & 8 <> 0"), ("YM2203", "chips & 32 <> 0"), ("YM2608", "chips & 64 <> 0"), ("YM2610", "chips & 128 <> 0")])} AS errors FROM s)
         SELECT o_orderkey, errors, errors = '' AS valid, CASE WHEN chips & 16 <> 0 THEN size * 7 // 10 * 12 // 10 ELSE size * 7 // 10 END AS packed FROM e""",
-    "level_template": f"WITH {_GRID} SELECT * FROM grid",
+    "level_template": f"WITH {_GRID} SELECT level, y, string_agg(CAST(cell AS VARCHAR), '' ORDER BY x) AS cells FROM grid GROUP BY 1, 2",
     "level_issues": f"""WITH {_GRID}, st AS (SELECT level, screens * 16 AS width, level * 29 % 240 AS x, level * 31 % 240 AS y FROM lv), kept AS (SELECT * FROM grid WHERE level % 11 <> 0 OR x <> 3), n AS (SELECT level, count(*) AS cells FROM kept GROUP BY 1),
         stuck AS (SELECT DISTINCT st.level FROM st JOIN kept g ON g.level = st.level AND g.x = st.x // 16 AND g.y = st.y // 16 AND cell = 1),
         o AS (SELECT o_custkey AS level, o_orderkey % 800 - 20 AS x, o_orderkey % 260 - 5 AS y FROM orders), out AS (SELECT level, count(*) FILTER (o.x < 0 OR o.x >= width * 16) AS sx, count(*) FILTER (o.y < 0 OR o.y >= 240) AS sy FROM o JOIN st USING (level) GROUP BY 1)
