@@ -151,7 +151,16 @@ _S = "s AS (SELECT vec_id, list_transform(embedding, lambda v: (greatest(0, leas
 _R = repr(16_000 / 22_050)
 _LOAD = " ".join(f"WHEN rate <= {r1} THEN {v0} + (rate - {r0}) / {float(r1 - r0)}::DOUBLE * {v1 - v0}" for (r0, v0), (r1, v1) in zip(sorted(audio.LOAD.items()), sorted(audio.LOAD.items())[1:], strict=False))
 
+_WATCHED = f"""{fx.CHANGES}, w AS (SELECT event_id, path % 8 AS watcher, epoch_us(ts) / 1000000.0::DOUBLE AS secs, change <> 'error' AS ok FROM changes), f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY watcher ORDER BY secs, event_id) AS i FROM w)"""
+
 ORACLE_SQL = {
+    "rate_limit": f"""WITH RECURSIVE {_WATCHED}, r AS (SELECT watcher, i, event_id, secs, [secs] AS times, true AS allowed FROM f WHERE i = 1
+            UNION ALL SELECT watcher, i, event_id, secs, CASE WHEN len(kept) < 5 THEN list_append(kept, secs) ELSE kept END, len(kept) < 5 FROM (SELECT f.*, list_filter(r.times, lambda t: f.secs - t <= 14400) AS kept FROM r JOIN f ON f.watcher = r.watcher AND f.i = r.i + 1))
+        SELECT event_id, watcher, secs AS "at", allowed FROM r""",
+    "circuit_breaker": f"""WITH RECURSIVE {_WATCHED}, r AS (SELECT watcher, i, event_id, secs, ok, CASE WHEN ok THEN 0 ELSE 1 END AS run, NULL::DOUBLE AS opened, CASE WHEN ok THEN 'ok' ELSE 'error' END AS state FROM f WHERE i = 1
+            UNION ALL SELECT watcher, i, event_id, secs, ok, CASE WHEN shut THEN run WHEN ok THEN 0 ELSE held + 1 END, CASE WHEN shut THEN opened WHEN NOT ok AND held + 1 >= 2 THEN secs END, CASE WHEN shut THEN 'open' WHEN ok THEN 'ok' ELSE 'error' END
+            FROM (SELECT f.*, r.run, r.opened, coalesce(f.secs - r.opened < 43200, false) AS shut, CASE WHEN r.opened IS NULL THEN r.run ELSE 0 END AS held FROM r JOIN f ON f.watcher = r.watcher AND f.i = r.i + 1))
+        SELECT event_id, watcher, secs AS "at", ok, state FROM r""",
     "row_pack": f"""WITH RECURSIVE {fx.SPRITES}, f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY ord) AS i FROM (SELECT l_orderkey // 40 AS sheet, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS ord, min(w) AS w, min(h) AS h FROM sprites GROUP BY 1, 2)),
         r AS (SELECT sheet, ord, w, h, i, 1::BIGINT AS x, 1::BIGINT AS y, h::BIGINT AS tall FROM f WHERE i = 1
             UNION ALL SELECT f.sheet, f.ord, f.w, f.h, f.i, CASE WHEN r.x + r.w + f.w + 2 > 256 THEN 1 ELSE r.x + r.w + 1 END, CASE WHEN r.x + r.w + f.w + 2 > 256 THEN r.y + r.tall + 1 ELSE r.y END,

@@ -37,4 +37,4 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stream_change_dedup, stream_rate_limit, stream_circuit_breaker, stream_debounce)}
-ORACLE_SQL = {"stream_change_dedup": folds.ORACLE_SQL["change_dedup"]}
+ORACLE_SQL = {"stream_change_dedup": folds.ORACLE_SQL["change_dedup"], "stream_rate_limit": folds.ORACLE_SQL["rate_limit"], "stream_circuit_breaker": folds.ORACLE_SQL["circuit_breaker"]}
