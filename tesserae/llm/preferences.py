@@ -90,7 +90,8 @@ def paired(messages: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     A side of over ``chunk`` code points goes on in rows of chunk 1 and up (by the place where a message starts, messages stay whole), so
     that a row has a bound; masks count from the start of the row's own text. All but giant pairs have chunk 0 only.
     """
-    placed = _offsets(messages).withColumn("chunk", F.floor(F.col("at") / chunk))
+    # Each table drops the shuffle files that it took, so that texts lie on disk once or twice, not once a step.
+    placed = stored(_offsets(stored(messages, "messages")), "placed").withColumn("chunk", F.floor(F.col("at") / chunk))
     item = F.struct("turn", "rendered", "loss_start", "loss_end", "at")
     parts = placed.groupBy("pair", "chunk", "part").agg(F.array_sort(F.collect_list(item)).alias("m"))
     base = F.col("m")[0]["at"]
