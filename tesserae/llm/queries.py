@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, licences, pii, preferences
+from . import bpe, host_rules, licences, pii, preferences, vector_codes
 from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
@@ -68,9 +68,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weak_pii, op2_preference_format, op3_pitman_yor, op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op8_licence_sentences, op9_simhash_near_dedup,
-    op10_exact_dedup,
+    op10_exact_dedup, op13_vector_codes,
 )}
 
 ORACLE_SQL = {
@@ -98,4 +102,5 @@ ORACLE_SQL = {
     """,
     "op6_host_rules": host_rules.oracle_sql(),
     "op8_licence_sentences": licences.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
