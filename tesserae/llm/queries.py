@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, licences, pii, preferences, prefix_trie, vector_codes
+from . import bpe, host_rules, licences, pii, preferences, prefix_trie, toxicity, vector_codes
 from .common import table
 from .exact_dedup import exact_groups
 from .host_rules import host_verdicts
@@ -68,6 +68,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
 
@@ -78,7 +82,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_weak_pii, op2_preference_format, op3_pitman_yor, op4_mixture_packing, op5_quality_discriminant, op6_host_rules, op7_byte_bpe, op8_licence_sentences, op9_simhash_near_dedup,
-    op10_exact_dedup, op12_prefix_trie, op13_vector_codes,
+    op10_exact_dedup, op11_toxicity, op12_prefix_trie, op13_vector_codes,
 )}
 
 ORACLE_SQL = {
