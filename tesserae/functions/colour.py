@@ -89,6 +89,25 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
+# XYZ to linear sRGB (D65).
+LINEAR = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+
+
+def from_lab(lightness: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CIELAB to sRGB (0-255), cut off and rounded down."""
+
+    def cube(t: Column) -> Column:
+        return F.when(t > 0.206893, t * t * t).otherwise((t - 16 / 116) / 7.787)
+
+    def gamma(c: Column) -> Column:
+        return F.when(c > 0.0031308, 1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c)
+
+    middle = (lightness + 16) / 116
+    xyz = [cube(t) * white for t, white in zip((a / 500 + middle, middle, middle - b / 200), WHITE, strict=True)]
+    channels = (gamma(sum((v * w for v, w in zip(xyz, row, strict=True)), F.lit(0.0))) for row in LINEAR)
+    return tuple(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), c * 255))).cast("int") for c in channels)
+
+
 #: Squared distances between colours given as (r, g, b) columns; whole numbers but for ``lab``. Weights are in thousandths.
 WEIGHTS = {"rgb": (1, 1, 1), "eye": (300, 590, 110), "luma": (299, 587, 114)}
 
