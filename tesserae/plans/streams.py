@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import watch
+from ..streaming import timers, watch
 from . import fixtures as fx
 from . import folds
 
@@ -32,9 +32,12 @@ def stream_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts that the watermark has closed; those still open at the end of the source are not there."""
-    return watch.drained(watch.debounced(_events(spark, sf_dir), "path", quiet="4 hours", late="1 hour"), "bursts")
+    """All bursts of the events, by timers."""
+    e = _events(spark, sf_dir).select("event_id", "path", "change", F.unix_micros("ts").alias("at"))
+    end = fx.table(spark, sf_dir, "events").agg(F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()[0] or 0
+    bursts = timers.all_bursts(e, "path", ("at", "event_id"), end, quiet=4 * 3600.0, late="1 hour", late_seconds=3600.0)
+    return bursts.select("event_id", "path", "change", F.timestamp_micros("first").cast("timestamp_ntz").alias("first"), "n")
 
 
 QUERIES = {f.__name__: f for f in (stream_change_dedup, stream_rate_limit, stream_circuit_breaker, stream_debounce)}
-ORACLE_SQL = {"stream_change_dedup": folds.ORACLE_SQL["change_dedup"], "stream_rate_limit": folds.ORACLE_SQL["rate_limit"], "stream_circuit_breaker": folds.ORACLE_SQL["circuit_breaker"]}
+ORACLE_SQL = {"stream_debounce": folds.ORACLE_SQL["debounce_sessions"], "stream_change_dedup": folds.ORACLE_SQL["change_dedup"], "stream_rate_limit": folds.ORACLE_SQL["rate_limit"], "stream_circuit_breaker": folds.ORACLE_SQL["circuit_breaker"]}
