@@ -1,4 +1,4 @@
-"""Shadows, outline classes, mirrored parts, raw colours; safety of paths, addresses and arguments; animations attached to sprites."""
+"""Outline classes, mirrored parts, raw colours; safety of paths, addresses and arguments; animations attached to sprites."""
 
 from __future__ import annotations
 
@@ -12,17 +12,6 @@ from ..functions import tiles as T
 RGB = ("r", "g", "b")
 
 
-def shadow(pixels: DataFrame, key: str, dx: int, dy: int, colour: tuple[int, int, int, int], threshold: int = 128) -> DataFrame:
-    """Visible pixels of a sprite over its shadow, a silhouette of the pixels of at least ``threshold`` in ``colour``, moved by (dx, dy).
-
-    The canvas grows so that both fit. A visible pixel of the sprite covers the shadow's.
-    """
-    cast = pixels.filter(F.col("a") >= threshold).select(key, (F.col("x") + max(0, dx)).alias("x"), (F.col("y") + max(0, dy)).alias("y"), *[F.lit(v).alias(f"s{c}") for c, v in zip("rgba", colour, strict=True)])
-    own = pixels.filter("a > 0").select(key, (F.col("x") + max(0, -dx)).alias("x"), (F.col("y") + max(0, -dy)).alias("y"), *RGB, "a")
-    j = own.join(cast, [key, "x", "y"], "full_outer")
-    return j.select(key, "x", "y", *[F.coalesce(c, f"s{c}").alias(c) for c in "rgba"])
-
-
 def outline_class(pixels: DataFrame, key: str, width: int, height: int) -> DataFrame:
     """(key, style, r, g, b): what the visible pixels of an image's edge tell, corners counting twice.
 

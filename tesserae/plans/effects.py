@@ -13,11 +13,6 @@ from .segments import SHEETS, H, W, sheets
 _TARGETS = ("rgb24", "genesis", "snes", "gameboy", "nes", "other")
 
 
-def sprite_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = sheets(spark, sf_dir).filter("x < 24 and y < 24").withColumn("a", F.when((F.col("x") + F.col("y")) % 5 == 0, 0).otherwise(F.col("a")))
-    return ops.shadow(px, "image", 2, -3, (10, 0, 20, 100))
-
-
 def outline_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = sheets(spark, sf_dir).withColumn("r", F.when(F.col("image") % 4 == 1, 0).otherwise(F.col("r")))
     return ops.outline_class(px.withColumns({"g": F.when(F.col("image") % 4 == 1, 0).otherwise(F.col("g")), "b": F.when(F.col("image") % 4 == 1, 0).otherwise(F.col("b"))}), "image", W, H)
@@ -55,15 +50,13 @@ def small_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.small_enough(e, "size", 50)
 
 
-QUERIES = {f.__name__: f for f in (sprite_shadow, outline_class, mirrored_parts, raw_colours, safe_addresses, attached_animations, small_changes)}
+QUERIES = {f.__name__: f for f in (outline_class, mirrored_parts, raw_colours, safe_addresses, attached_animations, small_changes)}
 
 _DIST = "list_sort(list_transform([{}], lambda p: {{'d': (r - p.r) ** 2 + (g - p.g) ** 2 + (b - p.b) ** 2, 'k': p.k}}))[1].k"
 _FIXED = ", ".join(f"{{'r': {r}, 'g': {g}, 'b': {b}, 'k': {k}}}" for k, (r, g, b) in enumerate(dims.FIXED_64))
 _H, _V = "list_transform(range(64), lambda i: px[(i // 8) * 8 + 7 - i % 8 + 1])", "list_transform(range(64), lambda i: px[(7 - i // 8) * 8 + i % 8 + 1])"
 
 ORACLE_SQL = {
-    "sprite_shadow": f"""WITH {SHEETS}, p AS (SELECT image, x, y, r, g, b, CASE WHEN (x + y) % 5 = 0 THEN 0 ELSE a END AS a FROM px WHERE x < 24 AND y < 24), o AS (SELECT image, x, y + 3 AS y, r, g, b, a FROM p WHERE a > 0), s AS (SELECT image, x + 2 AS x, y FROM p WHERE a >= 128)
-        SELECT image, x, y, coalesce(r, 10) AS r, coalesce(g, 0) AS g, coalesce(b, 20) AS b, coalesce(a, 100) AS a FROM o FULL JOIN s USING (image, x, y)""",
     "outline_class": f"""WITH {SHEETS}, p AS (SELECT image, x, y, a, CASE WHEN image % 4 = 1 THEN 0 ELSE r END AS r, CASE WHEN image % 4 = 1 THEN 0 ELSE g END AS g, CASE WHEN image % 4 = 1 THEN 0 ELSE b END AS b FROM px),
         e AS (SELECT image, r, g, b FROM p WHERE a > 128 AND x IN (0, {W - 1}) UNION ALL SELECT image, r, g, b FROM p WHERE a > 128 AND y IN (0, {H - 1})), n AS (SELECT image, r, g, b, count(*) AS n FROM e GROUP BY ALL),
         t AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, r, g, b) AS k, count(*) OVER (PARTITION BY image) AS colours FROM n)
