@@ -30,6 +30,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def field(name: str) -> Column:
+    """A column of the rows that :func:`carried` gives."""
+    return F.col("doc")[name]
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``doc``, so that no name of theirs meets one of an operator."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc")
+
+
+def carried(docs: DataFrame, name: str) -> DataFrame:
+    """row (a number of its own) and doc, stored, so that a row keeps its number."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), whole(docs)), name)
+
+
 #: Drop a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import field, stored, whole
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,7 @@ def mask(docs: DataFrame, text_col: str = "text", limit: float = 0.9) -> DataFra
 
     Spans are replaced from the left, the longer first; one that overlaps the one before goes with it.
     """
-    found = candidates(docs, text_col)
+    found = candidates(docs.select(whole(docs), F.col(text_col).alias("text")))
     accepted = learn(found, limit)
     marks = "array(" + ", ".join(f"'{k.mask}'" for k in KINDS) + ")"
     ordered = "array_sort(__spans, (x, y) -> case when x.start <> y.start then x.start - y.start when x.end <> y.end then y.end - x.end else x.kind - y.kind end)"
@@ -300,4 +300,4 @@ def mask(docs: DataFrame, text_col: str = "text", limit: float = 0.9) -> DataFra
     spans = found.withColumn("__spans", chosen(accepted))
     cut = spans.withColumns({"__o": F.expr(ordered), "__n": F.length("__t"), "__p": F.when(F.size("__spans") > 0, F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
     out = cut.withColumn("__masked", F.expr(f"case when size(__spans) = 0 then __t else {outer} end"))
-    return out.select(*[F.when(F.col(c).isNotNull(), F.col("__masked")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[F.when(field(c).isNotNull(), F.col("__masked")).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import stored
+from .common import field, stored, whole
 from .components import components
 
 BITS, SEGMENT, REACH = 64, 32, 3
@@ -126,8 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component, the smallest id; columns unchanged. Components without any id stay whole."""
     near = near_duplicates(docs, id_col, **options)
-    keep = near.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    keep = near.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    return docs.select(whole(docs)).join(keep, field(id_col).cast("long").eqNullSafe(F.col("kept")), "left_semi").select("doc.*")
 
 
 def as_hex(fp: str = "fp") -> Column:

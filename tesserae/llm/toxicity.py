@@ -252,7 +252,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 3, remainder: int = 1, limit: float = 0.7,
-    toxic: int = 3000, clean: int = 6000, points: int = 30_000_000, **training,
+    toxic: int = 2000, clean: int = 4000, points: int = 20_000_000, **training,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out (crc32 of the id modulo ``held_out`` is ``remainder``), score (0 to 1) and predicted (score >= limit).
 

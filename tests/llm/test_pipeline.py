@@ -49,11 +49,46 @@ def test_stages(spark, sf_dir):
     assert sum(r.length for r in again) == sum(r.length for r in rows)
 
 
-def test_stages_stand_odd_rows(spark, sf_dir):
-    df = odd(spark, extra=False)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, df, sf_dir).count() >= 0
+NAMES = ("row", "doc", "kept", "__kept", "__t", "__n", "__p", "__o", "__spans", "__masked", "__email", "__ip", "__card", "__phone", "__row", "id", "n", "rank", "size", "digest", "body", "salt", "root", "x", "label", "fold", "score", "key", "a.b", "a`c")
+
+
+def test_stages_keep_rows_and_columns(spark, sf_dir):
+    """Repeated and null ids, and extra columns with the names that stages use: every row that stays has the values it came with, and the right rows stay."""
+    base = odd(spark, extra=False).collect()
+    rows = [(*r, *(f"{k}:{n}" for n in NAMES)) for k, r in enumerate(base)]
+    rows.append((2, base[1].text + "  ", "en", "z", 9, *(f"long:{n}" for n in NAMES)))  # longer than the rows that it equals, and of a repeated id
+    rows.append((None, base[6].text, "en", "z", 9, *(f"null:{n}" for n in NAMES)))
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n.replace('`', '``')}` string" for n in NAMES)])
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    first = len(df.columns) - len(NAMES)
+    by_tag = {r[first].split(":")[0]: r for r in map(tuple, df.collect())}
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, df, sf_dir)
+        assert found.columns == df.columns and found.schema == df.schema, name
+        got = list(map(tuple, found.collect()))
+        out[name] = {r[first].split(":")[0] for r in got}
+        assert len(out[name]) == len(got), f"{name} repeats a row"
+        for r in got:
+            want = by_tag[r[first].split(":")[0]]
+            assert r[first:] == want[first:] and (r[0], r[2], r[3]) == (want[0], want[2], want[3]), name
+            if name != "personal_data":
+                assert r == want
         assert stage(spark, df.limit(0), sf_dir).count() == 0
+    scores = {t: quality_model.quality_scores(df.filter(f"row = '{t}:row'"), spark.read.parquet(f"{sf_dir}/labels.parquet")).first().predicted for t in by_tag}
+    assert out["quality"] == {t for t, p in scores.items() if p}
+    groups: dict = {}
+    for t, r in by_tag.items():
+        groups.setdefault((r[1] or "").translate({ord(c): None for c in " \t\n\x0b\x0c\r"}), []).append((t, r))
+    for own in groups.values():
+        stay = [(t, r) for t, r in own if t in out["exact_duplicates"]]
+        assert len(stay) == 1
+        named = [(-len(r[1] or ""), r[0]) for _, r in own if r[0] is not None]
+        if named:
+            assert (-len(stay[0][1][1] or ""), stay[0][1][0]) == min(named)
+    assert out["personal_data"] == set(by_tag)
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, sf_dir)
+    assert packed.filter("offset + length > 2048").count() == 0 and packed.count() >= len(rows) and corpus_pipeline.STAGES[-1][1](spark, df.limit(0), sf_dir).count() == 0
 
 
 def test_components_of_a_chain_and_a_star(spark):
