@@ -111,7 +111,7 @@ def suggested_tier(sprites: Column, complexity: Column) -> Column:
     return F.when((sprites <= 32) & complexity.isin("low", "medium"), "MINIMAL").when(sprites <= 128, "STANDARD").otherwise("EXTENDED")
 
 
-# Cycles of an instruction by addressing mode.
+# Cycles of an instruction by addressing mode, all 56 instructions.
 _READ = {"imm": 2, "zp": 3, "zpx": 4, "abs": 4, "absx": 4, "absy": 4, "indx": 6, "indy": 5}
 _SHIFT = {"acc": 2, "zp": 5, "zpx": 6, "abs": 6, "absx": 7}
 _STEP = {"zp": 5, "zpx": 6, "abs": 6, "absx": 7}
@@ -120,7 +120,11 @@ CYCLES = {
     "sta": {"zp": 3, "zpx": 4, "abs": 4, "absx": 5, "absy": 5, "indx": 6, "indy": 6}, "stx": {"zp": 3, "zpy": 4, "abs": 4}, "sty": {"zp": 3, "zpx": 4, "abs": 4},
     "adc": _READ, "sbc": _READ, "cmp": _READ, "cpx": {"imm": 2, "zp": 3, "abs": 4}, "cpy": {"imm": 2, "zp": 3, "abs": 4}, "inc": _STEP, "dec": _STEP,
     "inx": {"impl": 2}, "iny": {"impl": 2}, "dex": {"impl": 2}, "dey": {"impl": 2}, "and": _READ, "ora": _READ, "eor": _READ, "bit": {"zp": 3, "abs": 4},
-    "asl": _SHIFT, "lsr": _SHIFT, "rol": _SHIFT, "ror": _SHIFT, "bcc": {"rel": 2}, "bcs": {"rel": 2}, "beq": {"rel": 2}, "bne": {"rel": 2},
+    "asl": _SHIFT, "lsr": _SHIFT, "rol": _SHIFT, "ror": _SHIFT,
+    "bcc": {"rel": 2}, "bcs": {"rel": 2}, "beq": {"rel": 2}, "bne": {"rel": 2}, "bmi": {"rel": 2}, "bpl": {"rel": 2}, "bvc": {"rel": 2}, "bvs": {"rel": 2},
+    "jmp": {"abs": 3, "ind": 5}, "jsr": {"abs": 6}, "rts": {"impl": 6}, "rti": {"impl": 6}, "pha": {"impl": 3}, "pla": {"impl": 4}, "php": {"impl": 3}, "plp": {"impl": 4},
+    "tax": {"impl": 2}, "tay": {"impl": 2}, "txa": {"impl": 2}, "tya": {"impl": 2}, "tsx": {"impl": 2}, "txs": {"impl": 2},
+    "clc": {"impl": 2}, "sec": {"impl": 2}, "cli": {"impl": 2}, "sei": {"impl": 2}, "cld": {"impl": 2}, "sed": {"impl": 2}, "clv": {"impl": 2}, "nop": {"impl": 2}, "brk": {"impl": 7},
 }
 ZERO_PAGE_NAMES = ("temp", "ptr", "counter", "index", "frame", "button")
 

@@ -88,7 +88,7 @@ def layer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", ops.layer_mode(F.col("layers"), F.col("colours"), F.col("rotates")).alias("mode"), ops.suggested_tier(F.col("sprites"), F.col("complexity")).alias("tier"))
 
 
-_OPCODES = ("lda", "sta", "adc", "inx", "jsr", "bne", "cpx", "asl", "bit", "beq", "nop", "ldx")
+_OPCODES = ("lda", "sta", "adc", "inx", "jsr", "bne", "cpx", "asl", "bit", "beq", "nop", "ldx", "jmp", "rts", "rti", "pha", "pla", "php", "plp", "tax", "txs", "clc", "sei", "brk", "bmi", "bpl", "bvc", "bvs", "inc", "sty", "ror")
 _OPERANDS = ("#$10", "$20", "$0200", "$20,x", "$0300,x", "temp", "label", "(ptr),y", "($10,x)", "200", "4000,y", "a", "", "(vector)")
 
 
@@ -119,6 +119,35 @@ def zero_page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (palette_rules, palette_snap_check, sheet_rules, audio_rules, chip_music_rules, level_template, level_issues, layer_modes, addressing_modes, block_report, zero_page_bytes)}
 
 
+# The instruction set by mode and cycles, for the SQL alone: a table of its own, so that a gap in the other one shows.
+_BY_MODE = """imm 2: lda ldx ldy adc sbc cmp cpx cpy and ora eor
+zp 3: lda ldx ldy sta stx sty adc sbc cmp cpx cpy and ora eor bit
+zp 5: inc dec asl lsr rol ror
+zpx 4: lda ldy sta sty adc sbc cmp and ora eor
+zpx 6: inc dec asl lsr rol ror
+zpy 4: ldx stx
+abs 3: jmp
+abs 4: lda ldx ldy sta stx sty adc sbc cmp cpx cpy and ora eor bit
+abs 6: inc dec asl lsr rol ror jsr
+absx 4: lda ldy adc sbc cmp and ora eor
+absx 5: sta
+absx 7: inc dec asl lsr rol ror
+absy 4: lda ldx adc sbc cmp and ora eor
+absy 5: sta
+indx 6: lda sta adc sbc cmp and ora eor
+indy 5: lda adc sbc cmp and ora eor
+indy 6: sta
+ind 5: jmp
+acc 2: asl lsr rol ror
+rel 2: bcc bcs beq bne bmi bpl bvc bvs
+impl 2: inx iny dex dey tax tay txa tya tsx txs clc sec cli sei cld sed clv nop
+impl 3: pha php
+impl 4: pla plp
+impl 6: rts rti
+impl 7: brk"""
+_CYCLES = ", ".join(f"('{o}', '{head.split()[0]}', {head.split()[1]})" for head, names in (line.split(": ") for line in _BY_MODE.splitlines()) for o in names.split())
+
+
 def _bad(name: str, cond: str) -> str:
     return f"list_transform(list_filter(range(len(v)), lambda i: {cond.replace('@', 'v[i + 1]')}), lambda i: '{name}:' || i)"
 
@@ -173,8 +202,8 @@ ORACLE_SQL = {
     "layer_modes": """WITH o AS (SELECT o_orderkey, 1 + o_orderkey % 5 AS l, o_custkey % 24 AS c, o_custkey % 3 AS k, o_orderkey % 200 AS s FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 7 WHEN c > 16 THEN 3 WHEN l <= 2 THEN 1 WHEN l = 4 THEN 0 ELSE 1 END AS mode,
         CASE WHEN s <= 32 AND k < 2 THEN 'MINIMAL' WHEN s <= 128 THEN 'STANDARD' ELSE 'EXTENDED' END AS tier FROM o""",
     "addressing_modes": f"WITH {_CODE} SELECT opcode, operand, mode, count(*) AS n FROM code JOIN modes USING (operand) GROUP BY ALL",
-    "block_report": f"""WITH {_CODE}, cycles(opcode, mode, cycles) AS (VALUES {", ".join(f"('{o}', '{m}', {n})" for o, ms in ops.CYCLES.items() for m, n in ms.items())}), least AS (SELECT opcode, min(cycles) AS least FROM cycles GROUP BY 1),
-        r AS (SELECT block // 4 AS block, CAST(coalesce(sum(coalesce(cycles, least)), 0) AS BIGINT) AS cycles, count(*) FILTER (opcode LIKE 'b%' AND opcode <> 'bit') AS branches, count(*) FILTER (opcode = 'jsr') AS calls
+    "block_report": f"""WITH {_CODE}, cycles(opcode, mode, cycles) AS (VALUES {_CYCLES}), least AS (SELECT opcode, min(cycles) AS least FROM cycles GROUP BY 1),
+        r AS (SELECT block // 4 AS block, CAST(coalesce(sum(coalesce(cycles, least)), 0) AS BIGINT) AS cycles, count(*) FILTER (opcode LIKE 'b%' AND opcode NOT IN ('bit', 'brk')) AS branches, count(*) FILTER (opcode = 'jsr') AS calls
             FROM code JOIN modes USING (operand) LEFT JOIN cycles USING (opcode, mode) LEFT JOIN least USING (opcode) GROUP BY 1)
         SELECT *, {_said([("cycles", "cycles > 1000"), ("branches", "branches > 10"), ("calls", "calls > 5")])} AS issues FROM r""",
     "zero_page_bytes": f"""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1), t AS (SELECT l_orderkey, l_linenumber, lower({_SOURCE.replace("STRING", "VARCHAR")}) AS t FROM m),

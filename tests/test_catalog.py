@@ -52,3 +52,11 @@ def test_nothing_but_the_entry_knows_the_subpackage():
     for p in glob.glob(f"{root}/tesserae/**/*.py", recursive=True):
         if f"{os.sep}llm{os.sep}" not in p:
             assert "llm" not in open(p).read(), p
+
+
+def test_instruction_set():
+    """Both tables of the instruction set agree and hold all 56 instructions."""
+    from tesserae.operators.rules import CYCLES
+    from tesserae.plans.rules import _CYCLES
+
+    assert len(CYCLES) == 56 and {f"('{o}', '{m}', {n})" for o, modes in CYCLES.items() for m, n in modes.items()} == set(_CYCLES.replace("), (", ")|(").split("|"))
