@@ -50,17 +50,39 @@ def islands(points: DataFrame, keys: Sequence[str], pos: str, gap: int = 0) -> D
     return d.groupBy(*keys, "__run").agg(F.min(pos).alias("start"), F.max(pos).alias("end")).drop("__run")
 
 
-def _tight(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    size = lambda c: (F.max(c) - F.min(c) + 1)
-    return points.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), size("x").alias("w"), size("y").alias("h"))
+def _lines(mask: DataFrame, key: str) -> DataFrame:
+    """(key, y, xs): the content of each row of a sheet, so that pixels are shuffled once."""
+    return mask.groupBy(key, "y").agg(F.collect_set("x").alias("xs"))
+
+
+def _columns(lines: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """(key, top, bottom, x, first, last, above): for each column of a run of rows the first and last row with content, and the last above ``bottom`` (null for none). Runs meet rows by (key, y)."""
+    rows = runs.select(key, "top", "bottom", F.explode(F.sequence("top", "bottom")).alias("y"))
+    inside = lines.join(rows, [key, "y"]).select(key, "top", "bottom", "y", F.explode("xs").alias("x"))
+    return inside.groupBy(key, "top", "bottom", "x").agg(F.min("y").alias("first"), F.max("y").alias("last"), F.max(F.when(F.col("y") < F.col("bottom"), F.col("y"))).alias("above"))
+
+
+def _column_runs(columns: DataFrame, key: str, gap: int = 0) -> DataFrame:
+    """``columns`` with start and end of their run of columns, which at most ``gap`` missing ones interrupt."""
+    keys = [key, "top", "bottom"]
+    w = Window.partitionBy(*keys).orderBy("x")
+    marked = columns.withColumn("__new", F.coalesce(F.col("x") - F.lag("x").over(w) > gap + 1, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w))
+    run = Window.partitionBy(*keys, "__run")
+    return marked.withColumns({"start": F.min("x").over(run), "end": F.max("x").over(run)}).drop("__new", "__run")
+
+
+def _boxed(columns: DataFrame, key: str, low: str, high: str) -> DataFrame:
+    """(key, x, y, w, h): what the columns of a run span."""
+    span = lambda a, b: F.max(b) - F.min(a) + 1
+    return columns.groupBy(key, "top", "start").agg(F.min("x").alias("x"), F.min(low).alias("y"), span("x", "x").alias("w"), span(low, high).alias("h")).select(key, "x", "y", "w", "h")
 
 
 def closed_boxes(mask: DataFrame, key: str, width: int, height: int, least: int = 4) -> DataFrame:
     """(key, x, y, w, h) of sprites: runs of rows with content, in them runs of columns, both over ``least`` long and neither at the far edge."""
-    rows = islands(mask, [key], "y").filter((F.col("end") - F.col("start") >= least) & (F.col("end") < height - 1)).withColumnsRenamed({"start": "top", "end": "bottom"})
-    inside = mask.select(key, "x", "y").join(rows, key).filter("y between top and bottom")
-    columns = islands(inside, [key, "top", "bottom"], "x").filter((F.col("end") - F.col("start") >= least) & (F.col("end") < width - 1))
-    return _tight(inside.join(columns, [key, "top", "bottom"]).filter("x between start and end"), [key, "top", "start"]).select(key, "x", "y", "w", "h")
+    lines = _lines(mask, key)
+    runs = islands(lines, [key], "y").filter((F.col("end") - F.col("start") >= least) & (F.col("end") < height - 1)).withColumnsRenamed({"start": "top", "end": "bottom"})
+    columns = _column_runs(_columns(lines, runs, key), key)
+    return _boxed(columns.filter((F.col("end") - F.col("start") >= least) & (F.col("end") < width - 1)), key, "first", "last")
 
 
 def tolerant_boxes(mask: DataFrame, key: str, width: int, height: int, least: int = 16, row_gap: int = 15, column_gap: int = 12, step: int = 4) -> DataFrame:
@@ -69,14 +91,14 @@ def tolerant_boxes(mask: DataFrame, key: str, width: int, height: int, least: in
     Rows are looked at in every ``step``-th column. A run that a gap ends excludes its last row and column, as does the box; boxes of one
     row or column are none.
     """
-    rows = islands(mask.filter(F.col("x") % step == 0), [key], "y", row_gap)
+    lines = _lines(mask, key)
+    rows = islands(lines.filter(F.exists("xs", lambda x: x % step == 0)), [key], "y", row_gap)
     trailing = F.col("end") + row_gap + 1 > height - 1
     rows = rows.select(key, F.col("start").alias("top"), F.when(trailing, height - 1).otherwise(F.col("end")).alias("bottom"), F.when(trailing, height - F.col("start")).otherwise(F.col("end") - F.col("start")).alias("size"))
-    inside = mask.select(key, "x", "y").join(rows.filter(F.col("size") >= least), key).filter("y between top and bottom")
-    columns = islands(inside, [key, "top", "bottom"], "x", column_gap)
-    trailing = F.col("end") + column_gap + 1 > width - 1
-    columns = columns.select(key, "top", "bottom", "start", F.when(trailing, F.col("end") + 1).otherwise(F.col("end")).alias("stop")).filter(F.col("stop") - F.col("start") >= least)
-    return _tight(inside.join(columns, [key, "top", "bottom"]).filter("x >= start and x < stop and y < bottom"), [key, "top", "start"]).filter("w > 1 and h > 1").select(key, "x", "y", "w", "h")
+    columns = _column_runs(_columns(lines, rows.filter(F.col("size") >= least), key), key, column_gap)
+    stop = F.when(F.col("end") + column_gap + 1 > width - 1, F.col("end") + 1).otherwise(F.col("end"))
+    kept = columns.filter((stop - F.col("start") >= least) & (F.col("x") < stop) & F.col("above").isNotNull())
+    return _boxed(kept, key, "first", "above").filter("w > 1 and h > 1")
 
 
 #: What makes a region look like a label, in whole numbers of w, h, y, n (content pixels) and height (of the sheet).
@@ -92,8 +114,9 @@ TEXT_RULES = {
 
 def text_regions(boxes: DataFrame, mask: DataFrame, key: str, height: int) -> DataFrame:
     """``boxes`` with n (content pixels inside) and reasons: the rules by which each is a text label, comma-joined; none for sprites."""
-    inside = boxes.join(mask.select(key, F.col("x").alias("px"), F.col("y").alias("py")), key).filter("px >= x and px < x + w and py >= y and py < y + h")
-    counted = boxes.join(inside.groupBy(key, "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n")), [key, "x", "y", "w", "h"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("height", F.lit(height))
+    rows = boxes.select("*", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("__y"))
+    inside = rows.join(_lines(mask, key).withColumnRenamed("y", "__y"), [key, "__y"]).withColumn("n", F.size(F.filter("xs", lambda v: (v >= F.col("x")) & (v < F.col("x") + F.col("w")))))
+    counted = boxes.join(inside.groupBy(key, "x", "y", "w", "h").agg(F.sum("n").alias("n")), [key, "x", "y", "w", "h"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("height", F.lit(height))
     reasons = F.array_compact(F.array(*[F.when(F.expr(rule), name) for name, rule in TEXT_RULES.items()]))
     return counted.select(key, "x", "y", "w", "h", "n", F.array_join(reasons, ",").alias("reasons"))
 

@@ -20,8 +20,9 @@ _CHANNELS = {
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, x, y, r, g, b, a: one sheet of 96 x 96 pixels a supplier."""
-    place = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
+    """image, x, y, r, g, b, a: one sheet of 96 x 96 pixels a supplier; dealt by image before the pixels are made, so that what goes by image finds them in place."""
+    images = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("image")).repartition("image")
+    place = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
     seen = place.selectExpr("image", f"i % {W} AS x", f"i div {W} AS y").withColumn("y", F.col("y").cast("int")).selectExpr("*", f"{_INSIDE} AS s")
     return seen.selectExpr("image", "x", "y", *[f"{sql} AS {c}" for c, sql in _CHANNELS.items()])
 
