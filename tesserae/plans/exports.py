@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks import exports as ops
+from ..sources import doccomments as comments
 from . import fixtures as fx
 
 _PLATFORMS = (("nes", 2, 256), ("genesis", 4, 180), ("gba", 8, 1024))
@@ -46,7 +47,18 @@ def platform_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fan_out(fx.variants(spark, sf_dir), _PLATFORMS)
 
 
-QUERIES = {f.__name__: f for f in (animation_header, machine_header, sound_list, collision_rows, sheet_frames, manifest_lines, platform_fan_out)}
+def doc_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``documents`` wrapped as sources: each is a doc comment, some with one inside, before a function, macro, type, or a blank line."""
+    lines = fx.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "t")).withColumn("t", F.trim(F.regexp_replace("t", "[^A-Za-z0-9 .]", "")))
+    i, n = F.col("i"), F.col("i").cast("string")
+    symbol = F.when(i % 4 == 0, F.concat(F.lit("int f"), n, F.lit("(void);"))).when(i % 4 == 1, F.concat(F.lit("#define M"), n, F.lit(" 1"))).when(i % 4 == 2, F.lit("")).otherwise(F.concat(F.lit("typedef struct S"), n, F.lit(" { int x; } S"), n, F.lit(";")))
+    last = F.when(i % 4 == 2, F.concat(F.lit("void g"), n, F.lit("(int x);"))).otherwise(F.concat(F.lit("// plain /** not a doc */ "), F.col("t")))
+    said = F.concat(F.lit(" * "), F.col("t"), F.when(i % 3 == 0, " /* aside */").otherwise(""))
+    source = lines.select("doc_id", "i", F.posexplode(F.array(F.lit("/**"), said, F.lit(" */"), symbol, last)).alias("k", "line"))
+    return comments.doc_comments(source.select("doc_id", (F.col("i").cast("long") * 5 + F.col("k")).alias("no"), "line"), "doc_id", "no").select("doc_id", "comment", "first", "text", "kind", "symbol", "section")
+
+
+QUERIES = {f.__name__: f for f in (animation_header, machine_header, sound_list, collision_rows, sheet_frames, manifest_lines, doc_comments, platform_fan_out)}
 
 _CODE = "upper(regexp_replace({}, '[^A-Za-z0-9]', '_', 'g'))"
 _ROW = "CAST({} AS VARCHAR) AS file, CAST({} AS INTEGER) AS section, {} AS item, CAST({} AS BIGINT) AS place, {} AS line"
@@ -75,4 +87,7 @@ ORACLE_SQL = {
     "manifest_lines": f"""WITH {fx.VARIANTS}, v AS (SELECT asset % 500 AS asset, platform, min(stage) AS stage FROM variants GROUP BY 1, 2)
         {_row("'manifest'", 0, "''", "asset", "'{" + '"asset":' + "' || asset || '" + ',"variants":{' + "' || string_agg('" + '"' + "' || platform || '" + '":"' + "' || stage || '" + '"' + "', ',' ORDER BY platform) || '}}'")} FROM v GROUP BY asset""",
     "platform_fan_out": f"""WITH {fx.VARIANTS}, p(platform, bits, most) AS (VALUES {", ".join(map(str, _PLATFORMS))}) SELECT asset, p.platform, CASE WHEN tiles <= most THEN tiles * bits * 8 END AS bytes, CASE WHEN tiles > most THEN 'too many tiles: ' || tiles END AS error FROM variants, p""",
+    "doc_comments": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents), c AS (SELECT doc_id, i, trim(regexp_replace(t, '[^A-Za-z0-9 .]', '', 'g')) AS t FROM l)
+        SELECT doc_id, CAST(i + 1 AS INTEGER) AS comment, CAST(5 * i AS BIGINT) AS first, trim(t || CASE WHEN i % 3 = 0 THEN ' /* aside */' ELSE '' END) AS text, CASE i % 4 WHEN 1 THEN 'macro' WHEN 3 THEN 'type' ELSE 'function' END AS kind,
+            CASE i % 4 WHEN 0 THEN 'f' WHEN 1 THEN 'M' WHEN 2 THEN 'g' ELSE 'S' END || i AS symbol, '' AS section FROM c""",
 }

@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes on the screens of 64 scenes."""
+    """Boxes on the screens of scenes, one for a range of orders."""
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 64).alias("scene"),
+        F.floor(F.col("l_orderkey") / 64).alias("scene"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_partkey") * 7 % 320).cast("int").alias("x"),
         ((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 11) % 240 - 16).cast("int").alias("y"),
@@ -22,7 +22,7 @@ def sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SPRITES = """sprites AS (SELECT l_orderkey % 64 AS scene, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey * 7 % 320 AS INTEGER) AS x,
+SPRITES = """sprites AS (SELECT l_orderkey // 64 AS scene, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey * 7 % 320 AS INTEGER) AS x,
     CAST((l_suppkey * 13 + l_linenumber * 11) % 240 - 16 AS INTEGER) AS y, CAST(8 * (1 + l_linenumber % 4) AS INTEGER) AS w, CAST(8 * (1 + l_linenumber // 2 % 4) AS INTEGER) AS h FROM lineitem)"""
 
 
@@ -48,12 +48,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map cells with flip flags in the top bits; number 0 is an empty cell."""
     line = F.col("l_linenumber").cast("long")
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 50).alias("map_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.floor(F.col("l_orderkey") / 64).alias("map_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_partkey") + F.when(line % 7 == 0, 0).otherwise(1) + (line % 4) * F.lit(0x40000000)).alias("raw"),
     )
 
 
-CELLS = """cells AS (SELECT l_orderkey % 50 AS map_id, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+CELLS = """cells AS (SELECT l_orderkey // 64 AS map_id, l_orderkey, l_linenumber, l_partkey, l_suppkey,
     l_partkey + CASE WHEN l_linenumber % 7 = 0 THEN 0 ELSE 1 END + CAST(l_linenumber % 4 AS BIGINT) * 1073741824 AS raw FROM lineitem)"""
 
 
@@ -78,11 +78,11 @@ PROPERTIES = "properties AS (SELECT p_partkey // 128 * 128 + 1 AS first_gid, p_p
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", (F.col("p_partkey") * 37 % 256).cast("int").alias("r"), (F.col("p_partkey") * 91 % 256).cast("int").alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b"),
-        (F.col("p_partkey") % 7).cast("int").alias("image"),
+        F.floor(F.col("p_partkey") / 128).cast("int").alias("image"),
     )
 
 
-COLOURS = "colours AS (SELECT p_partkey, CAST(p_partkey * 37 % 256 AS INTEGER) AS r, CAST(p_partkey * 91 % 256 AS INTEGER) AS g, CAST(p_size * 5 % 256 AS INTEGER) AS b, CAST(p_partkey % 7 AS INTEGER) AS image FROM part)"
+COLOURS = "colours AS (SELECT p_partkey, CAST(p_partkey * 37 % 256 AS INTEGER) AS r, CAST(p_partkey * 91 % 256 AS INTEGER) AS g, CAST(p_size * 5 % 256 AS INTEGER) AS b, CAST(p_partkey // 128 AS INTEGER) AS image FROM part)"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +95,12 @@ FRAMES = "frames AS (SELECT conv_id AS seq, turn AS frame, CAST(length(text) % 8
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State machines: an edge from a turn's (role, turn) to the next one's."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("fsm"), "conv_id", "turn", F.concat_ws("-", "role", F.col("turn").cast("string")).alias("state"))
+    c = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 8).alias("fsm"), "conv_id", "turn", F.concat_ws("-", "role", F.col("turn").cast("string")).alias("state"))
     after = c.select("fsm", "conv_id", (F.col("turn") - 1).alias("turn"), F.col("state").alias("dst"))
     return c.withColumnRenamed("state", "src").join(after, ["fsm", "conv_id", "turn"]).select("fsm", "src", "dst").distinct()
 
 
-EDGES = """edges AS (SELECT DISTINCT a.conv_id % 20 AS fsm, a.role || '-' || a.turn AS src, b.role || '-' || b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+EDGES = """edges AS (SELECT DISTINCT a.conv_id // 8 AS fsm, a.role || '-' || a.turn AS src, b.role || '-' || b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,12 @@ def change_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.changes(spark, sf_dir).select("event_id", (F.col("path") % 8).alias("watcher"), _seconds("ts").alias("at"))
+    c = fx.changes(spark, sf_dir).select("event_id", F.floor(F.col("path") / 16).alias("watcher"), _seconds("ts").alias("at"))
     return sequential.rate_limited(c, ["watcher"], ["at", "event_id"], 5, 3600.0 * 4)
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.changes(spark, sf_dir).select("event_id", (F.col("path") % 8).alias("watcher"), _seconds("ts").alias("at"), (F.col("change") != "error").alias("ok"))
+    c = fx.changes(spark, sf_dir).select("event_id", F.floor(F.col("path") / 16).alias("watcher"), _seconds("ts").alias("at"), (F.col("change") != "error").alias("ok"))
     return sequential.circuit_broken(c, ["watcher"], ["at", "event_id"], 2, 3600.0 * 12)
 
 
@@ -151,7 +151,7 @@ _S = "s AS (SELECT vec_id, list_transform(embedding, lambda v: (greatest(0, leas
 _R = repr(16_000 / 22_050)
 _LOAD = " ".join(f"WHEN rate <= {r1} THEN {v0} + (rate - {r0}) / {float(r1 - r0)}::DOUBLE * {v1 - v0}" for (r0, v0), (r1, v1) in zip(sorted(audio.LOAD.items()), sorted(audio.LOAD.items())[1:], strict=False))
 
-_WATCHED = f"""{fx.CHANGES}, w AS (SELECT event_id, path % 8 AS watcher, epoch_us(ts) / 1000000.0::DOUBLE AS secs, change <> 'error' AS ok FROM changes), f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY watcher ORDER BY secs, event_id) AS i FROM w)"""
+_WATCHED = f"""{fx.CHANGES}, w AS (SELECT event_id, path // 16 AS watcher, epoch_us(ts) / 1000000.0::DOUBLE AS secs, change <> 'error' AS ok FROM changes), f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY watcher ORDER BY secs, event_id) AS i FROM w)"""
 
 ORACLE_SQL = {
     "rate_limit": f"""WITH RECURSIVE {_WATCHED}, r AS (SELECT watcher, i, event_id, secs, [secs] AS times, true AS allowed FROM f WHERE i = 1

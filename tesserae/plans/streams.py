@@ -14,7 +14,7 @@ from . import folds
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
     s = watch.changes(spark, f"{sf_dir}/event[s].parquet", schema, files_per_trigger=64)  # a pattern: a stream takes no single file by name
-    return s.select("event_id", F.col("user_id").alias("path"), (F.col("user_id") % 8).alias("watcher"), F.col("event_type").alias("change"), F.md5("props").alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
+    return s.select("event_id", F.col("user_id").alias("path"), F.floor(F.col("user_id") / 16).alias("watcher"), F.col("event_type").alias("change"), F.md5("props").alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def stream_change_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
