@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audio, codecs, dither, overlap, sequential, sheets
+from ..operators import audio, codecs, dither, overlap, sequential, sheets, table_functions
 from ..operators.ordering import islands
 from . import fixtures as fx
 
@@ -85,7 +85,8 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.packed(_frames(spark, sf_dir), "sheet", "ord", "row")
+    """By a table function over each sheet's frames in order."""
+    return table_functions.row_packed(_frames(spark, sf_dir), "sheet", "ord")
 
 
 def shelf_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,7 @@ def maxrects_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("game"), F.col("p_partkey").alias("ord"), (F.col("p_size") * 401 % 20_000 + 100).cast("long").alias("bytes"))
-    return sheets.banks(s, "game", "ord")
+    return table_functions.banked(s, "game", "ord")
 
 
 def _greys(spark: SparkSession, sf_dir: str) -> DataFrame:
