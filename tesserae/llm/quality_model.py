@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .bpe import in_slices
-from .common import carried, field, fold, stored
+from .common import field, fold, stored, whole
 from .host_rules import repeated_words
 
 UPPER, LOWER, DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -66,17 +67,16 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """doc_id, row (``row_col``, null without) and x (array<double>): :func:`statistics` of every row's whole text, a null text counting as empty."""
+def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and x (array<double>): :func:`statistics` of every row's whole text, a null text counting as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
             ends = np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc_id", "row", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc_id", "x"])
 
-    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row).mapInArrow(each, "doc_id long, row long, x array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -181,29 +181,49 @@ def fit(labelled: DataFrame, shrinkage: float | None = None, worst: float = 1e-3
     return discriminant(whole, shrinkage or SHRINKAGES[0])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, limit: float = 0.3, row_col: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, held_out (crc32 of the id modulo ``held_out`` is 0), score (0 to 1) and predicted (score >= limit); with ``row_col`` that column as row too.
+def _marks(labels: DataFrame, label_col: str) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, limit: float = 0.3) -> DataFrame:
+    """One row per input row: doc_id, held_out (crc32 of the id modulo ``held_out`` is 0), score (0 to 1) and predicted (score >= limit).
 
     Only rows that are not held out and have a label train the model. A null text counts as empty, a null id as the empty text in the
     checksum; null labels don't count, of several labels of one id the largest does, and repeated rows train and score each. Without
     labels of both classes every score is the training share of class 1 (0.5 without any). Other columns are ignored.
     """
-    scored = stored(vectors(docs, id_col, text_col, row_col), "statistics").withColumn("held_out", fold("doc_id", held_out) == 0)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    model = fit(stored(scored.filter("not held_out").join(marks, "doc_id").select("x", "label"), "labelled"))
+    scored = stored(vectors(docs, id_col, text_col), "statistics").withColumn("held_out", fold("doc_id", held_out) == 0)
+    model = fit(stored(scored.filter("not held_out").join(_marks(labels, label_col), "doc_id").select("x", "label"), "labelled"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.scores(batch.column(3).flatten().to_numpy().reshape(-1, len(STATISTICS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score), pa.array((score >= limit).astype(np.int32))], ["doc_id", "held_out", "row", "score", "predicted"])
+            score = model.scores(batch.column(2).flatten().to_numpy().reshape(-1, len(STATISTICS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= limit).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return scored.select("doc_id", "held_out", "x").mapInArrow(each, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, limit: float = 0.3) -> DataFrame:
+    """``docs`` without the rows that the classifier of :func:`quality_scores` rejects; columns unchanged.
 
-    out = scored.select("doc_id", "held_out", "row", "x").mapInArrow(each, "doc_id long, held_out boolean, row long, score double, predicted int")
-    return out if row_col else out.drop("row")
+    Every row is judged by its own text, whatever its id. Rows lie in the shared folder with their statistics, which are computed once; only
+    ids and statistics are joined to the labels, so no text is shuffled.
+    """
 
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            ends = np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc", "x"])
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns unchanged. Every row is judged by its own text, whatever its id."""
-    rows = carried(docs, "quality-rows")
-    texts = rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text"))
-    good = quality_scores(texts, labels, row_col="row", **options).filter("predicted = 1").select("row")
-    return rows.join(good, "row", "left_semi").select("doc.*")
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = model.scores(batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))) >= limit
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], ["doc"])
+
+    rows = docs.select(whole(docs), F.col(text_col).cast("string").alias("text"))
+    doc = rows.schema["doc"]
+    rows = stored(rows.mapInArrow(described, StructType([doc]).add("x", ArrayType(DoubleType()))), "quality-rows")
+    training = rows.select(field(id_col).cast("long").alias("doc_id"), "x").filter(fold("doc_id", held_out) != 0)
+    model = fit(stored(training.join(_marks(labels, label_col), "doc_id").select("x", "label"), "labelled"))
+    return rows.mapInArrow(accepted, StructType([doc])).select("doc.*")
