@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +68,19 @@ def opposite(d: Column) -> Column:
 def mirror(d: Column) -> Column:
     """The direction seen in a mirror that swaps left and right (0 is right, turning)."""
     return F.pmod(4 - d, F.lit(8))
+
+
+def turn_table(function: Callable[[Column], Column], step: Column, steps: int = 256, scale: int = 256) -> Column:
+    """A table of a turn in ``steps``, times ``scale`` and rounded (ties to even), looked up at ``step``; the table is a constant of the plan."""
+    turn = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.rint(function(i * F.lit(2 * math.pi / steps)) * scale).cast("long"))
+    return F.get(turn, F.pmod(step, F.lit(steps)))
+
+
+def heading_of(dx: Column, dy: Column, size: int = 256) -> Column:
+    """The heading (256 steps of a turn) of a vector, from an arctangent table of the first octant that is looked up at the quotient of the shorter and the longer side; 0 for no vector."""
+    ax, ay = F.abs(dx), F.abs(dy)
+    table = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.rint(F.atan(i / F.lit(float(size - 1))) / (2 * math.pi) * 256).cast("long"))
+    place = F.least(F.lit(size - 1), F.coalesce(F.floor(F.least(ax, ay) * size / F.nullif(F.greatest(ax, ay), F.lit(0))), F.lit(0))).cast("int")
+    octant = F.get(table, place)
+    quarter = F.when(ay <= ax, octant).otherwise(64 - octant)
+    return F.when((dx >= 0) & (dy >= 0), quarter).when(dy >= 0, 128 - quarter).when(dx < 0, 128 + quarter).otherwise(F.pmod(256 - quarter, F.lit(256)))

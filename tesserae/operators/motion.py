@@ -11,13 +11,16 @@ from .. import dims
 from .storage import stored
 
 
-def from_names(sprites: DataFrame, name: str = "name", ordinal: str = "ord") -> DataFrame:
-    """Frames found in names like ``walk_01``: action (lower case), number, frame (from 0, by number then ordinal), ticks, loop."""
+def from_names(sprites: DataFrame, name: str = "name", ordinal: str = "ord", keys: Sequence[str] = ()) -> DataFrame:
+    """Frames found in names like ``walk_01``: action (lower case), number, frame (from 0, by number then ordinal), ticks, loop.
+
+    Frames count inside ``keys`` (a sheet, a character), as an action such as ``walk`` is everyone's.
+    """
     stem = F.regexp_replace(F.col(name), r"^(.*[/\\])?([^/\\]+?)\.[^./\\]*$", "$2")
     pattern = r"^(.+?)[-_]?(\d+)$"
     found = sprites.withColumn("__stem", F.when(F.col(name).contains("."), stem).otherwise(F.col(name))).filter(F.col("__stem").rlike(pattern))
     found = found.select("*", F.lower(F.regexp_extract("__stem", pattern, 1)).alias("action"), F.regexp_extract("__stem", pattern, 2).cast("decimal(38,0)").cast("long").alias("number")).drop("__stem")
-    w = Window.partitionBy("action").orderBy("number", ordinal)
+    w = Window.partitionBy(*keys, "action").orderBy("number", ordinal)
     ticks = dims.lookup(F.col("action"), dims.TICKS, dims.DEFAULT_TICKS)
     return found.withColumn("frame", F.row_number().over(w) - 1).withColumn("ticks", ticks).withColumn("loop", ~F.col("action").isin(*dims.ONE_SHOT))
 

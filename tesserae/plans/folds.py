@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import audio, codecs, dither, overlap, sequential, sheets, table_functions
 from ..operators.ordering import islands
 from . import fixtures as fx
@@ -134,10 +135,12 @@ def sample_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sine_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """256 steps of a turn, sine and cosine times 256, ties to even."""
-    i = F.col("id")
-    turn = i * F.lit(6.283185307179586 / 256)
-    return spark.range(256).select(i.alias("i"), F.rint(F.sin(turn) * 256).cast("long").alias("sin"), F.rint(F.cos(turn) * 256).cast("long").alias("cos"))
+    """Parts that move: a heading in 256 steps of a turn, its sine and cosine from the tables (times 256, ties to even), the step that a speed makes of them, and the heading that the arctangent table gives for that step."""
+    heading = (F.col("p_partkey") * 7 % 256).cast("int")
+    parts = fx.table(spark, sf_dir, "part").select("p_partkey", heading.alias("heading"), "p_size")
+    told = parts.select("*", geometry.turn_table(F.sin, F.col("heading")).alias("sin"), geometry.turn_table(F.cos, F.col("heading")).alias("cos"))
+    moved = told.select("p_partkey", "heading", "sin", "cos", F.shiftright(F.col("sin") * F.col("p_size"), 8).alias("dy"), F.shiftright(F.col("cos") * F.col("p_size"), 8).alias("dx"))
+    return moved.withColumn("back", geometry.heading_of(F.col("dx"), F.col("dy")))
 
 
 QUERIES = {
@@ -190,5 +193,8 @@ ORACLE_SQL = {
         - s[CAST(floor(i / {_R}::DOUBLE) AS INTEGER) + 1]) * (i / {_R}::DOUBLE - floor(i / {_R}::DOUBLE))) AS INTEGER)), ',') AS resampled,
         array_to_string(list_transform(s, lambda v: greatest(-32768, least(32767, CAST(trunc(v * (31128::DOUBLE / peak)) AS INTEGER)))), ',') AS normal, array_to_string(list_transform(s, lambda v: ((v + 32768) >> 8) & 255), ',') AS u8, peak FROM p""",
     "sample_load": f"WITH r AS (SELECT p_partkey, p_partkey * 37 % 40000 AS rate FROM part) SELECT p_partkey, rate, CAST(floor((CASE WHEN rate < 8000 THEN 10.0::DOUBLE {_LOAD} ELSE 40.0::DOUBLE END) * 100) AS BIGINT) AS load FROM r",
-    "sine_lut": "SELECT i, CAST(round_even(sin(i * (6.283185307179586::DOUBLE / 256)) * 256, 0) AS BIGINT) AS sin, CAST(round_even(cos(i * (6.283185307179586::DOUBLE / 256)) * 256, 0) AS BIGINT) AS cos FROM range(256) AS r(i)",
+    "sine_lut": """WITH h AS (SELECT p_partkey, CAST(p_partkey * 7 % 256 AS INTEGER) AS heading, p_size FROM part), t AS (SELECT *, CAST(round_even(sin(heading * (6.283185307179586::DOUBLE / 256)) * 256, 0) AS BIGINT) AS sin, CAST(round_even(cos(heading * (6.283185307179586::DOUBLE / 256)) * 256, 0) AS BIGINT) AS cos FROM h),
+        m AS (SELECT p_partkey, heading, sin, cos, (sin * p_size) >> 8 AS dy, (cos * p_size) >> 8 AS dx FROM t), o AS (SELECT *, CAST(round_even(atan(least(255, coalesce(floor(least(abs(dx), abs(dy)) * 256 / nullif(greatest(abs(dx), abs(dy)), 0)), 0)) / 255.0::DOUBLE) / 6.283185307179586::DOUBLE * 256, 0) AS BIGINT) AS o FROM m),
+        q AS (SELECT *, CASE WHEN abs(dy) <= abs(dx) THEN o ELSE 64 - o END AS q FROM o)
+        SELECT p_partkey, heading, sin, cos, dy, dx, CASE WHEN dx >= 0 AND dy >= 0 THEN q WHEN dy >= 0 THEN 128 - q WHEN dx < 0 THEN 128 + q ELSE (256 - q) % 256 END AS back FROM q""",
 }

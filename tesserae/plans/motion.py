@@ -15,7 +15,7 @@ def anim_from_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.when(F.col("p_partkey") % 3 == 0, ".png").otherwise("")
     kinds = F.array(*map(F.lit, ("Walk", "idle", "Attack", "jump", "hero", "")))
     name = F.concat(F.element_at(kinds, (F.col("p_partkey") % 6 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "_").otherwise(""), F.when(F.col("p_partkey") % 11 == 0, "x").otherwise(F.col("p_size").cast("string")), suffix)
-    return ops.from_names(fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), name.alias("name")))
+    return ops.from_names(fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), name.alias("name"), F.floor(F.col("p_partkey") / 256).alias("sheet")), keys=["sheet"])
 
 
 def frame_at_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +96,9 @@ _TICKS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.TICKS.items())
 
 ORACLE_SQL = {
     "anim_from_names": rf"""WITH p AS (SELECT p_partkey AS ord, (['Walk', 'idle', 'Attack', 'jump', 'hero', ''])[p_partkey % 6 + 1] || CASE WHEN p_partkey % 2 = 0 THEN '_' ELSE '' END || CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END
-        || CASE WHEN p_partkey % 3 = 0 THEN '.png' ELSE '' END AS name FROM part), s AS (SELECT *, replace(name, '.png', '') AS stem FROM p),
-        f AS (SELECT ord, name, lower(regexp_extract(stem, '^(.+?)[-_]?(\d+)$', 1)) AS action, CAST(regexp_extract(stem, '^(.+?)[-_]?(\d+)$', 2) AS BIGINT) AS number FROM s WHERE regexp_matches(stem, '^(.+?)[-_]?(\d+)$'))
-        SELECT *, CAST(row_number() OVER (PARTITION BY action ORDER BY number, ord) - 1 AS INTEGER) AS frame, CASE action {_TICKS} ELSE 6 END AS ticks, action NOT IN {dims.ONE_SHOT} AS loop FROM f""",
+        || CASE WHEN p_partkey % 3 = 0 THEN '.png' ELSE '' END AS name, p_partkey // 256 AS sheet FROM part), s AS (SELECT *, replace(name, '.png', '') AS stem FROM p),
+        f AS (SELECT ord, name, sheet, lower(regexp_extract(stem, '^(.+?)[-_]?(\d+)$', 1)) AS action, CAST(regexp_extract(stem, '^(.+?)[-_]?(\d+)$', 2) AS BIGINT) AS number FROM s WHERE regexp_matches(stem, '^(.+?)[-_]?(\d+)$'))
+        SELECT *, CAST(row_number() OVER (PARTITION BY sheet, action ORDER BY number, ord) - 1 AS INTEGER) AS frame, CASE action {_TICKS} ELSE 6 END AS ticks, action NOT IN {dims.ONE_SHOT} AS loop FROM f""",
     "timeline": f'WITH {_TIME} SELECT seq, frame, ticks, start, "end", total FROM t',
     "frame_at_tick": f"""WITH {_TIME}, m AS (SELECT seq, unnest(range(0, 61, 5)) AS tick FROM (SELECT DISTINCT seq FROM frames)), a AS (SELECT t.*, tick, CASE WHEN loop THEN tick % total ELSE least(tick, total - 1) END AS moment FROM m JOIN t USING (seq))
         SELECT seq, CAST(tick AS INTEGER) AS tick, frame FROM a WHERE start <= moment AND moment < "end" """,
