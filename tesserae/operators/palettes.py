@@ -94,11 +94,36 @@ def bayer(size: int) -> list[list[int]]:
     return m
 
 
-def ordered_dither(pixels: DataFrame, palette: Sequence[tuple[int, int, int]], size: int = 4, x: str = "x", y: str = "y") -> DataFrame:
-    """``pixels`` with ``idx``: the nearest entry after adding (matrix - 1/2) * 255 / (entries - 1), clamped."""
+def ordered_dither(pixels: DataFrame, palette: Sequence[tuple[int, int, int]], size: int = 4, x: str = "x", y: str = "y", spread: float | None = None, alpha: str | None = None) -> DataFrame:
+    """``pixels`` with ``idx``: the nearest entry after adding (matrix - 1/2) * ``spread``, clamped; by default the spread is 255 / (entries - 1).
+
+    With ``alpha``, pixels of less than 128 are entry 0.
+    """
     flat = [v / size**2 for row in bayer(size) for v in row]
-    spread = 255.0 / max(1, len(palette) - 1)
+    spread = 255.0 / max(1, len(palette) - 1) if spread is None else spread
     at = (F.col(y) % size * size + F.col(x) % size + 1).cast("int")
     threshold = F.element_at(F.array(*[F.lit((v - 0.5) * spread) for v in flat]), at)
     moved = [F.greatest(F.lit(0.0), F.least(F.lit(255.0), c + threshold)) for c in rgb()]
-    return pixels.withColumn("idx", C.nearest(moved, palette)["i"])
+    near = C.nearest(moved, palette)["i"]
+    return pixels.withColumn("idx", near if alpha is None else F.when(F.col(alpha) < 128, F.lit(0)).otherwise(near))
+
+
+def key_quantised(colours: DataFrame, key: str, order: str, keyed: tuple[int, int, int], size: int = 16) -> DataFrame:
+    """(key, r, g, b, n, idx): distinct colours of each image with their place in a palette of ``size``: the most frequent colours, the first seen on ties; others take the nearest.
+
+    Where an image has the colour ``keyed`` (what is transparent), that is place 0 and no other colour takes it.
+    """
+    counts = colours.groupBy(key, *RGB).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    is_key = (F.col("r") == keyed[0]) & (F.col("g") == keyed[1]) & (F.col("b") == keyed[2])
+    marked = counts.withColumns({"is_key": is_key, "has": F.max(is_key.cast("int")).over(Window.partitionBy(key))})
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
+    ranked = marked.filter(~F.col("is_key")).withColumn("place", place).filter(F.col("place") <= size - F.col("has"))
+    palettes = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("place") - 1 + F.col("has")).alias("idx"), *RGB))).alias("palette"))  # ``size`` entries at most
+    best = F.array_min(F.transform("palette", lambda p: F.struct(C.distance(rgb(), [p[c] for c in RGB]).alias("d"), p["idx"].alias("idx"))))["idx"]
+    return marked.join(palettes, key, "left").select(key, *RGB, "n", F.when(F.col("is_key"), F.lit(0)).otherwise(best).alias("idx"))
+
+
+def hardware_mapped(near: DataFrame, palette: DataFrame, key: str, hardware: Sequence[tuple[int, int, int]], metric: str = "rgb") -> DataFrame:
+    """``near`` (key, r, g, b, idx) with hw: colours through their image's palette (key, idx, r, g, b) to the hardware entry that is nearest to the palette's, so that equal indexes stay equal."""
+    entry = palette.select(key, "idx", C.nearest(rgb(), hardware, metric)["i"].alias("hw"))
+    return near.join(entry, [key, "idx"]).select(key, *RGB, "idx", "hw")

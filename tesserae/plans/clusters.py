@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dims import FIXED_64
 from ..functions import colour as C
 from ..operators import clusters as ops
+from ..operators import palettes
 from . import fixtures as fx
-from .palettes import _LAB
+from .compositing import _ALPHA
+from .palettes import _CUT, _LAB, FOUR
+from .segments import SHEETS, sheets
 
 SIZE, ROUNDS = 8, 12
 
@@ -34,7 +38,30 @@ def lab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select(off.alias("off")).groupBy("off").agg(F.count(F.lit(1)).alias("colours"))
 
 
-QUERIES = {f.__name__: f for f in (kmeans_palette, octree_palette, lab_round_trip)}
+KEYED, ENTRIES = (64, 128, 0), 6
+
+
+def key_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse colours in palettes of six, one colour of which is kept for what is transparent."""
+    coarse = fx.colours(spark, sf_dir).withColumns({c: (F.floor(F.col(c) / 64) * 64).cast("int") for c in "rgb"})
+    return palettes.key_quantised(coarse, "image", "p_partkey", KEYED, ENTRIES)
+
+
+def hardware_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours through their sheet's k-means palette to the fixed 64."""
+    near, centroids = ops.kmeans(_sheets(spark, sf_dir), "sheet", SIZE, ROUNDS)
+    at = centroids.select("sheet", F.posexplode("centroids").alias("idx", "c"))
+    rgb = C.from_lab(*[F.col(f"c.{c}") / ops.UNIT for c in ("l", "a", "bb")])
+    return palettes.hardware_mapped(near, at.select("sheet", "idx", *[c.alias(n) for c, n in zip(rgb, ops.RGB, strict=True)]), "sheet", FIXED_64)
+
+
+def ordered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets in four colours by an ordered pattern of a spread of 48; clear pixels are entry 0."""
+    px = palettes.ordered_dither(sheets(spark, sf_dir).withColumn("a", F.expr(_ALPHA)), FOUR, 8, spread=64 * 0.75, alpha="a")
+    return px.groupBy("image", "idx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 7 + F.col("y")).alias("told"))
+
+
+QUERIES = {f.__name__: f for f in (kmeans_palette, octree_palette, lab_round_trip, key_quantised, hardware_mapped, ordered_index)}
 
 _COLOURS = f"{fx.COLOURS}, s AS (SELECT p_partkey // 64 AS sheet, r, g, b, p_partkey FROM colours), x AS (SELECT sheet, r, g, b, {_LAB} FROM s)"
 _UNITS = ", ".join(f"CAST(floor({c} * {ops.UNIT} + 0.5) AS BIGINT) AS {c}" for c in ("l", "a", "bb"))
@@ -49,7 +76,7 @@ def _back(lightness: str, a: str, b: str) -> list[str]:
     return [f"CAST(floor(greatest(0.0, least(255.0, (CASE WHEN {c} > 0.0031308 THEN 1.055 * pow({c}, 1.0::DOUBLE / 2.4) - 0.055 ELSE 12.92 * {c} END) * 255))) AS INTEGER)" for c in linear]
 
 
-def _kmeans_sql() -> str:
+def _kmeans_sql(hardware: bool = False) -> str:
     away = "(c.l - b.l) * (c.l - b.l) + (c.a - b.a) * (c.a - b.a) + (c.bb - b.bb) * (c.bb - b.bb)"
     steps = [
         f"c AS MATERIALIZED (SELECT sheet, r, g, b, {_UNITS}, count(*) AS n FROM x GROUP BY ALL)",
@@ -62,11 +89,24 @@ def _kmeans_sql() -> str:
             means = ", ".join(f"CAST(sum({c} * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS {c}" for c in ("l", "a", "bb"))
             steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.sheet, b.idx, coalesce(m.l, b.l) AS l, coalesce(m.a, b.a) AS a, coalesce(m.bb, b.bb) AS bb FROM book{k} b LEFT JOIN (SELECT sheet, idx, {means} FROM near{k} GROUP BY ALL) m USING (sheet, idx))")
     rgb = ", ".join(f"{v} AS {c}" for c, v in zip("rgb", _back(*(f"(b.{c} / {float(ops.UNIT)}::DOUBLE)" for c in ("l", "a", "bb"))), strict=True))
+    if hardware:
+        away = "(b.r - f.r) * (b.r - f.r) + (b.g - f.g) * (b.g - f.g) + (b.b - f.b) * (b.b - f.b)"
+        return f"""WITH {_COLOURS}, {', '.join(steps)}, q AS (SELECT sheet, idx, {rgb} FROM book{ROUNDS} b), f(hw, r, g, b) AS (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(FIXED_64))}),
+            h AS (SELECT sheet, idx, arg_min(hw, struct_pack(d := {away}, hw := hw)) AS hw FROM q b, f GROUP BY sheet, idx) SELECT n.sheet, n.r, n.g, n.b, CAST(n.idx AS INTEGER) AS idx, hw FROM near{ROUNDS} n JOIN h USING (sheet, idx)"""
     return f"WITH {_COLOURS}, {', '.join(steps)} SELECT n.sheet, CAST(n.idx AS INTEGER) AS idx, {rgb}, pixels, error FROM (SELECT sheet, idx, CAST(sum(n) AS BIGINT) AS pixels, round(sum(d * n) / {ops.UNIT**2}.0::DOUBLE, 2) AS error FROM near{ROUNDS} GROUP BY ALL) n JOIN book{ROUNDS} b USING (sheet, idx)"
 
 
 ORACLE_SQL = {
     "kmeans_palette": _kmeans_sql(),
+    "hardware_mapped": _kmeans_sql(True),
+    "key_quantised": f"""WITH {fx.COLOURS}, cut AS ({_CUT.format(n=64)}), c AS (SELECT image, r, g, b, count(*) AS n, min(p_partkey) AS first, (r, g, b) = {KEYED} AS is_key FROM cut GROUP BY ALL), m AS (SELECT *, bool_or(is_key) OVER (PARTITION BY image) AS has FROM c),
+        p AS (SELECT image, r, g, b, place - 1 + has::INTEGER AS idx FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, first) AS place FROM m WHERE NOT is_key) WHERE place <= {ENTRIES} - has::INTEGER),
+        d AS (SELECT m.*, p.idx, row_number() OVER (PARTITION BY m.image, m.r, m.g, m.b ORDER BY (m.r - p.r) ** 2 + (m.g - p.g) ** 2 + (m.b - p.b) ** 2, p.idx) AS k FROM m LEFT JOIN p ON p.image = m.image)
+        SELECT image, r, g, b, n, CAST(CASE WHEN is_key THEN 0 ELSE idx END AS INTEGER) AS idx FROM d WHERE k = 1""",
+    "ordered_index": f"""WITH {SHEETS}, p AS (SELECT image, x, y, r, g, b, {_ALPHA} AS a, ([{", ".join(str(v) for row in palettes.bayer(8) for v in row)}][y % 8 * 8 + x % 8 + 1] / 64.0::DOUBLE - 0.5) * 48.0 AS t FROM px),
+        c AS (SELECT image, x, y, a, {", ".join(f"greatest(0.0::DOUBLE, least(255.0::DOUBLE, {c} + t)) AS {c}" for c in "rgb")} FROM p),
+        i AS (SELECT image, x, y, CASE WHEN a < 128 THEN 0 ELSE list_sort([{", ".join(f"{{'d': (r - {r}) * (r - {r}) + (g - {g}) * (g - {g}) + (b - {b}) * (b - {b}), 'i': {k}}}" for k, (r, g, b) in enumerate(FOUR))}])[1].i END AS idx FROM c)
+        SELECT image, CAST(idx AS INTEGER) AS idx, count(*) AS n, CAST(sum(x * 7 + y) AS BIGINT) AS told FROM i GROUP BY ALL""",
     "lab_round_trip": f"""WITH {_COLOURS}, u AS (SELECT r, g, b, {_UNITS} FROM x), v AS (SELECT r, g, b, {', '.join(f'{v} AS {c}' for c, v in zip(('r2', 'g2', 'b2'), _back(*(f'({c} / {float(ops.UNIT)}::DOUBLE)' for c in ('l', 'a', 'bb'))), strict=True))} FROM u)
         SELECT greatest(abs(r - r2), abs(g - g2), abs(b - b2)) AS off, count(*) AS colours FROM v GROUP BY 1""",
 }
