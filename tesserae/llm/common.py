@@ -6,7 +6,8 @@ import ctypes
 import re
 import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,40 @@ def carried(docs: DataFrame, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables that the stages of a pipeline have stored (:func:`staged`); None outside of a stage.
+_SPENT: list[str] = []
+_NOW: list[str] | None = None
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline's stage that deletes, when it begins, what the stage before has stored on its way.
+
+    Stages run one after the other and each result is written before the next one begins, so nothing reads those tables any more; tables
+    that ``docs`` still reads stay. What is stored outside of stages, by other queries of the session, is not touched.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _NOW
+        read = docs.inputFiles() if _SPENT else []
+        for folder in [f for f in _SPENT if not any(f.split("/")[-1] in r for r in read)]:
+            _SPENT.remove(folder)
+            removed(spark, folder)
+        _NOW = []
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _SPENT.extend(_NOW)
+            _NOW = None
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, readable after the loss of any executor, its lineage cut.
 
@@ -56,6 +91,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    if _NOW is not None:
+        _NOW.append(path)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
@@ -80,8 +117,7 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(spark, folder)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
