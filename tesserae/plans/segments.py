@@ -9,6 +9,8 @@ from ..operators import segments as ops
 from . import fixtures as fx
 
 W = H = 96
+#: Sheets whose pixels one task makes.
+SHEETS_A_TASK = 64
 # Sprites on a grid of each sheet's own, with holes; every third sheet is clear behind them and every fifth has a gradient there.
 _INSIDE = "x % (24 + image % 11) BETWEEN 2 AND 6 + image % 19 AND y % (22 + image % 13) BETWEEN 1 AND 4 + image % 17 AND (x * 7 + y * 3 + image) % 11 <> 0"
 _CHANNELS = {
@@ -20,8 +22,12 @@ _CHANNELS = {
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, x, y, r, g, b, a: one sheet of 96 x 96 pixels a supplier; dealt by image before the pixels are made, so that what goes by image finds them in place."""
-    images = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("image")).repartition("image")
+    """image, x, y, r, g, b, a: one sheet of 96 x 96 pixels a supplier; dealt by image before the pixels are made, so that what goes by image finds them in place.
+
+    The number of parts follows from the number of sheets and is told: the keys alone are so small that Spark would put them all together in one task, and their pixels with them.
+    """
+    suppliers = fx.table(spark, sf_dir, "supplier")
+    images = suppliers.select(F.col("s_suppkey").cast("int").alias("image")).repartition(-(-suppliers.count() // SHEETS_A_TASK) or 1, "image")
     place = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
     seen = place.selectExpr("image", f"i % {W} AS x", f"i div {W} AS y").withColumn("y", F.col("y").cast("int")).selectExpr("*", f"{_INSIDE} AS s")
     return seen.selectExpr("image", "x", "y", *[f"{sql} AS {c}" for c, sql in _CHANNELS.items()])
