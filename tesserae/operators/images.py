@@ -19,8 +19,11 @@ def tiles_of(pixels: DataFrame, key: str, value: Column, width: int, height: int
     seen = pixels if pad else pixels.filter((F.col("x") < width // SIDE * SIDE) & (F.col("y") < height // SIDE * SIDE))
     place = (F.col("y") % SIDE * SIDE + F.col("x") % SIDE).cast("int")
     tiles = seen.select(key, F.floor(F.col("x") / SIDE).cast("int").alias("tx"), F.floor(F.col("y") / SIDE).cast("int").alias("ty"), place.alias("place"), value.alias("value"))
-    held = tiles.groupBy(key, "tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
-    return held.select(key, "tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(blank))).alias("px"))
+    held = tiles.groupBy(key, "tx", "ty").agg(F.collect_list(F.struct("place", F.coalesce("value", F.lit(blank)).alias("value"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
+    rest = F.transform(F.array_except(every, F.col("m")["place"]), lambda i: F.struct(i.alias("place"), F.lit(blank).alias("value")))
+    whole = F.when(F.size("m") == SIDE * SIDE, F.col("m")).otherwise(F.concat("m", rest))
+    return held.select(key, "tx", "ty", F.sort_array(whole)["value"].alias("px"))
 
 
 def background_map(tiles: DataFrame, key: str, columns: int, rows: int, most: int = 256) -> DataFrame:
