@@ -31,14 +31,15 @@ def background_map(tiles: DataFrame, key: str, columns: int, rows: int, most: in
 
     Cells outside of the image hold the blank tile. Numbers from ``most`` on don't fit: those cells show number 0.
     """
-    cells = tiles.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(columns * rows - 1))).alias("cell"))
-    own = tiles.filter((F.col("tx") < columns) & (F.col("ty") < rows)).select(key, (F.col("ty") * columns + F.col("tx")).cast("int").alias("cell"), F.md5(F.array_join(F.col("px").cast("array<string>"), ",")).alias("look"))
-    blank = F.md5(F.lit(",".join(["0"] * SIDE * SIDE)))
-    seen = cells.join(own, [key, "cell"], "left").withColumn("look", F.coalesce("look", blank))
-    first = seen.groupBy(key, "look").agg(F.min("cell").alias("first"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("first"))
-    numbered = first.select(key, "look", F.when(number < most, number).otherwise(0).alias("tile"))
-    return seen.join(numbered, [key, "look"]).select(key, "cell", "tile")
+    look = F.md5(F.array_join(F.col("px").cast("array<string>"), ",")).alias("look")
+    cell = F.when((F.col("tx") < columns) & (F.col("ty") < rows), F.struct((F.col("ty") * columns + F.col("tx")).cast("int").alias("cell"), look))
+    held = tiles.groupBy(key).agg(F.collect_list(cell).alias("own"))  # a screen's cells at most, and all by image: no join
+    blank = F.md5(F.lit(",".join(["0"] * SIDE * SIDE))).alias("look")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(columns * rows - 1)), F.col("own")["cell"]), lambda i: F.struct(i.alias("cell"), blank))
+    seen = held.select(key, F.explode(F.concat("own", rest)).alias("c")).select(key, "c.cell", "c.look")
+    first = seen.withColumn("first", F.min("cell").over(Window.partitionBy(key, "look")))
+    number = F.dense_rank().over(Window.partitionBy(key).orderBy("first"))
+    return first.select(key, "cell", F.when(number < most, number).otherwise(0).alias("tile"))
 
 
 def rotated(px: Column, quarters: int, side: int = SIDE) -> Column:
