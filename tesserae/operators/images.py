@@ -64,19 +64,24 @@ def rotations(tiles: DataFrame, keys: Sequence[str], px: str = "px") -> DataFram
 def scaled(pixels: DataFrame, key: str, width: int, height: int, to_width: int, to_height: int, cover: bool = False) -> DataFrame:
     """The image in a box of another size, its sides in proportion, its middle in the middle, nearest pixels; the rest of the box is clear.
 
-    It fits inside the box, or covers it where ``cover``.
+    It fits inside the box, or covers it where ``cover``. A broadcast table leads from pixels to the places that show them, so that only
+    those are gathered by image, a box of them at most.
     """
     ratios = [(to_width, width), (to_height, height)]
     up, down = (max if cover else min)(ratios, key=lambda r: r[0] / r[1])
     w, h = max(1, width * up // down), max(1, height * up // down)
     left, top = (to_width - w) // 2, (to_height - h) // 2
-    box = pixels.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(to_width * to_height - 1))).alias("i"))
-    box = box.select(key, (F.col("i") % to_width).cast("int").alias("x"), F.floor(F.col("i") / to_width).cast("int").alias("y"))
-    inside = (F.col("x") >= left) & (F.col("x") < left + w) & (F.col("y") >= top) & (F.col("y") < top + h)
-    near = lambda c, at, n, size: F.when(inside, F.floor((2 * (F.col(c) - at) + 1) * size / (2 * n)).cast("int"))
-    placed = box.withColumns({"sx": near("x", left, w, width), "sy": near("y", top, h, height)})
-    source = pixels.select(key, F.col("x").alias("sx"), F.col("y").alias("sy"), *RGB, "a")
-    return placed.join(source, [key, "sx", "sy"], "left").select(key, "x", "y", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*RGB, "a")])
+    shown: dict[tuple[int, int], list[int]] = {}
+    for y in range(max(0, top), min(to_height, top + h)):
+        for x in range(max(0, left), min(to_width, left + w)):
+            shown.setdefault(((2 * (x - left) + 1) * width // (2 * w), (2 * (y - top) + 1) * height // (2 * h)), []).append(y * to_width + x)
+    places = pixels.sparkSession.createDataFrame([(*at, to) for at, to in shown.items()], "x int, y int, to array<int>")
+    told = F.when(F.col("to").isNotNull(), F.struct("to", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*RGB, "a")]))
+    held = pixels.join(F.broadcast(places), ["x", "y"], "left").groupBy(key).agg(F.collect_list(told).alias("own"))
+    rest = F.array_except(F.sequence(F.lit(0), F.lit(to_width * to_height - 1)), F.flatten(F.col("own")["to"]))
+    clear = F.struct(rest.alias("to"), *[F.lit(0).cast(pixels.schema[c].dataType).alias(c) for c in (*RGB, "a")])
+    box = held.select(key, F.explode(F.concat("own", F.array(clear))).alias("p")).select(key, F.explode("p.to").alias("i"), *[f"p.{c}" for c in (*RGB, "a")])
+    return box.select(key, (F.col("i") % to_width).cast("int").alias("x"), F.floor(F.col("i") / to_width).cast("int").alias("y"), *RGB, "a")
 
 
 def _cleared(pixels: DataFrame, where: Column) -> DataFrame:

@@ -30,3 +30,22 @@ def test_nothing_made_of_pixels_is_broadcast(spark, many, name):
     """Estimates know nothing of what comes out of lists, so a join would take the pixels for small."""
     plan = catalog.QUERIES[name](spark, many)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("cover", [False, True])
+def test_scaled_gathers_only_what_it_shows(spark, cover):
+    from tesserae.operators import images
+
+    px = spark.createDataFrame([(1, x, y, 10 * x + y, 0, 0, 255) for x in range(6) for y in range(6) if (x, y) != (3, 3)], "image int, x int, y int, r int, g int, b int, a int")
+    scaled = images.scaled(px, "image", 6, 6, 4, 3, cover)
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and "SortMergeJoin" not in plan
+    got = {(r.x, r.y): (r.r, r.a) for r in scaled.collect()}
+    n, left, top = (4, 0, (3 - 4) // 2) if cover else (3, (4 - 3) // 2, 0)
+    want = {}
+    for x in range(4):
+        for y in range(3):
+            inside = left <= x < left + n and top <= y < top + n
+            sx, sy = (2 * (x - left) + 1) * 6 // (2 * n), (2 * (y - top) + 1) * 6 // (2 * n)
+            want[x, y] = (10 * sx + sy, 255) if inside and (sx, sy) != (3, 3) else (0, 0)
+    assert got == want
