@@ -126,12 +126,13 @@ def two_colours(pixels: DataFrame, key: str) -> DataFrame:
     """``pixels`` with every tile in its two most frequent colours (of equal counts the larger r, g, b); others take the nearer one, the more frequent if equal."""
     at = {"tx": F.floor(F.col("x") / SIDE).cast("int"), "ty": F.floor(F.col("y") / SIDE).cast("int")}
     seen = pixels.withColumns(at)
-    counts = seen.groupBy(key, "tx", "ty", *RGB).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy(key, "tx", "ty").orderBy(*[F.col(c).desc() for c in ("n", *RGB)]))
-    top = counts.withColumn("k", rank).filter("k <= 2").groupBy(key, "tx", "ty").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2) for c in RGB])
+    counts = seen.groupBy(key, "tx", "ty", *RGB).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("x", "y")).alias("at"))
+    tile = Window.partitionBy(key, "tx", "ty").orderBy(*[F.col(c).desc() for c in ("n", *RGB)]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = counts.withColumns({f"{c}{k}": F.nth_value(c, k).over(tile) for k in (1, 2) for c in RGB})
     apart = lambda k: sum(((F.col(c) - F.col(f"{c}{k}")) * (F.col(c) - F.col(f"{c}{k}")) for c in RGB), F.lit(0))
     second = F.coalesce(apart(2) < apart(1), F.lit(False))
-    return seen.join(top, [key, "tx", "ty"]).select(key, "x", "y", *[F.when(second, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in RGB])
+    near = top.select(key, F.explode("at").alias("p"), *[F.when(second, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in RGB])
+    return near.select(key, "p.x", "p.y", *RGB)
 
 
 def brightness_band(r: Column, g: Column, b: Column) -> Column:
