@@ -147,10 +147,16 @@ def strip_frames(pixels: DataFrame, width: int, count: int) -> DataFrame:
 
 
 def seamless_loop(frames: DataFrame, key: str, last: int, limit: int = 50, share: float = 0.3) -> DataFrame:
-    """The ``last`` frame's pixels, drawn towards the first frame by ``share`` where the two differ by over ``limit`` on average."""
-    first = frames.filter("frame = 0").select(key, "x", "y", *[F.col(c).alias(f"f{c}") for c in RGB])
-    both = frames.filter(F.col("frame") == last).select(key, "x", "y", *RGB).join(first, [key, "x", "y"])
+    """The ``last`` frame's pixels, drawn towards the first frame by ``share`` where the two differ by over ``limit`` on average.
+
+    The two meet by grouping on their place, not by a join, whose side Spark would take for small and broadcast.
+    """
+    first, end = F.col("frame") == 0, F.col("frame") == last
+    own = lambda where, prefix: [F.max(F.when(where, F.col(c))).alias(f"{prefix}{c}") for c in RGB]
+    there = lambda where: F.max(F.when(where, 1))
+    both = frames.filter(first | end).groupBy(key, "x", "y").agg(*own(end, ""), *own(first, "f"), (there(first) + there(end)).alias("both")).filter("both = 2").drop("both")
     apart = sum((F.abs(F.col(c) - F.col(f"f{c}")) for c in RGB), F.lit(0))
-    far = both.groupBy(key).agg((F.sum(apart) > limit * 3 * F.count(F.lit(1))).alias("blended"))
+    image = Window.partitionBy(key)
+    far = F.sum(apart).over(image) > limit * 3 * F.count(F.lit(1)).over(image)
     drawn = [F.when(F.col("blended"), F.floor(F.col(c) * F.lit(1 - share) + F.col(f"f{c}") * F.lit(share)).cast("int")).otherwise(F.col(c)).alias(c) for c in RGB]
-    return both.join(far, key).select(key, "x", "y", *drawn, "blended")
+    return both.withColumn("blended", far).select(key, "x", "y", *drawn, "blended")
