@@ -56,9 +56,9 @@ def _lines(mask: DataFrame, key: str) -> DataFrame:
 
 
 def _columns(lines: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """(key, top, bottom, x, first, last, above): for each column of a run of rows the first and last row with content, and the last above ``bottom`` (null for none). Runs meet rows by (key, y)."""
+    """(key, top, bottom, x, first, last, above): for each column of a run of rows the first and last row with content, and the last above ``bottom`` (null for none). Runs meet rows by (key, y), merged: estimates are far too small for rows that come out of lists."""
     rows = runs.select(key, "top", "bottom", F.explode(F.sequence("top", "bottom")).alias("y"))
-    inside = lines.join(rows, [key, "y"]).select(key, "top", "bottom", "y", F.explode("xs").alias("x"))
+    inside = lines.join(rows.hint("merge"), [key, "y"]).select(key, "top", "bottom", "y", F.explode("xs").alias("x"))
     return inside.groupBy(key, "top", "bottom", "x").agg(F.min("y").alias("first"), F.max("y").alias("last"), F.max(F.when(F.col("y") < F.col("bottom"), F.col("y"))).alias("above"))
 
 
@@ -115,8 +115,8 @@ TEXT_RULES = {
 def text_regions(boxes: DataFrame, mask: DataFrame, key: str, height: int) -> DataFrame:
     """``boxes`` with n (content pixels inside) and reasons: the rules by which each is a text label, comma-joined; none for sprites."""
     rows = boxes.select("*", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("__y"))
-    inside = rows.join(_lines(mask, key).withColumnRenamed("y", "__y"), [key, "__y"]).withColumn("n", F.size(F.filter("xs", lambda v: (v >= F.col("x")) & (v < F.col("x") + F.col("w")))))
-    counted = boxes.join(inside.groupBy(key, "x", "y", "w", "h").agg(F.sum("n").alias("n")), [key, "x", "y", "w", "h"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("height", F.lit(height))
+    inside = rows.join(_lines(mask, key).withColumnRenamed("y", "__y").hint("merge"), [key, "__y"]).withColumn("n", F.size(F.filter("xs", lambda v: (v >= F.col("x")) & (v < F.col("x") + F.col("w")))))
+    counted = boxes.join(inside.groupBy(key, "x", "y", "w", "h").agg(F.sum("n").alias("n")).hint("merge"), [key, "x", "y", "w", "h"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("height", F.lit(height))
     reasons = F.array_compact(F.array(*[F.when(F.expr(rule), name) for name, rule in TEXT_RULES.items()]))
     return counted.select(key, "x", "y", "w", "h", "n", F.array_join(reasons, ",").alias("reasons"))
 

@@ -25,7 +25,7 @@ def test_sheets_are_dealt_to_as_many_tasks_as_they_need(spark, many):
     assert sheets(spark, many).rdd.getNumPartitions() == 4
 
 
-@pytest.mark.parametrize("name", ["background_map", "tile_two_colours", "strip_loop"])
+@pytest.mark.parametrize("name", ["background_map", "tile_two_colours", "strip_loop", "sheet_text_regions", "sheet_boxes", "sheet_boxes_tolerant"])
 def test_nothing_made_of_pixels_is_broadcast(spark, many, name):
     """Estimates know nothing of what comes out of lists, so a join would take the pixels for small."""
     plan = catalog.QUERIES[name](spark, many)._jdf.queryExecution().executedPlan().toString()
