@@ -103,9 +103,11 @@ def ordered_dither(pixels: DataFrame, palette: Sequence[tuple[int, int, int]], s
     spread = 255.0 / max(1, len(palette) - 1) if spread is None else spread
     at = (F.col(y) % size * size + F.col(x) % size + 1).cast("int")
     threshold = F.element_at(F.array(*[F.lit((v - 0.5) * spread) for v in flat]), at)
-    moved = [F.greatest(F.lit(0.0), F.least(F.lit(255.0), c + threshold)) for c in rgb()]
-    near = C.nearest(moved, palette)["i"]
-    return pixels.withColumn("idx", near if alpha is None else F.when(F.col(alpha) < 128, F.lit(0)).otherwise(near))
+    # Columns of their own: every entry's distance reads them twice, and written out there they make code that is too long to be compiled.
+    moved = pixels.withColumn("__threshold", threshold).withColumns({f"__{c}": F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c) + F.col("__threshold"))) for c in RGB})
+    near = moved.withColumn("__near", C.nearest([F.col(f"__{c}") for c in RGB], palette)["i"])
+    idx = F.col("__near") if alpha is None else F.when(F.col(alpha) < 128, F.lit(0)).otherwise(F.col("__near"))
+    return near.select(*pixels.columns, idx.alias("idx"))
 
 
 def key_quantised(colours: DataFrame, key: str, order: str, keyed: tuple[int, int, int], size: int = 16) -> DataFrame:
