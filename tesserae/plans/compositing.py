@@ -23,7 +23,7 @@ def sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def by_line(pixels: DataFrame, *keys: str) -> DataFrame:
     """A row a line of an image: its pixels as x:r,g,b,a."""
     shown = F.concat(F.col("x").cast("string"), F.lit(":"), F.concat_ws(",", *[F.col(c).cast("string") for c in ops.RGBA]))
-    return pixels.groupBy(*keys, "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", shown.alias("t")))), lambda s: s["t"]), " ").alias("line"))
+    return pixels.groupBy(*keys, "y").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x", shown.alias("t"))))["t"], " ").alias("line"))
 
 
 def sprite_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
