@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pixels as ops
 from . import fixtures as fx
 
 
-def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as pixels of images 32 wide; every fifth is clear."""
+def _pixels(spark: SparkSession, sf_dir: str, image: Column | None = None) -> DataFrame:
+    """Parts as pixels of images 32 wide; every fifth is clear. ``image``: which image, by default one for a range of parts."""
     k = F.col("p_partkey")
     c = fx.colours(spark, sf_dir)
-    return c.select("image", (F.floor(k / 7) % 32).cast("int").alias("x"), F.floor(k / 224).cast("int").alias("y"), "r", "g", "b", F.when(k % 5 == 0, 0).otherwise(255).alias("a"))
+    return c.select(F.col("image") if image is None else image.alias("image"), (F.floor(k / 7) % 32).cast("int").alias("x"), F.floor(k / 224).cast("int").alias("y"), "r", "g", "b", F.when(k % 5 == 0, 0).otherwise(255).alias("a"))
 
 
 def pixel_tint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def pixel_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixel_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.seam(_pixels(spark, sf_dir), "image", 32, 8)
+    """Over seven images that hold all columns of every line, so that the first columns have their counterparts at the right end."""
+    return ops.seam(_pixels(spark, sf_dir, (F.col("p_partkey") % 7).cast("int")), "image", 32, 8)
 
 
 def style_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ _DISC = ", ".join(f"({dx}, {dy})" for dx in range(-2, 3) for dy in range(-2, 3)
 ORACLE_SQL = {
     "pixel_tint": f"WITH {_PX} SELECT image, x, y, a, " + ", ".join(f"CASE WHEN a > 0 THEN CAST(floor({c} + ({v} - {c}) * 0.5::DOUBLE) AS INTEGER) ELSE {c} END AS {c}" for c, v in zip("rgb", (255, 128, 0), strict=True)) + " FROM px",
     "pixel_outline": f"WITH {_PX}, s AS (SELECT image, x, y FROM px WHERE a > 0), d(dx, dy) AS (VALUES {_DISC}), n AS (SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM s, d) SELECT * FROM n ANTI JOIN s USING (image, x, y)",
-    "pixel_seam": f"WITH {_PX}, e AS (SELECT image, x - 24 AS x, y, r AS rr, g AS gg, b AS bb FROM px WHERE x >= 24) SELECT px.image, px.x, px.y, a, "
+    "pixel_seam": f"WITH {_PX.replace('CAST(p_partkey // 128 AS INTEGER) AS image', 'CAST(p_partkey % 7 AS INTEGER) AS image')}, e AS (SELECT image, x - 24 AS x, y, r AS rr, g AS gg, b AS bb FROM px WHERE x >= 24) SELECT px.image, px.x, px.y, a, "
     + ", ".join(f"CASE WHEN rr IS NULL THEN {c} ELSE CAST(floor({c} + ({c * 2} - {c}) * (1 - px.x / 8.0::DOUBLE)) AS INTEGER) END AS {c}" for c in "rgb")
     + " FROM px LEFT JOIN e ON e.image = px.image AND e.x = px.x AND e.y = px.y",
     "style_measures": f"""WITH {_PX}, g AS (SELECT image, (r * 299 + g * 587 + b * 114) // 1000 AS g, floor((greatest(r, g, b) - least(r, g, b))::DOUBLE / greatest(r, g, b, 1) * 1000) AS s FROM px),

@@ -25,11 +25,13 @@ def test_sheets_are_dealt_to_as_many_tasks_as_they_need(spark, many):
     assert sheets(spark, many).rdd.getNumPartitions() == 4
 
 
-@pytest.mark.parametrize("name", ["background_map", "tile_two_colours", "strip_loop", "sheet_text_regions", "sheet_boxes", "sheet_boxes_tolerant"])
+@pytest.mark.parametrize("name", ["background_map", "tile_two_colours", "strip_loop", "sheet_text_regions", "sheet_boxes", "sheet_boxes_tolerant", "sprite_shadow", "sprite_glow"])
 def test_nothing_made_of_pixels_is_broadcast(spark, many, name):
     """Estimates know nothing of what comes out of lists, so a join would take the pixels for small."""
     plan = catalog.QUERIES[name](spark, many)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+    if name.startswith("sprite"):
+        assert "SortMergeJoin" not in plan and plan.count("Exchange") == 1
 
 
 @pytest.mark.parametrize("cover", [False, True])
@@ -49,3 +51,15 @@ def test_scaled_gathers_only_what_it_shows(spark, cover):
             sx, sy = (2 * (x - left) + 1) * 6 // (2 * n), (2 * (y - top) + 1) * 6 // (2 * n)
             want[x, y] = (10 * sx + sy, 255) if inside and (sx, sy) != (3, 3) else (0, 0)
     assert got == want
+
+
+def test_seams_have_their_counterparts(spark, sf_dir):
+    """The first eight columns meet those at the right end: pixels are drawn towards them."""
+    from pyspark.sql import functions as F
+
+    from tesserae.plans import fixtures as fx
+    from tesserae.plans import pixels
+
+    own = fx.colours(spark, sf_dir).select((F.col("p_partkey") % 7).cast("int").alias("image"), (F.floor(F.col("p_partkey") / 7) % 32).cast("int").alias("x"), F.floor(F.col("p_partkey") / 224).cast("int").alias("y"), F.col("r").alias("was"))
+    drawn = pixels.pixel_seam(spark, sf_dir).filter("x < 8").join(own, ["image", "x", "y"])
+    assert drawn.filter("r <> was").count() * 2 > drawn.count()
