@@ -74,15 +74,16 @@ def packed_music_size(size: Column, chips: Column) -> Column:
 
 
 def level_template(levels: DataFrame, key: str, screens: str, text: str) -> DataFrame:
-    """(key, x, y, cell): ground in the last two rows; a ceiling, platforms and hazards where words of ``text`` ask for them."""
+    """(key, x, y, cell): ground in the last two rows; a ceiling, platforms and hazards where words of ``text`` ask for them, which are looked for once a level."""
     across, down = SCREEN_CELLS
     said = lambda *words: F.lower(F.col(text)).rlike("|".join(words))
-    grid = levels.select(key, F.col(text), F.explode(F.sequence(F.lit(0), F.col(screens) * across - 1)).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"))
+    asked = [said("hazard", "spike").alias("__hazard"), said("platform").alias("__platform"), said("cave", "underground").alias("__cave")]
+    grid = levels.select(key, *asked, F.explode(F.sequence(F.lit(0), F.col(screens) * across - 1)).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"))
     x, y = F.col("x"), F.col("y")
     cell = (
-        F.when(said("hazard", "spike") & (y == down - 3) & x.isin(6, 7), HAZARD)
-        .when(said("platform") & (((y == 8) & x.between(3, 5)) | ((y == 6) & x.between(8, 10))), PLATFORM)
-        .when((y >= down - 2) | (said("cave", "underground") & (y < 2)), SOLID)
+        F.when(F.col("__hazard") & (y == down - 3) & x.isin(6, 7), HAZARD)
+        .when(F.col("__platform") & (((y == 8) & x.between(3, 5)) | ((y == 6) & x.between(8, 10))), PLATFORM)
+        .when((y >= down - 2) | (F.col("__cave") & (y < 2)), SOLID)
         .otherwise(EMPTY)
     )
     return grid.select(key, "x", "y", cell.alias("cell"))
@@ -91,14 +92,14 @@ def level_template(levels: DataFrame, key: str, screens: str, text: str) -> Data
 def level_issues(levels: DataFrame, cells: DataFrame, spawns: DataFrame, key: str) -> DataFrame:
     """(key, issues): missing cells, a start (x, y in pixels) inside a solid cell, and how many spawns (x, y) lie outside; none is empty.
 
-    ``levels`` has key, width and height (cells), x and y of the start.
+    ``levels`` has key, width and height (cells), x and y of the start. Joins are merged: Spark takes cells that come out of lists for few.
     """
     counted = cells.groupBy(key).agg(F.count(F.lit(1)).alias("cells"))
     at = levels.select(key, F.floor(F.col("x") / CELL_PIXELS).alias("x"), F.floor(F.col("y") / CELL_PIXELS).alias("y"))
-    stuck = at.join(cells.filter(F.col("cell") == SOLID), [key, "x", "y"], "left_semi").select(key, F.lit(True).alias("stuck"))
+    stuck = at.join(cells.filter(F.col("cell") == SOLID).hint("merge"), [key, "x", "y"], "left_semi").select(key, F.lit(True).alias("stuck"))
     size = levels.select(key, (F.col("width") * CELL_PIXELS).alias("w"), (F.col("height") * CELL_PIXELS).alias("h"))
     outside = spawns.join(size, key).groupBy(key).agg(F.sum(((F.col("x") < 0) | (F.col("x") >= F.col("w"))).cast("long")).alias("sx"), F.sum(((F.col("y") < 0) | (F.col("y") >= F.col("h"))).cast("long")).alias("sy"))
-    j = levels.select(key, (F.col("width") * F.col("height")).alias("want")).join(counted, key, "left").join(stuck, key, "left").join(outside, key, "left")
+    j = levels.select(key, (F.col("width") * F.col("height")).alias("want")).join(counted.hint("merge"), key, "left").join(stuck.hint("merge"), key, "left").join(outside.hint("merge"), key, "left")
     said = [F.when(F.coalesce("cells", F.lit(0)) != F.col("want"), "size"), F.when(F.col("stuck"), "start")] + [F.when(F.col(c) > 0, F.concat(F.lit(f"{c[1]}:"), F.col(c).cast("string"))) for c in ("sx", "sy")]
     return j.select(key, F.array_join(F.array_compact(F.array(*said)), ",").alias("issues"))
 

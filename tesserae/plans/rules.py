@@ -64,13 +64,19 @@ def chip_music_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVEL = {"level": "c_custkey", "screens": "CAST(1 + c_custkey % 3 AS INTEGER)", "text": "CASE c_custkey % 5 WHEN 0 THEN 'Underground cave' WHEN 1 THEN 'A platform run' WHEN 2 THEN 'cave with spikes, PLATFORMS' WHEN 3 THEN 'hazards' ELSE 'a field' END"}
 
 
+#: Levels whose cells one task makes.
+LEVELS_A_TASK = 2048
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "customer").selectExpr(*[f"{sql} AS {name}" for name, sql in _LEVEL.items()])
+    """One level a customer, dealt into a told number of parts before the cells are made: the levels alone fit in one task, their cells don't."""
+    customers = fx.table(spark, sf_dir, "customer")
+    return customers.selectExpr(*[f"{sql} AS {name}" for name, sql in _LEVEL.items()]).repartition(-(-customers.count() // LEVELS_A_TASK) or 1, "level")
 
 
 def level_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each level's grid as text."""
-    rows = ops.level_template(_levels(spark, sf_dir), "level", "screens", "text").groupBy("level", "y").agg(F.array_sort(F.collect_list(F.struct("x", "cell")))["cell"].alias("cells"))
+    rows = ops.level_template(_levels(spark, sf_dir), "level", "screens", "text").groupBy("level", "y").agg(F.sort_array(F.collect_list(F.struct("x", "cell")))["cell"].alias("cells"))
     return rows.select("level", "y", F.array_join(F.col("cells").cast("array<string>"), "").alias("cells"))
 
 

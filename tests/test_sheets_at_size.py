@@ -63,3 +63,17 @@ def test_seams_have_their_counterparts(spark, sf_dir):
     own = fx.colours(spark, sf_dir).select((F.col("p_partkey") % 7).cast("int").alias("image"), (F.floor(F.col("p_partkey") / 7) % 32).cast("int").alias("x"), F.floor(F.col("p_partkey") / 224).cast("int").alias("y"), F.col("r").alias("was"))
     drawn = pixels.pixel_seam(spark, sf_dir).filter("x < 8").join(own, ["image", "x", "y"])
     assert drawn.filter("r <> was").count() * 2 > drawn.count()
+
+
+def test_levels_are_dealt_to_as_many_tasks_as_they_need(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tesserae.plans import rules
+
+    spark.read.parquet(f"{os.environ.get('TEST_SF_DIR', '/root/testdata/sf0.001')}/customer.parquet").limit(1).drop("c_custkey").crossJoin(spark.range(2 * rules.LEVELS_A_TASK + 1).select(F.col("id").alias("c_custkey"))).write.parquet(str(tmp_path / "customer.parquet"))
+    assert rules._levels(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_issues_of_levels_broadcast_no_cells(spark, sf_dir):
+    plan = catalog.QUERIES["level_issues"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" not in plan and "LeftOuter, BuildRight" not in plan
