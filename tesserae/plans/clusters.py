@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import FIXED_64
@@ -21,9 +21,14 @@ def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.colours(spark, sf_dir).withColumn("sheet", F.floor(F.col("p_partkey") / 64)).select("sheet", *ops.RGB)
 
 
+def _hundredths(value: Column) -> Column:
+    """Rounded as a double, like SQL's: Spark's own two places round the decimal that a double is shown as, which lies on a half where the double is below it."""
+    return F.round(value * 100) / 100
+
+
 def kmeans_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error in hundredths, as sums of doubles have no order."""
-    return ops.kmeans_palette(_sheets(spark, sf_dir), "sheet", SIZE, ROUNDS).withColumn("error", F.round("error", 2))
+    return ops.kmeans_palette(_sheets(spark, sf_dir), "sheet", SIZE, ROUNDS).withColumn("error", _hundredths(F.col("error")))
 
 
 def octree_palette(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_octree(spark, pixels):
 
 def test_octree_query_keeps_all_pixels(spark, sf_dir):
     assert plans.octree_palette(spark, sf_dir).selectExpr("sum(pixels)").first()[0] == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
+def test_hundredths_are_rounded_as_in_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    values = [2498.865, 1.005, 1.015, 2.675, 0.125, 10.5, 3.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(plans._hundredths(F.col("v"))).collect()]
+    assert got == [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 2)").fetchone()[0] for v in values]
