@@ -97,4 +97,4 @@ def test_hundredths_are_rounded_as_in_sql(spark):
 
     values = [2498.865, 1.005, 1.015, 2.675, 0.125, 10.5, 3.0]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(plans._hundredths(F.col("v"))).collect()]
-    assert got == [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 2)").fetchone()[0] for v in values]
+    assert got == [duckdb.connect().execute(f"SELECT round({v!r}::DOUBLE, 2)").fetchone()[0] for v in values]
