@@ -1,10 +1,10 @@
-"""Scanline load by interval expansion, transfer budgets, overlay classes and hints."""
+"""Scanline load by running sums, transfer budgets, overlay classes and hints."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -13,12 +13,18 @@ from .. import dims
 def scanline_load(sprites: DataFrame, keys: Sequence[str], height: int = dims.SCREEN_LINES) -> DataFrame:
     """Per group and scanline: sprites on it and their widths' sum.
 
-    A sprite covers the lines [y, y + h) inside [0, height), 32 at most for hardware sizes. Only the group, the line and the width are
-    expanded, and sums combine before the shuffle, so that at most one row per group, line and task is sent.
+    A sprite covers the lines [y, y + h) inside [0, height). It sends what begins at its first line and what ends after its last one; running
+    sums over a group's lines, ``height`` + 1 at most, give the loads, and lines are written out only behind the shuffles. What follows by
+    ``keys`` finds the groups together.
     """
     top, end = F.greatest(F.lit(0), F.col("y")), F.least(F.lit(height), F.col("y") + F.col("h"))
-    seen = sprites.filter(top < end).select(*keys, "w", F.explode(F.sequence(top, end - 1)).alias("scanline"))
-    return seen.groupBy(*keys, "scanline").agg(F.count(F.lit(1)).alias("sprites"), F.sum("w").alias("pixels"))
+    at = lambda line, sign: F.struct(line.alias("line"), F.lit(sign).alias("sign"))
+    ends = sprites.filter(top < end).select(*keys, "w", F.explode(F.array(at(top, 1), at(end, -1))).alias("at")).select(*keys, F.col("at.line").alias("scanline"), F.col("at.sign").alias("sign"), "w")
+    wide = F.col("w").isNotNull().cast("int")
+    steps = ends.groupBy(*keys, "scanline").agg(F.sum("sign").alias("sprites"), F.sum(F.col("sign") * wide).alias("wide"), F.coalesce(F.sum(F.col("sign") * F.col("w")), F.lit(0)).alias("pixels"))
+    line = Window.partitionBy(*keys).orderBy("scanline")
+    runs = steps.select(*keys, "scanline", *[F.sum(c).over(line).alias(c) for c in ("sprites", "wide", "pixels")], F.lead("scanline").over(line).alias("next")).filter("sprites > 0")
+    return runs.select(*keys, F.explode(F.sequence("scanline", F.col("next") - 1)).alias("scanline"), "sprites", F.when(F.col("wide") > 0, F.col("pixels")).alias("pixels"))
 
 
 def violations(load: DataFrame, per_line: int = dims.PER_LINE, pixels: int = dims.LINE_PIXELS) -> DataFrame:
@@ -28,11 +34,11 @@ def violations(load: DataFrame, per_line: int = dims.PER_LINE, pixels: int = dim
 
 
 def overlay_class(load: DataFrame, groups: DataFrame, key: str, height: int = dims.SCREEN_LINES) -> DataFrame:
-    """Every line of every group with a class from 0 (empty) to 4 (20 sprites or more)."""
-    grid = groups.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("scanline"))
-    full = grid.join(load, [key, "scanline"], "left").withColumn("sprites", F.coalesce("sprites", F.lit(0)))
-    n = F.col("sprites")
-    return full.select(key, "scanline", F.when(n == 0, 0).when(n <= 10, 1).when(n <= 15, 2).when(n < dims.PER_LINE, 3).otherwise(4).alias("heat"))
+    """Every line of every group with a class from 0 (empty) to 4 (20 sprites or more). A group's lines meet it as one list, and are written out last."""
+    lines = load.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("scanline", "sprites"))).alias("lines"))
+    full = groups.select(key).distinct().join(lines.hint("merge"), key, "left").select(key, "lines", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("scanline"))
+    n = F.coalesce(F.try_element_at("lines", F.col("scanline")), F.lit(0))
+    return full.select(key, "scanline", n.alias("n")).select(key, "scanline", F.when(F.col("n") == 0, 0).when(F.col("n") <= 10, 1).when(F.col("n") <= 15, 2).when(F.col("n") < dims.PER_LINE, 3).otherwise(4).alias("heat"))
 
 
 def worst_line(load: DataFrame, keys: Sequence[str]) -> DataFrame:
