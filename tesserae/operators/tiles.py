@@ -19,6 +19,11 @@ def keyed(tiles: DataFrame, px: str = "px", flips: str = "hv", width: int = 8, s
     return tiles.withColumns(out).withColumn("ck", F.least("key", F.coalesce("key_h", "key"), F.coalesce("key_v", "key"), F.coalesce("key_hv", "key")))
 
 
+def _looks(tiles: DataFrame, px: str) -> DataFrame:
+    """px and key of distinct tiles, the key made of these only."""
+    return tiles.select(px).distinct().withColumn("key", T.key(F.col(px)))
+
+
 def dedup(tiles: DataFrame, ordinal: Sequence[str], px: str = "px", flips: str = "hv", width: int = 8, size: int | None = None) -> DataFrame:
     """Per tile: the ordinal columns, key, ck, rep (the key of its class's first tile) and kind: unique, exact, h, v or hv.
 
@@ -29,13 +34,18 @@ def dedup(tiles: DataFrame, ordinal: Sequence[str], px: str = "px", flips: str =
     if that is known.
     """
     tile = tiles.select(*ordinal, px, T.key(F.col(px)).alias("key"))
-    classes = keyed(tile.select(px, "key").distinct(), px, flips, width, size).drop(px)
+    return dedup_keyed(tile.drop(px), _looks(tiles, px), ordinal, px, flips, width, size)
+
+
+def dedup_keyed(tile: DataFrame, looks: DataFrame, ordinal: Sequence[str], px: str = "px", flips: str = "hv", width: int = 8, size: int | None = None) -> DataFrame:
+    """:func:`dedup` of tiles that are given as ``tile`` (the ordinal columns and key) and ``looks`` (px and key, a row for each key)."""
+    classes = keyed(looks, px, flips, width, size).drop(px)
     seen = tile.groupBy("key").agg(F.min(F.struct(*ordinal)).alias("seen"))
     own = F.struct("seen", "key")
     first = classes.join(seen, "key").withColumn("first", F.min(own).over(Window.partitionBy("ck")))
     kind = F.when(F.col("key") == F.col("first.key"), "exact").when(F.col("key_h") == F.col("first.key"), "h").when(F.col("key_v") == F.col("first.key"), "v").otherwise("hv")
     verdict = first.select("key", "ck", F.col("first.key").alias("rep"), F.col("first.seen").alias("first"), kind.alias("kind"))
-    joined = tile.drop(px).join(verdict, "key")
+    joined = tile.join(verdict, "key")
     is_first = (F.struct(*ordinal) == F.col("first")) & (F.col("key") == F.col("rep"))
     return joined.select(*ordinal, "key", "ck", "rep", F.when(is_first, "unique").otherwise(F.col("kind")).alias("kind"))
 
@@ -61,10 +71,12 @@ def name_table(deduped: DataFrame, bank_rows: DataFrame, ordinal: Sequence[str],
 
 
 def rebuild(deduped: DataFrame, tiles: DataFrame, ordinal: Sequence[str], convert: Column, px: str = "px", width: int = 8) -> DataFrame:
-    """Tile-wise conversion: ``convert`` (of ``px``) is applied to each unique tile once, and every tile is the flipped result of its class."""
-    unique = deduped.filter("kind = 'unique'").select("ck", *ordinal, "key").join(keyed(tiles.select(*ordinal, px), px, "").select(*ordinal, "key", px), [*ordinal, "key"])
-    made = unique.select("ck", convert.alias("__made"))
-    j = deduped.join(made, "ck")
+    """Tile-wise conversion: the ordinal columns, key, the new ``px`` and new_key, its key.
+
+    ``convert`` (of ``px``), the flips of the result and their keys are made once for each unique tile; every tile takes what its class and kind name.
+    """
     m = F.col("__made")
-    flipped = F.when(F.col("kind") == "h", T.flip_h(m, width)).when(F.col("kind") == "v", T.flip_v(m, width)).when(F.col("kind") == "hv", T.flip_hv(m)).otherwise(m)
-    return j.select(*ordinal, "key", flipped.alias(px))
+    unique = deduped.filter("kind = 'unique'").select("ck", "key").join(_looks(tiles, px), "key").select("ck", convert.alias("__made"))
+    flips = F.create_map(*[x for k, v in (("unique", m), ("exact", m), ("h", T.flip_h(m, width)), ("v", T.flip_v(m, width)), ("hv", T.flip_hv(m))) for x in (F.lit(k), v)])
+    made = unique.select("ck", F.explode(flips).alias("kind", px)).withColumn("new_key", T.key(F.col(px)))
+    return deduped.join(made, ["ck", "kind"]).select(*ordinal, "key", px, "new_key")

@@ -45,9 +45,10 @@ def tilemap_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_convert_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours above 1 become 1 in the bank; the rebuilt map is deduplicated again."""
     t = fx.tiles(spark, sf_dir)
-    d = ops.dedup(t, ORDINAL, size=64)
+    d = stored(ops.dedup(t, ORDINAL, size=64), "tiles")
     made = ops.rebuild(d, t, ORDINAL, F.transform("px", lambda p: F.least(p, F.lit(1))))
-    return ops.stats(ops.dedup(made.drop("key").distinct(), ORDINAL, size=64))
+    made = made.select(*ORDINAL, "px", F.col("new_key").alias("key"))
+    return ops.stats(ops.dedup_keyed(made.drop("px").distinct(), made.select("px", "key").distinct(), ORDINAL, size=64))
 
 
 def pixel_mask_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ def pixel_mask_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = F.transform("px", lambda p: p * 3)
-    return fx.tiles(spark, sf_dir).select("px").distinct().select(T.encode(F.col("px"), "planar2").alias("planar2"), T.encode(F.col("px"), "rows2").alias("rows2"), T.encode(px, "packed4").alias("packed4"), T.encode(px, "packed4_low").alias("packed4_low"), T.encode(px, "pairs4").alias("pairs4"), T.encode(F.col("px"), "mono1").alias("mono1"), T.encode(F.col("px"), "chunky2").alias("chunky2")).distinct()
+    # Counted, since the optimiser drops an inner distinct under an outer one and would encode every tile.
+    return fx.tiles(spark, sf_dir).groupBy("px").agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(T.encode(F.col("px"), "planar2").alias("planar2"), T.encode(F.col("px"), "rows2").alias("rows2"), T.encode(px, "packed4").alias("packed4"), T.encode(px, "packed4_low").alias("packed4_low"), T.encode(px, "pairs4").alias("pairs4"), T.encode(F.col("px"), "mono1").alias("mono1"), T.encode(F.col("px"), "chunky2").alias("chunky2")).distinct()
 
 
 def tile_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

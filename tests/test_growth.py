@@ -40,3 +40,28 @@ def test_loads_as_a_plain_loop_gives_them(spark):
             at[1] = at[1] if w is None else (at[1] or 0) + w
     load = screen.scanline_load(spark.createDataFrame(rows, "k int, y int, w int, h int"), ["k"])
     assert {(r.k, r.scanline): [r.sprites, r.pixels] for r in load.collect()} == want and load.count() == len(want)
+
+
+def test_a_distinct_tile_is_encoded_once(spark, sf_dir):
+    """The layouts lie over the grouping of equal tiles, which the optimiser would drop under the outer one."""
+    assert any(node.startswith("HashAggregate(keys=[px#") for node, _ in plan(catalog.QUERIES["tile_layouts"](spark, sf_dir)))
+
+
+def test_tiles_are_not_shuffled_with_their_pixels(spark, sf_dir):
+    from tesserae.plans import fixtures as fx
+
+    assert not any("REPARTITION_BY_COL" in node for node, _ in plan(fx.tiles(spark, sf_dir)))
+
+
+def test_a_converted_tile_is_made_once(spark):
+    """Conversion, flips and keys lie under the join that gives them to the tiles."""
+    from pyspark.sql import functions as F
+
+    from tesserae.operators import tiles
+
+    px = spark.createDataFrame([(1, 1, [3, 0, 1, 2]), (1, 2, [0, 3, 2, 1]), (2, 1, [1, 2, 3, 0]), (2, 2, [2, 1, 0, 3]), (3, 1, [3, 0, 1, 2])], "a int, b int, px array<int>")
+    d = tiles.dedup(px, ["a", "b"], width=2)
+    made = tiles.rebuild(d, px, ["a", "b"], F.transform("px", lambda p: F.least(p, F.lit(1))), width=2)
+    assert {(r.a, r.b): r.px for r in made.collect()} == {(r.a, r.b): [min(p, 1) for p in r.px] for r in px.collect()}
+    assert made.filter(F.md5(F.array_join(F.col("px").cast("array<string>"), ",")) != F.col("new_key")).count() == 0
+    assert "reverse" not in plan(made)[1][0]
