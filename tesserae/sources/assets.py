@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import fmbank
@@ -23,6 +25,8 @@ from .files import decode_png, encode_png
 
 #: Bytes of files that one partition reads at most, unless one file is larger.
 PARTITION = 32 << 20
+#: Values (pixels, fields) that a batch of decoded rows holds at most, unless one row has more.
+VALUES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,7 +93,8 @@ class Written(WriterCommitMessage):
 class AssetReader(DataSourceReader):
     """A row for each thing a file decodes to, with path; a file that can't be decoded is one row whose error says why."""
 
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, schema: StructType) -> None:
+        self.schema = schema
         self.path, self.kind, self.pattern = options["path"], options.get("kind", "raw"), options.get("pattern", "*")
         self.partition = int(options.get("partitionbytes", PARTITION))
 
@@ -109,7 +114,20 @@ class AssetReader(DataSourceReader):
             room -= size
         return out or [Files([])]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """Batches of a bounded number of values, however many rows the partition has."""
+        schema = to_arrow_schema(self.schema)
+        rows: list[tuple] = []
+        held = 0
+        for row in self.rows(partition):
+            rows.append(row)
+            held += _values(row)
+            if held >= VALUES:
+                yield _batch(rows, schema)
+                rows, held = [], 0
+        yield _batch(rows, schema)
+
+    def rows(self, partition: Files) -> Iterator[tuple]:
         system, root = opened(self.path)
         kind = KINDS[self.kind]
         width = len(_fields(kind.rows))
@@ -124,7 +142,28 @@ class AssetReader(DataSourceReader):
                 yield (name, *[None] * width, str(e))
 
 
-class AssetWriter(DataSourceWriter):
+def _plain(value: object) -> object:
+    """Structs as tuples of their values, in lists too."""
+    if isinstance(value, dict):
+        return tuple(map(_plain, value.values()))
+    return [_plain(v) for v in value] if isinstance(value, list) and value and isinstance(value[0], (dict, list)) else value
+
+
+def _values(value: object) -> int:
+    """Values in a row; eight bytes of text or content count as one."""
+    if isinstance(value, (bytes, str)):
+        return 1 + len(value) // 8
+    if isinstance(value, list) and value and isinstance(value[0], int):
+        return len(value)
+    return 1 + sum(map(_values, value)) if isinstance(value, (list, tuple)) else 1
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class AssetWriter(DataSourceArrowWriter):
     """A file a row. Tasks write into folders of their own; the commit moves the files of those tasks that Spark counts, so a task that is
     lost and run again leaves nothing twice, and an abort leaves nothing at all."""
 
@@ -136,12 +175,11 @@ class AssetWriter(DataSourceWriter):
         if missing:
             raise ValueError(f"a {self.kind} file is made of {', '.join(self.columns)}; missing: {', '.join(missing)}")
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch | Row]) -> Written:
         system, root = opened(self.path)
         folder = posixpath.join(root, self.job, uuid.uuid4().hex)
         names: list[str] = []
-        for row in iterator:
-            name, *values = (row[c] for c in self.columns)
+        for name, *values in self._told(iterator):
             if not name or name.startswith(("/", "_", ".")) or ".." in name.split("/"):
                 raise ValueError(f"{name!r} is no name for a file")
             at = posixpath.join(folder, name)
@@ -151,6 +189,16 @@ class AssetWriter(DataSourceWriter):
             names.append(name)
         return Written(folder, names)
 
+    def _told(self, iterator: Iterator[pa.RecordBatch | Row]) -> Iterator[list]:
+        """Rows of batches become Python objects one by one: those of a whole batch would be many times its size."""
+        for some in iterator:
+            if isinstance(some, Row):
+                yield [some[c] for c in self.columns]
+                continue
+            columns = [some.column(some.schema.get_field_index(c)) for c in self.columns]
+            for k in range(some.num_rows):
+                yield [_plain(c[k].as_py()) for c in columns]
+
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.path)
         done = [m for m in messages if m is not None]
@@ -208,7 +256,7 @@ class Assets(DataSource):
         return f"path string, {KINDS[self.options.get('kind', 'raw')].rows}, error string"
 
     def reader(self, schema: StructType) -> AssetReader:
-        return AssetReader(dict(self.options))
+        return AssetReader(dict(self.options), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> AssetWriter:
         return AssetWriter(dict(self.options), schema, overwrite)

@@ -65,3 +65,20 @@ def test_a_converted_tile_is_made_once(spark):
     assert {(r.a, r.b): r.px for r in made.collect()} == {(r.a, r.b): [min(p, 1) for p in r.px] for r in px.collect()}
     assert made.filter(F.md5(F.array_join(F.col("px").cast("array<string>"), ",")) != F.col("new_key")).count() == 0
     assert "reverse" not in plan(made)[1][0]
+
+
+def test_a_partition_of_files_is_read_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """However many files a partition has, and however small they are packed."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from tesserae.sources import assets
+
+    for k in range(6):
+        (tmp_path / f"{k}.tiles").write_bytes(bytes([k]) * 32 * 10)
+    monkeypatch.setattr(assets, "VALUES", 640)
+    source = assets.Assets({"path": str(tmp_path), "kind": "tiles"})
+    reader = source.reader(StructType.fromDDL(source.schema()))
+    (partition,) = reader.partitions()
+    batches = list(reader.read(partition))
+    assert all(isinstance(b, pa.RecordBatch) and b.num_rows <= 10 for b in batches) and sum(b.num_rows for b in batches) == 60
