@@ -34,3 +34,17 @@ def test_wrong_calls(frames):
         with pytest.raises(Exception, match="column"):
             wrong().collect()
     assert table_functions.row_packed(frames.limit(0), "sheet", "ord").count() == 0
+
+
+def test_batches_that_cut_groups(spark, frames):
+    """Folds go on from one batch to the next, and rows reach Python in batches, not one by one."""
+    whole = told(table_functions.row_packed(frames, "sheet", "ord", 100, 2), "x", "y", "page"), told(table_functions.banked(frames, "sheet", "ord"), "bank")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert (told(table_functions.row_packed(frames, "sheet", "ord", 100, 2), "x", "y", "page"), told(table_functions.banked(frames, "sheet", "ord"), "bank")) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = table_functions.row_packed(frames, "sheet", "ord")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BatchEvalPythonUDTF" not in plan
+    empty = frames.withColumn("sheet", F.when(F.col("sheet") > 1, F.col("sheet")))  # null is a key like any other
+    assert repr(told(table_functions.row_packed(empty.filter("sheet is null"), "sheet", "ord"), "x", "y")) == repr(told(table_functions.row_packed(empty, "sheet", "ord").filter("sheet is null"), "x", "y"))
