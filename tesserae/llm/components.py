@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """Hang neighbours on the smallest node around: those larger than the node itself (large star), or those smaller and the node (small star)."""
+    """Hang neighbours on the smallest node around: those larger than the node itself (large star), or those smaller and the node (small star). Rows may repeat.
+
+    One shuffle by node: a window tells the smallest neighbour, and no edges are joined back to it.
+    """
     if both:
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    hung = around.join(least.hint("merge"), "a")
+    hung = around.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
     if both:
-        out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+        return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+    return hung.select(ends.alias("e")).select("e.*").filter("a <> b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,10 +33,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = stored(_star(_star(now, True), False), "edges")
-        # Every edge hangs a node on a smaller one, so a round that changes nothing leaves stars.
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if seen[0] == seen[2] and seen == mark:
+        now = stored(_star(_star(now, True), False).distinct(), "edges")
+        # A round only ever replaces edges by edges between smaller nodes, so one that changes nothing has hung all nodes on the smallest: stars.
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         mark = seen
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -103,3 +103,12 @@ def test_drops_leave_clean_documents(spark, sf_dir):
     docs = spark.createDataFrame([(k, f"document {k} " + " ".join(f"w{k * 100 + j}" for j in range(120))) for k in range(60)], "doc_id long, text string")
     assert exact_dedup.drop_exact(docs).count() == 60 and simhash.drop_near(docs, width=5).count() == 60
     assert pii.mask(docs).exceptAll(docs).count() == 0
+
+
+def test_a_round_of_components_shuffles_thrice(spark):
+    """A node's smallest neighbour is told by a window: nothing is joined back, so a round has a third of the stages and the driver a third of the tasks to keep account of."""
+    from tesserae.llm.components import _star
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (3, 4)], "a long, b long")
+    plan = _star(_star(edges, True), False).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 3 and "Join" not in plan
