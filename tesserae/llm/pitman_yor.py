@@ -205,15 +205,18 @@ def counted(parts: int) -> Callable:
         words = [unpacked(r["a"], np.uint64) for r in rows]
         u = np.concatenate([x[np.repeat(unpacked(r["b"], np.uint32), unpacked(r["c"], np.uint32))] for x, r in zip(words, rows, strict=True)])
         w = np.concatenate([x[unpacked(r["d"], np.uint32)] for x, r in zip(words, rows, strict=True)])
+        del words
         n = [unpacked(r["e"], np.uint32) for r in rows]
         lens = np.cumsum([len(x) for x in n])[:-1]
-        _, first, which = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-        count = _sums(which, np.concatenate(n), len(first))
+        first, which = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)[1:]
         u, w = u[first], w[first]
+        count = _sums(which, np.concatenate(n), len(first))
+        del first, n
         many = count > 1
         code = np.minimum(count, 1).astype(np.uint32)
         code[many] = np.arange(many.sum(), dtype=np.uint32) + 2
         out = [(part, "reply", r["sender"], packed(c), EMPTY, EMPTY, EMPTY, EMPTY) for r, c in zip(rows, np.split(code[which], lens), strict=True)]
+        del code, which
         seen = count > 0
         words, at = np.unique(np.concatenate([u[seen], w[seen]]), return_inverse=True)
         pu, pw = np.split(at, [seen.sum()])

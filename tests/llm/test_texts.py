@@ -393,3 +393,12 @@ def test_language_model_odd_rows(spark):
     assert pitman_yor.text_scores(none(spark)).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     assert [r.score for r in pitman_yor.text_scores(spark.createDataFrame([(held, "nothing trained")], "doc_id long, text string")).collect()] == [0]
+
+
+def test_lean_workers_give_arrow_memory_back():
+    """A worker's Arrow arrays come from the C library, whose thresholds :func:`lean` sets; Arrow's own pool keeps what is freed between tasks."""
+    import subprocess
+    import sys
+
+    told = subprocess.run([sys.executable, "-c", "from tesserae.llm.common import lean; import pyarrow as pa; lean(); print(pa.default_memory_pool().backend_name)"], capture_output=True, text=True, check=True, timeout=60).stdout
+    assert told.strip() == "system"
