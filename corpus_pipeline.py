@@ -26,7 +26,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of a Jaccard similarity of 0.8 or more over five-word shingles join, the one with the smallest id (null ids last, then the first row). Texts without words have no shingles and stay."""
+    """Of documents that links of a Jaccard similarity of 0.8 or more over five-word shingles join, the one with the smallest id (null ids last, then the first row). Texts without words are alike.
+
+    SimHash fingerprints within three bits, as in ``op9`` but over five words, are the first candidates; MinHash bands give those that three bits don't reach. Texts decide on both.
+    """
     return near_jaccard.drop_near(docs, width=5)
 
 

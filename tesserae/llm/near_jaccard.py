@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, the shingles of both texts decide."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash gives the first candidates, MinHash bands those beyond its three bits, the shingles of both texts decide."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .bpe import in_slices
 from .common import carried, dropped, field, stored
 from .components import components
@@ -20,6 +21,8 @@ ODD, SHIFT = np.random.default_rng(20).integers(0, 1 << 32, (2, ROWS * BANDS), n
 ODD |= np.uint32(1)
 #: Keys of more live rows are crowded; their rows are compared in blocks of so many rows and shingles.
 CROWD, BLOCK, BLOCK_SHINGLES = 32, 256, 1 << 21
+#: Rows of one fingerprint are verified against the smallest of their part, and those against the fingerprint's smallest.
+PARTS = 256
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -108,6 +111,26 @@ def alike(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFr
     return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(each, "a long, b long")
 
 
+def simhash_pairs(docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b: rows) to verify among those that SimHash links: rows of one fingerprint as a star of two levels, and each linked fingerprint's first row with that of one it is linked to.
+
+    So their number grows with the rows only, and no row is in many. Three bits also link texts whose repeated shingles outweigh the others, so the
+    texts decide; links that aren't among the pairs are left to the bands.
+    """
+    part = F.pmod(F.xxhash64("row"), F.lit(PARTS))
+    rows = simhash.fingerprints(docs, "row", "text", width).withColumnRenamed("doc_id", "row").withColumn("hub", F.min("row").over(Window.partitionBy("fp", part)))
+    rows = stored(rows, "simhash")
+    hubs = stored(rows.filter("row = hub").select("row", "fp", F.min("row").over(Window.partitionBy("fp")).alias("hub")), "simhash-hubs")
+    first = hubs.filter("row = hub").select("fp", "row")
+    linked = simhash.links(first.select("fp"))
+    linked = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    chosen = linked.groupBy("a").agg(F.max(F.struct(F.xxhash64("b", F.pmod("a", F.lit(PARTS))).alias("place"), "b"))["b"].alias("b"))
+    of = lambda k: first.select(F.col("fp").alias(k), F.col("row").alias(f"row_{k}")).hint("merge")
+    across = chosen.join(of("a"), "a").join(of("b"), "b").select(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b")).distinct()
+    same = [t.filter("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")) for t in (rows, hubs)]
+    return across.union(same[0]).union(same[1])
+
+
 def _near_in_size(x: str, y: str, least: float) -> Column:
     return F.least(x, y) >= F.lit(least - 1e-9) * F.greatest(x, y)
 
@@ -169,7 +192,7 @@ def links(docs: DataFrame, width: int = 5, least: float = LEAST, stars: int = 2)
     """(row, root) of all rows that have a link: the smallest row that links of similarity ``least`` or more reach.
 
     In each of ``stars`` rounds, every row that shares a band's key is compared with a few of the key's rows, unless one component has
-    both, and the one with most keys in common is verified; so a large group of copies takes a number of comparisons that grows with its size only.
+    both, and the one with most keys in common is verified; so a large group of copies takes a number of comparisons that grows with its size only. The first round verifies what SimHash links as well (:func:`simhash_pairs`).
     Then all pairs that share a key and are in two components still are compared (:func:`_crowd_links` for keys of many rows), so that no
     link between candidates is lost.
     """
@@ -183,7 +206,8 @@ def links(docs: DataFrame, width: int = 5, least: float = LEAST, stars: int = 2)
         near = live.join(hub.hint("merge"), "key").filter("root <> hub.root").filter(_near_in_size("n", "hub.n", least))
         # The more keys two rows share, the likelier they are alike.
         met = near.groupBy(F.col("row").alias("a"), F.col("hub.row").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-        best = stored(met.groupBy("a").agg(F.max(F.struct("keys", "b"))["b"].alias("b")), "pairs")
+        best = met.groupBy("a").agg(F.max(F.struct("keys", "b"))["b"].alias("b"))
+        best = stored(best if k else best.union(simhash_pairs(docs, width)), "pairs")
         if best.isEmpty():
             continue
         more = stored(alike(best, docs, width, least), "links")

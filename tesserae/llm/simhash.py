@@ -88,8 +88,8 @@ def _ball_links(dense: DataFrame, fps: DataFrame) -> DataFrame:
     return outer.hint("merge").join(hub, "point").select(*ends).union(inner.hint("merge").join(near.select("point", "hub"), "point").select(*ends)).filter("a <> b").distinct()
 
 
-def fingerprint_classes(fps: DataFrame, crowd: int = 256) -> DataFrame:
-    """Distinct fingerprints (fp) to (fp, root) for all that have a link: the smallest of those reachable by links of three or fewer bits.
+def links(fps: DataFrame, crowd: int = 256) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp) that join all those within three or fewer bits.
 
     A segment's value that over ``crowd`` fingerprints share would make pairs in the square of their number; fingerprints of such values
     find all their links through points instead (:func:`_ball_links`), in a number of rows proportional to theirs, and leave the variants.
@@ -99,10 +99,15 @@ def fingerprint_classes(fps: DataFrame, crowd: int = 256) -> DataFrame:
     parts = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), _segment(F.col("fp"), k).alias("value")) for k in (0, 1)])).alias("s")).select("fp", "s.*")
     crowded = stored(parts.groupBy("part", "value").count().filter(F.col("count") > crowd).select("part", "value"), "crowded")
     if crowded.isEmpty():
-        return components(_variant_links(fps)).withColumnsRenamed({"node": "fp"})
+        return _variant_links(fps)
     dense = stored(parts.join(crowded.hint("merge"), ["part", "value"], "left_semi").select("fp").distinct(), "dense")
     sparse = fps.join(dense.hint("merge"), "fp", "left_anti")
-    return components(_variant_links(sparse).union(_ball_links(dense, fps))).withColumnsRenamed({"node": "fp"})
+    return _variant_links(sparse).union(_ball_links(dense, fps))
+
+
+def fingerprint_classes(fps: DataFrame, crowd: int = 256) -> DataFrame:
+    """Distinct fingerprints (fp) to (fp, root) for all that have a link: the smallest of those reachable by links of three or fewer bits."""
+    return components(links(fps, crowd)).withColumnsRenamed({"node": "fp"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, crowd: int = 256) -> DataFrame:

@@ -5,8 +5,10 @@ from itertools import combinations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tesserae.llm import near_jaccard
+from tesserae.llm import near_jaccard, simhash
 
 from .helpers import none, odd
 
@@ -74,3 +76,23 @@ def test_odd_rows(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, k) for k in (1, 3, 6, 7, 8, 9)] + [(True, 0)]
     assert near_jaccard.drop_near(none(spark)).count() == 0
+
+
+def test_stage_joins_what_simhash_joins_if_texts_are_alike(spark, monkeypatch):
+    """Without any band in common, three bits of SimHash still find near copies and a group of more copies than parts; those that are not alike stay."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(2000)]
+    again, other = " ".join(words), None
+    while other is None or (simhash.fingerprint(again, 5) ^ simhash.fingerprint(other, 5)).bit_count() not in (1, 2, 3):
+        other = " ".join(w if k != at else "changed" for at in [rng.randrange(2000)] for k, w in enumerate(words))
+    same = "x y z w v " * 200
+    texts = {1: again, 2: other, 3: same + " ".join(f"a{k}" for k in range(30)), 4: same + " ".join(f"b{k}" for k in range(30)), 5: "", 6: " "}
+    texts |= {k: "one of many equal texts of seven words".upper() if k % 2 else "one of many equal texts of seven words" for k in range(100, 100 + 2 * near_jaccard.PARTS)}
+    assert simhash.fingerprint(texts[3], 5) == simhash.fingerprint(texts[4], 5)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = kept({k: t for k, t in texts.items() if k <= 101})
+    assert want == [1, 3, 4, 5, 100]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+    alone = lambda docs, width: docs.select("row", F.lit(1).cast("long").alias("n"), F.array(F.col("row")).alias("keys"), F.lit(b"").alias("marks"))
+    monkeypatch.setattr(near_jaccard, "sketched", alone)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
