@@ -31,7 +31,7 @@ def sprite_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sprite_glow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_line(ops.glow(sprites(spark, sf_dir), "image", RADIUS, GLOW), "image")
+    return ops.glow_lines(sprites(spark, sf_dir), "image", RADIUS, GLOW)
 
 
 def image_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:

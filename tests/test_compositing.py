@@ -82,6 +82,71 @@ def test_glow(images, radius):
         assert got[k] == want
 
 
+def rows_made(df) -> dict[str, int]:
+    """The most rows that the operators of each name make when ``df`` runs."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    most: dict = {}
+    todo = [execution.executedPlan()]
+    while todo:
+        node = todo.pop()
+        made = node.metrics().get("numOutputRows")
+        if made.isDefined():
+            most[node.nodeName()] = max(most.get(node.nodeName(), 0), made.get().value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_a_glow_makes_no_row_for_each_place_around_a_pixel(spark, images):
+    """Pixels are told to the few bands of lines that they reach; lines come as text from the task that makes them."""
+    df = images[1]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seen = df.filter("a > 0").count()
+        for name in ("glow", "glow_lines"):
+            made = rows_made(getattr(ops, name)(df, "image", 2, (250, 9, 60)))
+            assert 0 < made["Generate"] <= seen
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_glows_of_large_and_odd_images(spark):
+    """Images over many bands and blocks, far apart, with places that are there twice, channels beyond a byte, no key, or nothing to be seen in a band, against a plain loop; lines as text are the same pixels in order."""
+    rng = random.Random(5)
+    places = [(x, y) for x in (-3, -1, 0, 1, 4093, 4095, 4096, 4100, 9_000_000) for y in (-5, -1, 0, 123, 126, 127, 128, 131, 255, 256, 70_000)]
+    many = [(x, y, rng.choice((250, -40, 300)), rng.randrange(256), 60, rng.choice((1, 90, 128, 255, 255))) for x, y in places + places[::3] if rng.random() < 0.8]
+    rows = [(k, *p) for k in (None, 7) for p in many]
+    df = spark.createDataFrame([*rows, (7, None, 1, 1, 1, 1, 255), (7, 5, 5, 9, 9, 9, 0), (8, 1, 1, 9, 9, 9, None), (9, 1, 1, None, 9, 9, 255), (10, 1, 1, 9, 9, 9, 1), (9, 9, 122, 1, 2, 3, 90)], "image int, x int, y int, r int, g int, b int, a int").repartition(3)
+    radius, colour = 3, (250, 9, 60)
+    own: dict = {}
+    for x, y, *c in many:
+        own[x, y] = tuple(map(max, own.get((x, y), (-999,) * 4), c))
+    solid = {p for p, c in own.items() if c[3] >= 128}
+    around = {(x + dx, y + dy) for x, y in solid for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)}
+    want = {}
+    for x, y in around | set(own):
+        c = own.get((x, y), CLEAR)
+        out = pasted(CLEAR, (colour if c[3] >= 128 else c[:3]) + (c[3],))
+        for r in range(radius, 0, -1):
+            near = c[3] < 128 and any((x + dx, y + dy) in solid for dx in range(-r, r + 1) for dy in range(-r, r + 1) if math.hypot(dx, dy) <= r + 0.5)
+            ring = pasted((*colour, 255) if near else CLEAR, c)
+            if ring[:3] == colour:
+                ring = (*colour, min(ring[3], int(255 * (r / radius) * 0.5)))
+            out = pasted(out, ring)
+        out = pasted(out, c)
+        if out[3]:
+            want[(x + radius, y + radius)] = out
+    got = found(ops.glow(df, "image", radius, colour))
+    assert set(got) == {None, 7, 9} and got[None] == got[7] == want and got[9][4, 4] == (0, 9, 9, 255)
+    lines = {(r.image, r.y): r.line for r in ops.glow_lines(df, "image", radius, colour).collect()}
+    for k, own in got.items():
+        told: dict = {}
+        for (x, y), c in sorted(own.items()):
+            told.setdefault(y, []).append(f"{x}:{','.join(map(str, c))}")
+        assert {y: line for (i, y), line in lines.items() if i == k} == {y: " ".join(t) for y, t in told.items()}
+
+
 def test_weights():
     """Each place's weights make up one; the same size changes nothing; enlarging uses three places on each side at most."""
     for size, to in ((96, 40), (40, 96), (7, 7), (5, 1), (1, 4), (100, 99)):
