@@ -2,68 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import tiles as T
 from ..operators.storage import place, stored
 from ..sources import assets, fmbank
 from . import fixtures as fx
 
 #: Tiles of a sheet across and down.
 SIDE = 8
+#: Sheets that one task puts together.
+SHEETS_A_TASK = 256
 
 
 def sheet_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sheet, slot and px: sheets of 64 tiles, one for each part of a range of ids; a slot without a part is blank."""
-    parts = fx.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("sheet"), (F.col("p_partkey") % 64).cast("int").alias("slot"), "p_size")
-    slots = parts.select("sheet").distinct().select("sheet", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("slot"))
-    size = F.coalesce("p_size", F.lit(0))
-    px = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((size % 5 * (i % 8) + size % 3 * F.floor(i / 8)) % 16).cast("int"))
-    return slots.join(parts, ["sheet", "slot"], "left").select("sheet", "slot", px.alias("px"))
+    """sheet and px: sheets of 64 tiles by slot, one for each part of a range of ids; a slot without a part is blank.
+
+    The number of parts follows from the number of sheets and is told, as estimates know nothing of tiles and files.
+    """
+    parts = fx.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("sheet"), (F.col("p_partkey") % 64).cast("int").alias("slot"), F.coalesce("p_size", F.lit(0)).alias("size"))
+    dealt = parts.repartition(-(-parts.select("sheet").distinct().count() // SHEETS_A_TASK) or 1, "sheet")
+    tile = lambda size: F.array(*[((size % 5 * (i % 8) + size % 3 * (i // 8)) % 16).cast("int") for i in range(64)])  # noqa: E731 a transform would not be compiled
+    held = dealt.select("sheet", "slot", tile(F.col("size")).alias("px")).groupBy("sheet").agg(F.collect_list(F.struct("slot", "px")).alias("t"))
+    slots = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
+    blank = F.transform(F.filter(slots, lambda k: ~F.array_contains("t.slot", k)), lambda k: F.struct(k.alias("slot"), tile(F.lit(0)).alias("px")))
+    own = F.filter("t", lambda s: s["slot"].between(0, SIDE * SIDE - 1))
+    return held.select("sheet", F.transform(F.sort_array(F.concat(own, blank)), lambda s: s["px"]).alias("px"))
+
+
+def banked(sheets: DataFrame) -> DataFrame:
+    """``sheets`` with tiles, the distinct ones of px in the order of first use, and words, the map: the number of each slot's tile."""
+    return sheets.withColumn("tiles", F.array_distinct("px")).withColumn("words", F.transform("px", lambda p: (F.array_position("tiles", p) - 1).cast("int")))
+
+
+def drawn(sheets: DataFrame) -> DataFrame:
+    """``sheets`` with their image in place of px: r, g, b, a of its pixels as bytes, line by line; grey, clear where 0."""
+
+    def image(px: pa.ListScalar) -> bytes:
+        tiles = px.values.flatten().to_numpy()[: 64 * SIDE * SIDE].reshape(SIDE, SIDE, 8, 8)
+        grey = tiles.transpose(0, 2, 1, 3).ravel()
+        return np.stack([*[grey * 17] * 3, np.where(grey > 0, 255, 0)], axis=1).astype(np.uint8).tobytes()
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = pa.array([image(px) for px in batch.column("px")], pa.binary())
+            yield batch.drop_columns("px").append_column("rgba", images)
 
-def banked(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sheet, tile, px) of a sheet's distinct tiles in the order of first use, and (sheet, slot, tile): its map."""
-    distinct = tiles.groupBy("sheet", "px").agg(F.min("slot").alias("first"))
-    numbered = distinct.withColumn("tile", F.row_number().over(Window.partitionBy("sheet").orderBy("first")) - 1)  # a sheet has 64 slots
-    return numbered.select("sheet", "tile", "px"), tiles.join(numbered, ["sheet", "px"]).select("sheet", "slot", "tile")
+    kept = [f for f in sheets.schema if f.name != "px"]
+    return sheets.mapInArrow(each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "rgba binary"]))
 
 
 def tile_bank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sheet as a PNG image, a tile bank and a map: written, read back and compared.
 
-    ``digest`` is the file's SHA-256, for an image that of its pixels (how a PNG file is deflated is no matter of content).
+    ``digest`` is the file's SHA-256, for an image that of its pixels (how a PNG file is deflated is no matter of content). Sheets are put together once
+    and stored, a row each; files of a kind have a folder of their own.
     """
     assets.register(spark)
-    tiles = stored(sheet_tiles(spark, sf_dir), "sheet-tiles")
-    bank, cells = banked(tiles)
-    name = lambda kind: F.concat(F.lit("sheet-"), F.col("sheet").cast("string"), F.lit(f".{kind}")).alias("name")
-    held = tiles.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("slot", "px"))).alias("t"))
-    wide = 8 * SIDE
-    grey = F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), lambda i: F.element_at(F.element_at("t", (F.floor(i / (8 * wide)) * SIDE + F.floor(i % wide / 8) + 1).cast("int"))["px"], (F.floor(i / wide) % 8 * 8 + i % 8 + 1).cast("int")))
-    rgba = F.flatten(F.transform(grey, lambda v: F.array(v * 17, v * 17, v * 17, F.when(v > 0, 255).otherwise(0))))
-    rows = {
-        "png": held.select("sheet", name("png"), F.lit(wide).alias("width"), F.lit(wide).alias("height"), rgba.alias("rgba")),
-        "tiles": bank.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("tile", "px"))).alias("t")).select("sheet", name("tiles"), F.transform("t", lambda s: s["px"]).alias("tiles")),
-        "words": cells.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("slot", "tile"))).alias("t")).select("sheet", name("words"), F.transform("t", lambda s: s["tile"]).alias("words")),
-    }
-    path = place(spark, "asset-files")
+    sheets = stored(drawn(banked(sheet_tiles(spark, sf_dir))), "sheets")
+    named = lambda ending, *columns: sheets.select(F.concat(F.lit("sheet-"), F.col("sheet").cast("string"), F.lit(f".{ending}")).alias("name"), *columns)
+    wide = F.lit(8 * SIDE)
+    rows = {"png_bytes": named("png", wide.alias("width"), wide.alias("height"), "rgba"), "tiles": named("tiles", "tiles"), "words": named("words", "words")}
+    path = {kind: place(spark, f"asset-{kind}") for kind in rows}
     for kind, df in rows.items():
-        df.write.format("assets").option("kind", kind).mode("append").save(path)
-    back = lambda kind, as_: spark.read.format("assets").option("kind", as_).option("pattern", f"*.{kind}").load(path)
-    images = back("png", "png").select(F.col("path").alias("name"), F.col("rgba").alias("seen"), "error")
-    image = rows["png"].join(images, "name", "left").select("name", F.sha2(F.unhex(T.hex_bytes("seen")), 256).alias("digest"), F.coalesce((F.col("seen") == F.col("rgba")) & F.col("error").isNull(), F.lit(False)).alias("whole"))
-    found = [image]
+        df.write.format("assets").option("kind", kind).mode("append").save(path[kind])
+    back = lambda kind, as_: spark.read.format("assets").option("kind", as_).load(path[kind])
+    images = back("png_bytes", "png_bytes").select(F.col("path").alias("name"), F.col("rgba").alias("seen"), "error")
+    out = named("png", "rgba").join(images, "name", "left").select("name", F.sha2("seen", 256).alias("digest"), F.coalesce((F.col("seen") == F.col("rgba")) & F.col("error").isNull(), F.lit(False)).alias("whole"))
     for kind, value, column in (("tiles", F.struct("tile", "px"), "tiles"), ("words", F.struct("cell", "tile"), "words")):
-        seen = back(kind, kind).groupBy(F.col("path").alias("name")).agg(F.array_sort(F.collect_list(value)).alias("s"), F.count("error").alias("errors"))
+        seen = back(kind, kind).groupBy(F.col("path").alias("name")).agg(F.sort_array(F.collect_list(value)).alias("s"), F.count("error").alias("errors"))
         digest = back(kind, "raw").select(F.col("path").alias("name"), F.sha2("content", 256).alias("digest"))
         last = "px" if kind == "tiles" else "tile"
         same = (F.transform("s", lambda s: s[last]) == F.col(column)) & (F.col("errors") == 0)  # noqa: B023
-        found.append(rows[kind].join(seen, "name", "left").join(digest, "name", "left").select("name", "digest", F.coalesce(same, F.lit(False)).alias("whole")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(rows[kind].join(seen, "name", "left").join(digest, "name", "left").select("name", "digest", F.coalesce(same, F.lit(False)).alias("whole")))
     return out
 
 

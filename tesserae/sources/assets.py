@@ -23,8 +23,8 @@ from pyspark.sql.types import StructType
 from . import fmbank
 from .files import decode_png, encode_png
 
-#: Bytes of files that one partition reads at most, unless one file is larger.
-PARTITION = 32 << 20
+#: Bytes of files that one partition reads at most, unless one file is larger; opening a file counts as so many, so that many small files are not one partition.
+PARTITION, OPENING = 32 << 20, 64 << 10
 #: Values (pixels, fields) that a batch of decoded rows holds at most, unless one row has more.
 VALUES = 1 << 20
 
@@ -41,7 +41,12 @@ class Kind:
 
 def _image(data: bytes) -> Iterator[tuple]:
     width, height, rgba = decode_png(data)
-    yield width, height, rgba.ravel().tolist()
+    yield width, height, rgba.ravel().astype(np.int32)
+
+
+def _image_bytes(data: bytes) -> Iterator[tuple]:
+    width, height, rgba = decode_png(data)
+    yield width, height, rgba.astype(np.uint8).tobytes()
 
 
 def _tiles(data: bytes) -> Iterator[tuple]:
@@ -62,15 +67,16 @@ def _words(data: bytes) -> Iterator[tuple]:
 
 
 def _packed(tiles: Sequence[Sequence[int]]) -> bytes:
-    px = np.array(tiles, np.uint8).reshape(-1, 2) & 15
+    px = np.array([np.asarray(t).tolist() for t in tiles], np.uint8).reshape(-1, 2) & 15
     return (px[:, 0] << 4 | px[:, 1]).astype(np.uint8).tobytes()
 
 
 KINDS = {
     "raw": Kind("content binary", lambda data: iter([(data,)]), "content binary", lambda content: bytes(content)),
     "png": Kind("width int, height int, rgba array<int>", _image, "width int, height int, rgba array<int>", lambda w, h, rgba: encode_png(np.array(rgba, np.int64).reshape(h, w, 4))),
+    "png_bytes": Kind("width int, height int, rgba binary", _image_bytes, "width int, height int, rgba binary", lambda w, h, rgba: encode_png(np.frombuffer(rgba, np.uint8).reshape(h, w, 4))),
     "tiles": Kind("tile int, px array<int>", _tiles, "tiles array<array<int>>", _packed),
-    "words": Kind("cell int, tile int, h boolean, v boolean, palette int, priority boolean", _words, "words array<int>", lambda words: np.array(words, ">u2").tobytes()),
+    "words": Kind("cell int, tile int, h boolean, v boolean, palette int, priority boolean", _words, "words array<int>", lambda words: np.array(np.asarray(words).tolist(), ">u2").tobytes()),
     "fmbank": Kind(fmbank.ROWS, fmbank.decode, fmbank.BANKS, fmbank.encode),
 }
 
@@ -107,11 +113,11 @@ class AssetReader(DataSourceReader):
         out: list[Files] = []
         room = 0
         for path, size in files:
-            if not out or size > room:
+            if not out or size + OPENING > room:
                 out.append(Files([]))
                 room = self.partition
             out[-1].paths.append(path)
-            room -= size
+            room -= size + OPENING
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -149,10 +155,22 @@ def _plain(value: object) -> object:
     return [_plain(v) for v in value] if isinstance(value, list) and value and isinstance(value[0], (dict, list)) else value
 
 
+def _python(value: pa.Scalar) -> object:
+    """What a kind's ``encode`` takes; a list of whole numbers is an array, since a Python object for each takes long to make."""
+    if pa.types.is_list(value.type) and value.is_valid and not value.values.null_count:
+        if pa.types.is_integer(value.type.value_type):
+            return value.values.to_numpy()
+        if pa.types.is_list(value.type.value_type):
+            return [_python(v) for v in value.values]
+    return _plain(value.as_py())
+
+
 def _values(value: object) -> int:
     """Values in a row; eight bytes of text or content count as one."""
     if isinstance(value, (bytes, str)):
         return 1 + len(value) // 8
+    if isinstance(value, np.ndarray):
+        return value.size
     if isinstance(value, list) and value and isinstance(value[0], int):
         return len(value)
     return 1 + sum(map(_values, value)) if isinstance(value, (list, tuple)) else 1
@@ -179,11 +197,12 @@ class AssetWriter(DataSourceArrowWriter):
         system, root = opened(self.path)
         folder = posixpath.join(root, self.job, uuid.uuid4().hex)
         names: list[str] = []
+        made: set[str] = set()
         for name, *values in self._told(iterator):
             if not name or name.startswith(("/", "_", ".")) or ".." in name.split("/"):
                 raise ValueError(f"{name!r} is no name for a file")
             at = posixpath.join(folder, name)
-            system.create_dir(posixpath.dirname(at), recursive=True)
+            _made(system, posixpath.dirname(at), made)
             with system.open_output_stream(at) as out:
                 out.write(KINDS[self.kind].encode(*values))
             names.append(name)
@@ -197,7 +216,7 @@ class AssetWriter(DataSourceArrowWriter):
                 continue
             columns = [some.column(some.schema.get_field_index(c)) for c in self.columns]
             for k in range(some.num_rows):
-                yield [_plain(c[k].as_py()) for c in columns]
+                yield [_python(c[k]) for c in columns]
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.path)
@@ -208,15 +227,16 @@ class AssetWriter(DataSourceArrowWriter):
             if twice:
                 raise ValueError(f"two rows make one file: {twice}")
             if not self.overwrite:
-                there = [n for n in names if system.get_file_info(posixpath.join(root, n)).type != fs.FileType.NotFound]
+                there = [n for n, f in zip(names, system.get_file_info([posixpath.join(root, n) for n in names]), strict=True) if f.type != fs.FileType.NotFound]
                 if there:
                     raise ValueError(f"file exists: {there[0]}")
             if self.overwrite:
                 self._clear(system, root)
+            made: set[str] = set()
             for m in done:
                 for n in m.names:
                     to = posixpath.join(root, n)
-                    system.create_dir(posixpath.dirname(to), recursive=True)
+                    _made(system, posixpath.dirname(to), made)
                     system.move(posixpath.join(m.folder, n), to)
         finally:
             self.abort(messages)
@@ -233,6 +253,13 @@ class AssetWriter(DataSourceArrowWriter):
                 (system.delete_dir if f.type == fs.FileType.Directory else system.delete_file)(f.path)
 
 
+def _made(system: fs.FileSystem, folder: str, made: set[str]) -> None:
+    """Makes a folder, once."""
+    if folder not in made:
+        system.create_dir(folder, recursive=True)
+        made.add(folder)
+
+
 def _fields(ddl: str) -> list[str]:
     """The columns of a DDL text."""
     depth, out = 0, [""]
@@ -246,7 +273,7 @@ def _fields(ddl: str) -> list[str]:
 
 
 class Assets(DataSource):
-    """Options: path, kind (``raw``, ``png``, ``tiles``, ``words``, ``fmbank``), pattern (of file names), partitionBytes."""
+    """Options: path, kind (``raw``, ``png``, ``png_bytes``: the same with a byte a value, ``tiles``, ``words``, ``fmbank``), pattern (of file names), partitionBytes."""
 
     @classmethod
     def name(cls) -> str:

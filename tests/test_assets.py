@@ -50,6 +50,61 @@ def test_broken_files_are_rows(spark, source, tmp_path):
     assert source("tiles", tmp_path, pattern="*.tiles").first().error == "not a whole number of tiles"
 
 
+def test_images_as_bytes(spark, source, tmp_path):
+    """The same pixels with a byte a value, both ways; broken files are rows here too."""
+    rows = [("a.png", 3, 2, bytes(range(24))), ("b.png", 1, 1, b"\xff\0\x80\1")]
+    spark.createDataFrame(rows, "name string, width int, height int, rgba binary").write.format("assets").option("kind", "png_bytes").mode("append").save(str(tmp_path))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    got = {r.path: r for r in source("png_bytes", tmp_path).collect()}
+    assert {(r.path, r.width, r.height, bytes(r.rgba)) for r in got.values() if r.rgba is not None} == set(rows) and got["c.png"].error
+    assert {r.path: bytes(r.rgba) for r in source("png", tmp_path, pattern="[ab].png").collect()} == {n: d for n, _, _, d in rows}
+    numbers = spark.createDataFrame([(n, w, h, list(d)) for n, w, h, d in rows], "name string, width int, height int, rgba array<int>")
+    numbers.write.format("assets").option("kind", "png").mode("append").save(str(tmp_path / "again"))
+    assert [(tmp_path / "again" / n).read_bytes() == (tmp_path / n).read_bytes() for n in ("a.png", "b.png")] == [True, True]
+
+
+def test_values_out_of_range_are_errors(spark, tmp_path):
+    """However rows reach the writer: a tile's pixels are bytes, a map's words 16 bits."""
+    for kind, column, wrong in (("tiles", "tiles array<array<int>>", [[0] * 63 + [256]]), ("tiles", "tiles array<array<int>>", [[-1] * 64]), ("words", "words array<int>", [1, 1 << 16])):
+        with pytest.raises(Exception, match="out of bounds"):
+            spark.createDataFrame([("x", wrong)], f"name string, {column}").write.format("assets").option("kind", kind).mode("append").save(str(tmp_path))
+    assert listed(tmp_path) == []
+
+
+def test_many_small_files_are_more_than_one_partition(spark, tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.words").write_bytes(b"\0\1")
+    source = assets.Assets({"path": str(tmp_path), "kind": "words"})
+    parts = source.reader(StructType.fromDDL(source.schema())).partitions()
+    assert len(parts) == 2 and sum(len(p.paths) for p in parts) == 600
+
+
+def test_sheets_and_their_files(spark, tmp_path, monkeypatch):
+    """Sheets with holes and null sizes, dealt to as many tasks as they need; tiles, maps and images as a plain loop gives them, with no file's pixels made in a list of expressions."""
+    from tesserae.plans import binaries
+
+    rng = random.Random(4)
+    monkeypatch.setattr(binaries, "SHEETS_A_TASK", 8)
+    parts = [(k, rng.choice([None, 0, 1, 7, 15, 16, 50])) for k in range(64 * 20) if rng.random() < 0.8 or k % 64 == 0] + [(64 * 99 + 5, 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    sheets = binaries.sheet_tiles(spark, str(tmp_path))
+    assert sheets.rdd.getNumPartitions() == 3
+    own = dict(parts)
+    got = {r.sheet: r for r in binaries.drawn(binaries.banked(sheets)).collect()}
+    assert set(got) == {k // 64 for k in own}
+    for k in got:
+        size = [own.get(64 * k + slot) or 0 for slot in range(64)]
+        px = [[(s % 5 * (i % 8) + s % 3 * (i // 8)) % 16 for i in range(64)] for s in size]
+        tiles = [p for n, p in enumerate(px) if p not in px[:n]]
+        assert got[k].tiles == tiles and got[k].words == [tiles.index(p) for p in px]
+        grey = [px[y // 8 * 8 + x // 8][y % 8 * 8 + x % 8] for y in range(64) for x in range(64)]
+        assert bytes(got[k].rgba) == bytes(c for v in grey for c in (v * 17, v * 17, v * 17, 255 if v else 0))
+    query = binaries.tile_bank_files(spark, str(tmp_path))
+    text = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at" not in text and "lpad" not in text
+    assert query.filter("whole").count() == query.count() == 3 * len(got)
+
+
 def test_lost_tasks_and_aborts_leave_nothing(tmp_path):
     """Two attempts of one task write the same row; only the attempt whose message Spark keeps is moved. An abort removes all."""
     schema = StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("name", "string"), ("content", "binary"))]})
